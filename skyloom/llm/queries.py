@@ -1,9 +1,13 @@
 """Registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
+from skyloom.llm.bpe import op3_bpe
 from skyloom.llm.fingerprints import op1_fingerprints
+from skyloom.llm.jpeg import op10_media
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_bpe": op3_bpe,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
