@@ -5,11 +5,13 @@ from skyloom.llm.fingerprints import op1_fingerprints
 from skyloom.llm.html import op7_html
 from skyloom.llm.jpeg import op10_media
 from skyloom.llm.langid import op9_langid
+from skyloom.llm.set_join import op5_set_join
 from skyloom.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_bpe": op3_bpe,
+    "op5_set_join": op5_set_join,
     "op7_html": op7_html,
     "op8_toxicity": op8_toxicity,
     "op9_langid": op9_langid,
