@@ -272,5 +272,11 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.union(_overlaps(second, sets).where(near).select("a", "b"))
 
 
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id is the least of its component, all columns as they are; rows with null id stay."""
+    gone = similar_components(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+
+
 def op5_set_join(spark, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
