@@ -6,19 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _scientific(v: Column, digits: int) -> Column:
+    """Scientific notation with ties to even, as for %e in most languages."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(v))))
+    return F.format_string(f"%.{digits}e", F.coalesce(F.bround(F.try_divide(v, power), digits) * power, v))
+
+
+def _fixed(v: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", F.bround(v, digits))
+
+
 def readable_value(v: Column, low: float = -1e38, high: float = 1e38) -> Column:
     """A number in as many digits as its size needs; null for null and NaN."""
     size = F.abs(v)
     whole = (F.floor(v).cast("double") == v) & (size < 1000000)
     return (
         F.when(v.isNull() | F.isnan(v), None)
-        .when((v < low) | (v > high), F.format_string("%.1e", v))
+        .when((v < low) | (v > high), _scientific(v, 1))
         .when(whole, F.format_string("%d", v.cast("long")))
-        .when(size < 0.01, F.format_string("%.4e", v))
-        .when(size < 100, F.format_string("%.4f", v))
-        .when(size < 10000, F.format_string("%.2f", v))
-        .when(size < 1000000, F.format_string("%.0f", v))
-        .otherwise(F.format_string("%.4e", v))
+        .when(size < 0.01, _scientific(v, 4))
+        .when(size < 100, _fixed(v, 4))
+        .when(size < 10000, _fixed(v, 2))
+        .when(size < 1000000, _fixed(v, 0))
+        .otherwise(_scientific(v, 4))
     )
 
 

@@ -15,9 +15,9 @@ def minima(df: DataFrame, metric: str, value: str, iteration: str, tracked: Data
     src = df if tracked is None else df.join(F.broadcast(tracked.select(metric).distinct()), metric, "left_semi")
     ordered = F.struct(F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.col(value)).alias("v"), F.col(iteration).alias("i"))
     first = F.min_by(F.struct(F.col(value).alias("v"), F.col(iteration).alias("i")), iteration)
-    found = src.groupBy(metric).agg(F.min(ordered).alias("m"), first.alias("f"))
-    stuck = F.isnan("f.v")
-    return found.select(metric, F.when(stuck, F.col("f.v")).otherwise(F.col("m.v")).alias("min_value"), F.when(stuck, F.col("f.i")).otherwise(F.col("m.i")).alias("min_iteration"))
+    found = src.groupBy(metric).agg(F.min(ordered).alias("_least"), first.alias("_first"))
+    stuck = F.isnan("_first.v")
+    return found.select(metric, F.when(stuck, F.col("_first.v")).otherwise(F.col("_least.v")).alias("min_value"), F.when(stuck, F.col("_first.i")).otherwise(F.col("_least.i")).alias("min_iteration"))
 
 
 def running_minimum(df: DataFrame, metric: str, order: list[str], value: str) -> DataFrame:

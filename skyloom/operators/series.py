@@ -44,8 +44,8 @@ def odd_limit_bucket(i: Column, n: Column, limit: int) -> Column:
     m = (limit + 1) // 2
     rounds = F.when(n < 2 * m, F.lit(0)).otherwise(F.floor((n - 2 * m) / F.lit(m)) + 1).cast("int")
     q = F.floor((i - 2 * m) / F.lit(m)).cast("int")
-    early = F.call_function("shiftright", i.cast("long"), rounds)
-    late = F.call_function("shiftright", (F.lit(m) + F.pmod(i - 2 * m, F.lit(m))).cast("long"), F.greatest(rounds - 1 - q, F.lit(0)))
+    early = F.call_function("shiftright", i.cast("long"), F.least(rounds, F.lit(62)))
+    late = F.call_function("shiftright", (F.lit(m) + F.pmod(i - 2 * m, F.lit(m))).cast("long"), F.least(F.greatest(rounds - 1 - q, F.lit(0)), F.lit(62)))
     return F.when(i < 2 * m, early).otherwise(late)
 
 
