@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             c = np.where(hit, mcounts[i] if len(mcounts) else 0, 0)[inverse]
             uv, vinverse = np.unique(v, return_inverse=True)
             i, hit = find(mcontexts, uv)
-            own_stats = np.where(hit[:, None], mstats[i] if len(mstats) else 0, 0)
+            own_stats = np.where(hit[:, None], mstats[i] if len(mstats) else np.zeros((1, 4), np.int64), 0)
             i, hit = find(heavy_keys, uv)
             own_stats = np.where(hit[:, None], heavy_stats[i] if len(heavy_stats) else 0, own_stats)
             del mkeys, mcounts, mcontexts, mstats, mapped
