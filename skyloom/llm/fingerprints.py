@@ -85,25 +85,24 @@ def _with_slots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = d.select("k").agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    step = F.lit(0)
-    if cuts:
-        cut = F.array(*map(F.lit, cuts))
-        # ids equal to a cut open a range
-        step = F.aggregate(cut, F.lit(0), lambda acc, c: acc + (F.col("k") >= c).cast("int"))
-    heads = [(r["slot"], r["head"]) for r in d.select("k", step.alias("slot")).groupBy("slot").agg(F.min("k").alias("head")).collect()]
-    heads.sort()
-    before = [(h, a) for (a, _), (_, h) in zip(heads, heads[1:], strict=False)]
-    if not before:
-        return d.withColumns({"slot": F.lit(0), "guest": F.lit(0)})
-    # two literal arrays of one entry a range
-    hs, ps = F.array(*[F.lit(h) for h, _ in before]), F.array(*[F.lit(p) for _, p in before])
-    at = F.array_position(hs, F.col("k"))
-    prev = F.when(at > 0, F.try_element_at(ps, F.greatest(at, F.lit(1)).cast("int")))
-    return d.withColumn("own", step).withColumn("prev", prev).withColumn(
-        "to", F.explode(F.filter(F.array(F.struct(F.col("own").alias("slot"), F.lit(0).alias("guest")), F.struct(F.col("prev").alias("slot"), F.lit(1).alias("guest"))), lambda x: x["slot"].isNotNull()))
-    ).select("k", "doc_id", "text", "to.slot", "to.guest")
+    cuts = sorted(set(d.select("k").agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10000).alias("c")).first()["c"] or []))
+    # one row a range that has documents: its least id
+    found = d.select("k", _last_at_most(F.col("k"), cuts).alias("slot")).groupBy("slot").agg(F.min("k").alias("head")).collect()
+    heads = sorted(r["head"] for r in found)
+    slot = _last_at_most(F.col("k"), heads)
+    own = d.withColumn("slot", slot).withColumn("first", F.col("k") == F.try_element_at(F.array(*map(F.lit, heads)), F.col("slot")) if heads else F.lit(False))
+    places = F.array(F.struct(F.col("slot"), F.lit(0).alias("guest")), F.struct((F.col("slot") - 1).alias("slot"), F.lit(1).alias("guest")))
+    placed = F.when(F.col("first") & (F.col("slot") > 1), places).otherwise(F.slice(places, 1, 1))
+    return own.withColumn("to", F.explode(placed)).select("k", "doc_id", "text", "to.slot", "to.guest")
+
+
+def _last_at_most(k, bounds: list[int]):
+    """How many of the sorted bounds are at most ``k``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table, n = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(table, at + s) <= k, F.lit(False)), at + s).otherwise(at))
 
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:

@@ -80,6 +80,11 @@ def _route(v: np.ndarray, w: np.ndarray, heavy: np.ndarray, parts: int) -> np.nd
     return (np.where(heavy[at] == v, _text.mix64(v ^ _text.mix64(w)), v) % np.uint64(parts)).astype(np.int64)
 
 
+def homes(parts: int) -> int:
+    """In how many places successors and documents are summed; fewer than parts, so that packets between them aren't tiny."""
+    return max(1, parts // 4)
+
+
 def heavy_contexts(src: DataFrame) -> np.ndarray:
     """Sorted hashes of contexts with over one in HEAVY words, and START. A word that frequent is so in some task; no task names over 2 * HEAVY."""
 
@@ -174,7 +179,7 @@ def _entries(table: pa.Table):
     return np.concatenate(v), np.concatenate(w), sizes
 
 
-_MODEL = "part int, home int, contexts binary, runs binary, stats binary, successors binary, counts binary, c1 long, c2 long, c3 long, c4 long, known long, tokens long, heavy binary"
+_MODEL = "part int, home int, contexts binary, runs binary, stats binary, successors binary, counts binary, c1 long, c2 long, c3 long, c4 long, known long, tokens long, heavy array<struct<v:bigint,n:bigint,n1:bigint,n2:bigint,n3:bigint>>"
 
 
 def count_parts(src: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
@@ -194,7 +199,7 @@ def count_parts(src: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
         # successors that are asked for, seen in training or not
         asked, which = np.unique(w, return_inverse=True)
         before = np.bincount(which, c > 0, len(asked)).astype(np.int32)
-        home = (_text.mix64(asked) % np.uint64(parts)).astype(np.int64)
+        home = (_text.mix64(asked) % np.uint64(homes(parts))).astype(np.int64)
         seen = c > 0
         v, w, c = v[seen], w[seen], c[seen]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
@@ -202,14 +207,15 @@ def count_parts(src: DataFrame, heavy: np.ndarray, parts: int) -> DataFrame:
         contexts = v[first]
         light = ~np.isin(contexts, heavy)
         runs = np.diff(np.append(first, len(v))).astype(np.int32)
-        rows = [(part, -1, contexts.tobytes(), runs.tobytes(), stats.tobytes(), _pack5(w), c.astype(np.int32).tobytes(), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int(light.sum()), int(stats[light, 0].sum()), contexts[~light].tobytes() + stats[~light].tobytes())]
+        rows = [(part, -1, contexts.tobytes(), runs.tobytes(), stats.tobytes(), _pack5(w), c.astype(np.int32).tobytes(), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int(light.sum()), int(stats[light, 0].sum()), [(int(x), *map(int, y)) for x, y in zip(contexts[~light].view(np.int64), stats[~light], strict=True)])]
         order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(parts + 1))
+        cuts = np.searchsorted(home[order], np.arange(homes(parts) + 1))
         for h in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[h] : cuts[h + 1]]
-            rows.append((part, h, b"", b"", b"", _pack5(asked[own]), before[own].tobytes(), 0, 0, 0, 0, 0, 0, b""))
+            rows.append((part, h, b"", b"", b"", _pack5(asked[own]), before[own].tobytes(), 0, 0, 0, 0, 0, 0, []))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * 6, pa.binary()]
+        five = pa.list_(pa.struct([(x, pa.int64()) for x in ("v", "n", "n1", "n2", "n3")]))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * 6, five]
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _MODEL.split(", ")])
 
     return _packets(src, heavy, parts, False).groupBy("part").applyInArrow(count, _MODEL)
@@ -251,19 +257,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = save(continuations(model))
     own = model.where("home = -1")
     sums = own.agg(*(F.sum(c).alias(c) for c in ("c1", "c2", "c3", "c4", "known", "tokens"))).first().asDict()
-    split = [r["heavy"] for r in own.where("octet_length(heavy) > 0").select("heavy").collect()]  # at most 2 * HEAVY contexts a part
+    # at most 2 * HEAVY rows
+    split = own.select(F.explode("heavy").alias("h")).groupBy("h.v").agg(*(F.sum(f"h.{x}").alias(x) for x in ("n", "n1", "n2", "n3"))).collect()
     n_train = src.where("train").count()
     level = asked.agg(*(F.sum(c).alias(c) for c in ("m1", "m2", "m3", "m4", "more", "total"))).first().asDict()
     sums, level = ({k: int(v or 0) for k, v in x.items()} for x in (sums, level))
-    hk, hs = [], []
-    for raw in split:
-        n = len(raw) // 40
-        hk.append(np.frombuffer(raw[: 8 * n], np.uint64))
-        hs.append(np.frombuffer(raw[8 * n :], np.int64).reshape(-1, 4))
-    heavy_keys, which = np.unique(np.concatenate(hk), return_inverse=True) if hk else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    heavy_stats = np.zeros((len(heavy_keys), 4), np.int64)
-    if hk:
-        np.add.at(heavy_stats, which, np.concatenate(hs))
+    split = sorted((r["v"] & (1 << 64) - 1, r["n"], r["n1"], r["n2"], r["n3"]) for r in split)
+    heavy_keys = np.array([r[0] for r in split], np.uint64)
+    heavy_stats = np.array([r[1:] for r in split], np.int64).reshape(-1, 4)
     words = heavy_keys != np.uint64(_START)
     n_tokens = sums["tokens"] + int(heavy_stats[words, 0].sum()) + n_train
     n_words = sums["known"] + int(words.sum()) + (n_train > 0)
@@ -276,8 +277,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kinds = [pa.int32(), *[pa.binary()] * 6]
         if not queries.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        homes, stored = table.column("home").to_pylist(), table.to_pydict()
-        me = homes.index(-1) if -1 in homes else None
+        row_homes, stored = table.column("home").to_pylist(), table.to_pydict()
+        me = row_homes.index(-1) if -1 in row_homes else None
         get = lambda c, t: np.frombuffer(stored[c][me] if me is not None else b"", t)
         contexts, runs, stats = get("contexts", np.uint64), get("runs", np.int32), get("stats", np.int64).reshape(-1, 4)
         keys = _pair_keys(np.repeat(contexts, runs), _unpack5(stored["successors"][me] if me is not None else b""))
@@ -287,9 +288,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         v, w, sizes = _entries(queries)
         distinct, which = np.unique(w, return_inverse=True)
         # the same successors were asked for when the parts were counted
-        home = (_text.mix64(distinct) % np.uint64(parts)).astype(np.int64)
+        home = (_text.mix64(distinct) % np.uint64(homes(parts))).astype(np.int64)
         back = np.zeros(len(distinct), np.int64)
-        for h, raw in zip(homes, stored["counts"], strict=True):
+        for h, raw in zip(row_homes, stored["counts"], strict=True):
             if h >= 0:
                 back[home == h] = np.frombuffer(raw, np.int32)
         with tempfile.TemporaryFile() as store:
@@ -332,19 +333,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base = np.where(word, np.log10((total + 1) / span)[vinverse], 0.0) + np.where(end, np.log10((n_train + 1) / span), 0.0)
         known = (word & (total > 0)[vinverse]).astype(np.int64) + (end & (n_train > 0))
         tokens = word.astype(np.int64) + end
-        rows, a = [], 0
+        found, a = [], 0
         for size, text, named, kept in zip(sizes, *(queries.column(x).to_pylist() for x in ("weights", "texts", "trains")), strict=True):
             ids, trains = np.frombuffer(named, np.int64), np.frombuffer(kept, bool)
             text = np.frombuffer(text, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
             s = slice(a, a + size)
             a += size
-            sums_of = [np.bincount(text, x[s], len(ids)) for x in (tokens, known, base, logs)]
-            goes = (_text.mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(goes, kind="stable")
-            cuts = np.searchsorted(goes[order], np.arange(parts + 1))
-            for h in np.flatnonzero(np.diff(cuts)).tolist():
-                o = order[cuts[h] : cuts[h + 1]]
-                rows.append((h, ids[o].tobytes(), trains[o].tobytes(), sums_of[0][o].astype(np.int32).tobytes(), sums_of[1][o].astype(np.int32).tobytes(), sums_of[2][o].tobytes(), sums_of[3][o].tobytes()))
+            found.append((ids, trains, *(np.bincount(text, x[s], len(ids)) for x in (tokens, known, base, logs))))
+        ids, trains, *summed = (np.concatenate(x) for x in zip(*found, strict=True))
+        goes = (_text.mix64(ids.view(np.uint64)) % np.uint64(homes(parts))).astype(np.int64)
+        order = np.argsort(goes, kind="stable")
+        cuts = np.searchsorted(goes[order], np.arange(homes(parts) + 1))
+        rows = []
+        for h in np.flatnonzero(np.diff(cuts)).tolist():
+            o = order[cuts[h] : cuts[h + 1]]
+            rows.append((h, ids[o].tobytes(), trains[o].tobytes(), summed[0][o].astype(np.int32).tobytes(), summed[1][o].astype(np.int32).tobytes(), summed[2][o].tobytes(), summed[3][o].tobytes()))
         cols = list(zip(*rows, strict=True))
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
 
