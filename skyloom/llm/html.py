@@ -27,12 +27,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas audio video button select textarea dialog menu".split())
-RAW = frozenset("script style".split())
+IN_HEAD = frozenset("title meta link style script base noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall"
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar toolbar comment comments commentlist disqus respond replies reply discussion"
-    " share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip".split()
+    " share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip siteheader pageheader topheader globalheader mainheader".split()
 )
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body html td th aside nav header footer blockquote form".split())
@@ -54,6 +54,8 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
         if key in ("class", "id"):
             for name in value.split():
                 parts = _word.findall(name)
+                if parts == ["header"] and not in_article:
+                    return True
                 if parts and (parts[0] in NAMES or parts[-1] in NAMES or "".join(parts) in NAMES):
                     return True
     return False
@@ -102,6 +104,8 @@ class LineParser(HTMLParser):
                 first = next((i for i, (t, _, d) in enumerate(self.stack) if d), None)
                 if first is not None:
                     self.pop_to(first)
+            if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+                self.pop_to(len(self.stack) - 1)
             if tag in CLOSES_P and (i := self.find(("p",), SCOPES)) >= 0:
                 self.pop_to(i)
             if tag in SAME_CLOSES and (i := self.find(tuple(SAME_CLOSES[tag].split()), frozenset(("ul", "ol", "dl", "table", "select")))) >= 0:

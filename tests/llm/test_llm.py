@@ -289,6 +289,7 @@ def test_html(spark):
         ("<article><h1>T &amp; U</h1><p>One<br>two  three<p><b>Four <div class='ad'>buy</div></article><footer>f</footer>", "T & U\nOne two three\nFour"),
         ("<body><nav><ul><li>a</ul></nav><div id=main-content><h2>H</h2><p>Long enough text of the page, with sentences.</p><ul><li>x<li>y</ul></div><div class='comments'><p>I read it and liked it a lot</p></div>", "H\nLong enough text of the page, with sentences.\nx\ny"),
         ("<main><p>Text</p><form>name</form><script>var a='<p>';</script><aside>side</aside></main>", "Text"),
+        ("<head><title>t</title><div class=header>Site</div><div class=entry><p>A text without a body element.</p></div>", "A text without a body element."),
         (None, ""), ("", ""), ("<nav>only menus</nav>", ""), ("plain words", "plain words"),
     ]
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(pages)], "page_id long, url string, html string, text string")
