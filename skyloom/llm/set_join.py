@@ -5,12 +5,13 @@
    of the hash space are dealt by hash and counted, which finds such sets early.
 3. The others index the prefix that any partner at the threshold must share, the least shingles by
    hash, with size and position.
-4. Each index list has a leader. All sets of the list are compared with it, and linked ones join its
-   component.
+4. Each index list has a leader. The sets of the list are compared with it, unless sizes and parity
+   bitmaps exclude a link, and linked ones join its component.
 5. A list whose sets are all in one component is skipped whole. In the others, only sets of different
    components meet; their list entries are in blocks by size, blocks too far apart are skipped, and
-   within near ones a pair is skipped if the sizes, the positions, or the two sets' known overlaps
-   with the leader (the answer of a similar set) already bound its overlap under the threshold.
+   within near ones a pair is skipped if the sizes, the positions, the sets' parity bitmaps, or the two
+   sets' known overlaps with the leader (the answer of a similar set) already bound its overlap under
+   the threshold.
 6. What remains is compared exactly.
 
 Large groups of near copies cost about a comparison a member, not a pair. Every pair at the threshold
@@ -36,7 +37,11 @@ from skyloom.llm._tables import save
 WIDTH = 5
 PERCENT = 80
 #: Part of the hash space in which shingles are counted before the join.
-COUNTED = 0.5
+COUNTED = 0.4
+#: Longs of a set's short parity bitmap.
+LONGS = 16
+#: Most ids (8 bytes each) that are broadcast.
+SENT = 1_000_000
 _FLUSH = 1 << 24
 _SIZE_BASE = 1.25
 
@@ -69,7 +74,8 @@ def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Packed arrays of shingles are dealt by hash; each part counts its shingles and returns packed
     counts of singles, which are summed by set. Shingles that only look equal keep a set, never drop one.
     """
-    n = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homes = max(1, n // 4)
     top = np.uint64(int(COUNTED * 2.0**64) - 1)
 
     def deal(batches):
@@ -118,9 +124,9 @@ def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         singles = np.bincount(owner[single], minlength=len(keys)).astype(np.int32)
         some = singles > 0
         keys, sizes, singles = keys[some], sizes[some], singles[some]
-        home = (keys % np.uint64(n)).astype(np.int32)
+        home = (keys % np.uint64(homes)).astype(np.int32)
         order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(n + 1))
+        cuts = np.searchsorted(home[order], np.arange(homes + 1))
         rows = [(b, keys[o].tobytes(), sizes[o].tobytes(), singles[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["home", "keys", "sizes", "singles"])
@@ -140,15 +146,35 @@ def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, n and the packed sorted shingles (the upper six bytes of each hash) of every row."""
+    """node, n, the packed sorted shingles (the upper six bytes of each hash) and a parity bitmap of every row.
+
+    A shingle flips one bit of the bitmap, so the bits in which two bitmaps differ are at most the shingles in which
+    the sets do.
+    """
 
     def run(batches):
         for batch in batches:
             for lo, hi, raws in _text.blocks(batch.column("text").to_pylist()):
                 sets = _grams(raws, width)
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets], pa.binary())], names=["node", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets], pa.binary()), pa.array([_parity(s, 64 * LONGS).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([_parity(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "grams", "bits", "wide"])
+
+    return docs.mapInArrow(run, "node long, n int, grams binary, bits array<long>, wide binary")
+
+
+def _parity(grams: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Parity of the shingles by position among ``bits``, by default four or more for each shingle."""
+    bits = bits or 1 << max(10, (4 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(16)) & np.uint64(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
+
 
-    return docs.mapInArrow(run, "node long, n int, grams binary")
+def _differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parity bitmaps differ; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(folded ^ y).sum())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -177,6 +203,22 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(run, "token long, node long, n int, pos int")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and wide bitmaps leave the threshold within reach."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
+    met = left.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            need = -(-percent * total // (100 + percent))
+            unlike = np.array([_differing(x, y) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(unlike <= total - 2 * need))
+
+    return met.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb, both for pairs (a, b): sizes and size of the intersection."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), "a")
@@ -220,7 +262,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = save(filled.groupBy("sid").agg(F.min("doc_id").alias("node"), F.min("key").alias("key")))
     lonely = lonely_sets(src.where("doc_id is not null"), width, percent)
-    heads = classes.join(lonely, "key", "left_anti").select(F.col("node").alias("doc_id")).distinct()
+    heads = save(classes.join(lonely, "key", "left_anti").select(F.col("node").alias("doc_id")).distinct())
+    # ids alone are sent to all tasks if they are few; texts are shuffled otherwise
+    heads = F.broadcast(heads) if heads.count() <= SENT else heads
     sets = save(_sets(src.join(heads, "doc_id").select(F.col("doc_id").alias("node"), "text"), width).where("n > 0"))
     links = similar_links(sets, percent).union(_same_ids(filled, classes))
     groups = save(components(links))
@@ -244,7 +288,7 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = save(prefix.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").select("token", "leader"))
     listed = save(prefix.join(leaders, "token"))
     first = listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    met = save(_overlaps(first, sets))
+    met = save(_overlaps(save(_possible(first, sets, percent)), sets))
     links = met.where(near).select("a", "b")
     groups = components(links)
 
@@ -255,21 +299,24 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = met.select(F.col("a").alias("node"), F.col("b").alias("leader"), "both").distinct()
     lead = placed.where("node = leader").select("token", F.col("c").alias("lc")).distinct()
     entries = placed.join(mixed, "token").join(lead, "token").join(known, ["node", "leader"], "left")
-    entries = save(entries.select("token", "node", "n", "pos", "c", "lc", "leader", F.coalesce("both", "n").alias("seen"), F.floor(F.log(_SIZE_BASE, F.col("n")) + 1e-9).cast("int").alias("block")))
-    side = lambda p: [F.col(x).alias(p + x) for x in ("node", "n", "pos", "c", "seen")]
+    entries = entries.join(sets.select("node", "bits"), "node")
+    entries = save(entries.select("token", "bits", "node", "n", "pos", "c", "lc", "leader", F.coalesce("both", "n").alias("seen"), F.floor(F.log(_SIZE_BASE, F.col("n")) + 1e-9).cast("int").alias("block")))
+    side = lambda p: [F.col(x).alias(p + x) for x in ("node", "n", "pos", "c", "seen", "bits")]
     reach = int(np.ceil(np.log(100 / percent) / np.log(_SIZE_BASE) - 1e-9))
     x = entries.where("c <> lc").select("token", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "lc", *side("x"))
     y = entries.where("node <> leader").select("token", "block", *side("y"))
     need = F.ceil(percent * (F.col("xn").cast("long") + F.col("yn")) / F.lit(100.0 + percent) - 1e-9)
+    unlike = sum((F.bit_count(F.col("xbits")[i].bitwiseXOR(F.col("ybits")[i])) for i in range(LONGS)), F.lit(0))
     pairs = (
         x.join(y, ["token", "block"])
         .where("xc <> yc and (yc = lc or xnode < ynode)")
         .where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
         .where(F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
+        .where(unlike <= F.col("xn") + F.col("yn") - 2 * need)
         .where(F.least("xseen", "yseen") + F.least(F.col("xn") - F.col("xseen"), F.col("yn") - F.col("yseen")) >= need)
     )
     second = save(pairs.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct())
-    return links.union(_overlaps(second, sets).where(near).select("a", "b"))
+    return links.union(_overlaps(save(_possible(second, sets, percent)), sets).where(near).select("a", "b"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
