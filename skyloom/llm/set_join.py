@@ -296,11 +296,12 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = listed.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     placed = save(placed)
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    # no row where sizes or bitmaps excluded the leader: that overlap stays unknown (null) and bounds nothing
     known = met.select(F.col("a").alias("node"), F.col("b").alias("leader"), "both").distinct()
     lead = placed.where("node = leader").select("token", F.col("c").alias("lc")).distinct()
     entries = placed.join(mixed, "token").join(lead, "token").join(known, ["node", "leader"], "left")
     entries = entries.join(sets.select("node", "bits"), "node")
-    entries = save(entries.select("token", "bits", "node", "n", "pos", "c", "lc", "leader", F.coalesce("both", "n").alias("seen"), F.floor(F.log(_SIZE_BASE, F.col("n")) + 1e-9).cast("int").alias("block")))
+    entries = save(entries.select("token", "bits", "node", "n", "pos", "c", "lc", "leader", F.col("both").alias("seen"), F.floor(F.log(_SIZE_BASE, F.col("n")) + 1e-9).cast("int").alias("block")))
     side = lambda p: [F.col(x).alias(p + x) for x in ("node", "n", "pos", "c", "seen", "bits")]
     reach = int(np.ceil(np.log(100 / percent) / np.log(_SIZE_BASE) - 1e-9))
     x = entries.where("c <> lc").select("token", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"), "lc", *side("x"))
@@ -313,7 +314,7 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
         .where(F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
         .where(unlike <= F.col("xn") + F.col("yn") - 2 * need)
-        .where(F.least("xseen", "yseen") + F.least(F.col("xn") - F.col("xseen"), F.col("yn") - F.col("yseen")) >= need)
+        .where(F.col("xseen").isNull() | F.col("yseen").isNull() | (F.least("xseen", "yseen") + F.least(F.col("xn") - F.col("xseen"), F.col("yn") - F.col("yseen")) >= need))
     )
     second = save(pairs.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct())
     return links.union(_overlaps(save(_possible(second, sets, percent)), sets).where(near).select("a", "b"))

@@ -255,6 +255,19 @@ def test_set_join_chains(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.similar_components(df).collect()} == brute_components(texts)
 
 
+def test_set_join_nested_shortest_first(spark):
+    # the shortest leads the lists, is near the middle one and too short for the longest, which links to the middle one
+    rng = random.Random(11)
+    texts = {}
+    for k in range(40):
+        w = [f"g{k}w{rng.randint(0, 10**6)}" for _ in range(125)]
+        cut = w[:104] if k % 2 else w[21:]
+        for j, own in enumerate((cut[:50] + cut[55:] if k % 3 else cut[:99], cut, w)):
+            texts[100 * j + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.similar_components(df).collect()} == brute_components(texts)
+
+
 def test_set_join_odd(odd, empty):
     got = {r.doc_id: r.component_id for r in set_join.similar_components(odd).collect()}
     assert got[5] == got[6] == got[7] == got[8] == got[13] == 5 and got[0] == 0 and got[1] == 1
