@@ -5,8 +5,8 @@ itself, hashed into one weight table; transitions between the languages of neigh
 learned with them. The labels' marginals come from the forward-backward algorithm over the whole
 text. A text's language is the one with most expected words.
 
-Learning takes about ``SAMPLE`` whole texts of each language (a hash of the id chooses them), cuts
-them into passages and joins passages of different texts, so that languages switch within a
+Learning takes about ``SAMPLE`` texts of each language (a hash of the id chooses them), each language
+within its own share of ``WORDS``, cuts them into passages and joins passages of different texts, so that languages switch within a
 sequence.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; words without letters
@@ -19,15 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import _text
 
-#: About so many texts of each language, and at most so many words of all, are learned from.
+#: About so many texts of each language, and at most so many words of all, are learned from; with more than LANGUAGES
+#: languages the words of all are fewer in proportion, as each word is scored in each language. No language is left out.
 SAMPLE = 400
 WORDS = 1_500_000
 LANGUAGES = 64
+#: The share of the words of a language is room for so many texts at least; longer texts are learned from by their start.
+LEAST_TEXTS = 8
 TABLE = 1 << 16
 GRAM = 3
 CHUNK = 64
@@ -250,26 +253,44 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _within_shares(texts: list, budget: float) -> set:
+    """(doc_id, lang) of the texts (rows with doc_id, lang, k and n words) within the languages' shares of ``budget`` words, in the order of k."""
+    by_lang: dict[str, list] = {}
+    for row in sorted(texts, key=lambda r: r["k"]):
+        by_lang.setdefault(row["lang"], []).append(row)
+    kept, left = set(), budget
+    # languages of few words first: the others share what they leave
+    for done, lang in enumerate(sorted(by_lang, key=lambda x: (sum(r["n"] for r in by_lang[x]), x))):
+        share, used = left / (len(by_lang) - done), 0.0
+        for row in by_lang[lang]:
+            if used + row["n"] <= share + 1e-6:
+                used += row["n"]
+                kept.add((row["doc_id"], lang))
+        left -= used
+    return kept
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from a bounded sample: each language's share of the ids' hashes gives about ``sample`` texts, and longer totals are cut by whole texts."""
+    """Learn from a bounded sample of every language that has texts which aren't held out.
+
+    Each language's share of the ids' hashes gives about ``sample`` texts. Each has its own part of the words, and what
+    languages with fewer words leave goes to the others.
+    """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(id_col)))
-    # at most LANGUAGES rows
-    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # one row a language
+    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return train([], [])
+    budget = WORDS * min(1.0, LANGUAGES / len(counts))
+    longest = max(1, int(6 * budget / len(counts) / LEAST_TEXTS))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample / r["count"]))]), F.col("lang"))
-    picked = src.where(F.col("lang").isin([r["lang"] for r in counts])).where(hashed < rate).select("doc_id", "text", "lang", hashed.alias("h"))
-    words = F.length("text") / 6
-    kept, total = [], 0.0
-    # one row a text; texts are taken in the order of the hash until WORDS are there
-    small = picked.select("doc_id", words.alias("n"), "h").orderBy("h", "doc_id").limit(2 * sample * len(counts)).collect()
-    for row in small:
-        total += row["n"]
-        if total > WORDS and kept:
-            break
-        kept.append(row["doc_id"])
-    rows = picked.where(F.col("doc_id").isin(kept)).select("doc_id", "text", "lang").collect() if kept else []
+    picked = src.where(hashed < rate).select("doc_id", F.substring("text", 1, longest).alias("text"), "lang", hashed.alias("h"))
+    # one row a text, about ``sample`` a language
+    nearest = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    small = picked.select("doc_id", "lang", (F.length("text") / 6).alias("n"), "h").withColumn("k", nearest).where(F.col("k") <= 2 * sample).collect()
+    kept = _within_shares(small, budget)
+    rows = [r for r in picked.where(F.col("doc_id").isin(sorted({i for i, _ in kept}))).select("doc_id", "text", "lang").collect() if (r["doc_id"], r["lang"]) in kept] if kept else []
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -384,6 +384,18 @@ def test_language_switches(documents):
     assert best[:50].count("de") > 45 and best[-50:].count("fr") > 45
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    # 70 languages, the first ones frequent enough to fill the words; the text of the rarest is longer than its share
+    rows = [(k, (f"l{k % 3} " * 300).strip(), f"f{k % 3}") for k in range(600)]
+    rows += [(1000 + 20 * k + j, f"w{k} " * (60_000 if k == 66 else 4), f"r{k}") for k in range(67) for j in range(20 if k < 66 else 8)]
+    monkeypatch.setattr(langid, "WORDS", 12_000)
+    learned = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: learned.extend(zip(texts, langs, strict=True)))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40)
+    assert {lang for _, lang in learned} == {r[2] for r in rows}
+    assert sum(len(t) for t, _ in learned) <= 6 * 12_000
+
+
 def test_language_odd(odd, empty):
     model = langid.train(["hello there my friend"] * 3 + ["bonjour mon ami"] * 3, ["en"] * 3 + ["fr"] * 3, rounds=5)
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
