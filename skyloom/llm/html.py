@@ -2,9 +2,9 @@
 
 The standard library's parser turns a page into lines, a line for each block. Each line has its
 text-to-tag ratio; the ratios are smoothed by a Gaussian and split into two clusters by a threshold.
-The lines of the upper cluster show which region of the page is the article: the article or main
-element, else the innermost element, that holds most of their text. All lines of that region are
-the result, but for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+The lines of the upper cluster show which regions of the page are the article: the article elements
+(or main elements) that hold them, as deep as the one with most of their text, and their siblings,
+else the smallest element around all of them. All lines of those regions are the result, but for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments.
 
 Edge cases: null, empty and text-free pages give an empty string; rows keep their multiplicity; only
@@ -15,6 +15,7 @@ as browsers do. Long pages are handled whole.
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from html.parser import HTMLParser
 
@@ -34,6 +35,10 @@ NAMES = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar toolbar comment comments commentlist disqus respond replies reply discussion"
     " share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip siteheader pageheader topheader globalheader mainheader".split()
 )
+#: A name with one of these before its last part tells the layout around an element ("has-sidebar"), not what it is.
+LAYOUT = frozenset("has have with without no".split())
+#: Ids that sections of an article have too; as classes they stay names of page parts.
+SECTION_IDS = frozenset("discussion reply replies social related notice notices".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body html td th aside nav header footer blockquote form".split())
 _word = re.compile(r"[a-z0-9]+")
@@ -56,6 +61,8 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
                 parts = _word.findall(name)
                 if parts == ["header"] and not in_article:
                     return True
+                if LAYOUT.intersection(parts[:-1]) or (key == "id" and len(parts) == 1 and parts[0] in SECTION_IDS):
+                    continue
                 if parts and (parts[0] in NAMES or parts[-1] in NAMES or "".join(parts) in NAMES):
                     return True
     return False
@@ -182,32 +189,32 @@ def main_text(html: str | None) -> str:
         return ""
     even = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
     cut = threshold(even)
-    held: dict[int, int] = {}
-    total = 0
-    for (text, _, path), value in zip(lines, even, strict=True):
-        if value >= cut:
-            total += len(text)
-            for number in path:
-                held[number] = held.get(number, 0) + len(text)
-    region = None
-    for tag in ("article", "main"):
-        own = {n: size for n, size in held.items() if parser.kind[n] == tag}
-        if own:
-            region = max(own, key=lambda n: (own[n], -n))
-            break
-        # an article of short lines only
-        own = {}
-        for text, _, path in lines:
-            for n in path:
-                if parser.kind[n] == tag:
-                    own[n] = own.get(n, 0) + len(text)
-        if own:
-            region = max(own, key=lambda n: (own[n], -n))
-            break
-    if region is None:
-        inner = [n for n, size in held.items() if size >= 0.7 * total and parser.kind[n] in SCOPES]
-        region = max(inner, default=None)
-    return "\n".join(text for text, _, path in lines if region is None or region in path)
+    upper = [(len(text), path) for (text, _, path), value in zip(lines, even, strict=True) if value >= cut]
+    regions: set[int] = set()
+    # an article or main element with lines of the upper cluster, else one of short lines only
+    for found in (upper, [(len(text), path) for text, _, path in lines]):
+        for tag in ("article", "main"):
+            regions = regions or outermost(found, lines, parser.kind, tag)
+    if not regions and upper:
+        shared = os.path.commonprefix([path for _, path in upper])
+        regions = {max((n for n in shared if parser.kind[n] in SCOPES), default=0)} - {0}
+    return "\n".join(text for text, _, path in lines if not regions or regions.intersection(path))
+
+
+def outermost(found: list[tuple[int, tuple[int, ...]]], lines: list, kind: dict[int, str], tag: str) -> set[int]:
+    """Outermost elements of a kind that hold ``found`` lines (size, path), as deep as the one with most text, and siblings of those."""
+    held: dict[tuple[int, ...], int] = {}
+    for size, path in found:
+        at = next((i for i, n in enumerate(path) if kind[n] == tag), None)
+        if at is not None:
+            held[path[: at + 1]] = held.get(path[: at + 1], 0) + size
+    if not held:
+        return set()
+    depth = len(max(held, key=lambda p: (held[p], -p[-1])))
+    chosen = {p for p in held if len(p) == depth}
+    parents = {p[:-1] for p in chosen}
+    near = {path[:depth] for _, _, path in lines if len(path) >= depth and path[: depth - 1] in parents and kind[path[depth - 1]] == tag}
+    return {p[-1] for p in chosen | near}
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -310,6 +310,24 @@ def test_html(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_whole_articles():
+    long = [f"Paragraph {i} has a good many words, so that its ratio of text to tags is a high one." for i in range(8)]
+    p = [f"<p>{t}</p>" for t in long]
+    menu = "<nav><ul><li><a>Home</a><li><a>News</a></ul></nav>"
+    # no article: three quarters of the text in one block and a quarter in its sibling
+    assert html.main_text(f"<body>{menu}<div id=page><div>{''.join(p[:6])}</div><div>{''.join(p[6:])}</div></div></body>") == "\n".join(long)
+    # several articles, one of them short
+    assert html.main_text(f"<main>{menu}<article>{''.join(p[:5])}</article><article>{''.join(p[5:])}</article><article><h2>End</h2></article></main>") == "\n".join([*long, "End"])
+    # articles in sections of their own
+    assert html.main_text(f"<body><section><article>{''.join(p[:5])}</article></section><section><article>{''.join(p[5:])}</article></section>") == "\n".join(long)
+    # a short article element doesn't displace the main one's text
+    assert html.main_text(f"<main>{''.join(p)}<article>Short</article></main>") == "\n".join([*long, "Short"])
+    for name in ("class=has-sidebar", "class=with-sidebar", "class='page no-comments'", "class=page-with-nav", "id=discussion", "id=related"):
+        assert html.main_text(f"<body><div {name}>{''.join(p)}</div></body>") == "\n".join(long)
+    for name in ("class=sidebar", "class=left-sidebar", "id=comments", "class=related"):
+        assert html.main_text(f"<body><div>{''.join(p)}</div><div {name}><p>{'Other words here. ' * 9}</p></div></body>") == "\n".join(long)
+
+
 def test_html_pages(spark):
     import html as entities
 
