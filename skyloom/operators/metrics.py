@@ -64,8 +64,24 @@ def rate_limited(df: DataFrame, key: str, order: str, seconds: str, delay: float
 
 
 def tail_part(df: DataFrame, metric: str, order: list[str], fraction: float | None = None, number: int | None = None) -> DataFrame:
-    """The last part of each series by fraction of its rows (rounded up) or by number."""
-    w = Window.partitionBy(metric)
-    back = F.row_number().over(w.orderBy(*[F.desc(c) for c in order]))
-    limit = F.lit(number) if fraction is None else F.ceil(F.count(F.lit(1)).over(w) * F.lit(fraction))
-    return df.withColumn("_back", back).withColumn("_limit", limit).where("_back <= _limit").drop("_back", "_limit")
+    """The last part of each series by fraction of its rows (rounded up) or by number.
+
+    Rows are dealt by series and range of the first order column (a number, date or time; other types are one range) and
+    numbered within; the ranges' sizes give the rows after each, so that no series is held by one task.
+    """
+    lead, n = F.col(order[0]), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.lit(0)
+    if isinstance(df.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) and n > 1:
+        # at most one cut a shuffle partition
+        cuts = df.agg(F.percentile_approx(lead, [i / n for i in range(1, n)], 1000).alias("c"))
+        marks = sorted(set(cuts.first()["c"] or []))
+        slot = F.aggregate(F.array(*map(F.lit, marks)), F.lit(0), lambda a, c: a + F.coalesce(lead >= c, F.lit(False)).cast("int")) if marks else slot
+    dealt = df.withColumn("_slot", slot)
+    series = Window.partitionBy("_metric")
+    sizes = dealt.groupBy(F.col(metric).alias("_metric"), F.col("_slot").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    after = F.sum("_n").over(series.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    limit = F.lit(number) if fraction is None else F.ceil(F.sum("_n").over(series) * F.lit(fraction))
+    wanted = sizes.select("_metric", "_range", F.coalesce(after, F.lit(0)).alias("_after"), limit.alias("_limit")).where("_after < _limit")
+    met = dealt.join(wanted, dealt[metric].eqNullSafe(wanted["_metric"]) & (dealt["_slot"] == wanted["_range"]))
+    back = F.row_number().over(Window.partitionBy(metric, "_slot").orderBy(*[F.desc(c) for c in order]))
+    return met.withColumn("_back", back).where("_after + _back <= _limit").select(*df.columns)

@@ -1,5 +1,6 @@
 """Published golden values of the operators."""
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -261,3 +262,20 @@ def test_streams_equal_batches(spark, tmp_path):
     twins.run_available(twins.running_minimum_stream(stream, "user_id", "value"), "update", f"{tmp_path}/c3", f"{tmp_path}/o3")
     least = {r.user_id: r.v for r in counted.groupBy("user_id").agg(F.min("value").alias("v")).collect()}
     assert {r.user_id: r.min_value for r in spark.read.parquet(f"{tmp_path}/o3").collect()} == least
+
+
+def test_tail_of_a_series_in_several_tasks(spark):
+    rows = [("hot", i, i % 7) for i in range(4000)] + [("small", i, 0) for i in range(0, 4000, 400)] + [(None, 5, 1), (None, None, 2), ("one", 3, 3)]
+    df = spark.createDataFrame(rows, "g string, i long, x long")
+    by_series = {}
+    for r in rows:
+        by_series.setdefault(r[0], []).append(r)
+    for fraction, number in ((0.3, None), (None, 3)):
+        wanted = [r for s in by_series.values() for r in sorted(s, key=lambda r: (r[1] is None, -(r[1] or 0)))[: number or math.ceil(len(s) * fraction)]]
+        assert sorted(map(tuple, metrics.tail_part(df, "g", ["i"], fraction, number).collect()), key=repr) == sorted(wanted, key=repr)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = metrics.tail_part(df.where("g = 'hot'"), "g", ["i"], 1.0).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert tasks > 1
