@@ -1,18 +1,19 @@
 """Vectorised word hashing shared by the text operators.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes with A-Z lowered, so a block of texts is
-handled as one byte array: a prefix sum of ``code(byte) * P**i`` gives every word's 64-bit hash
-without a Python loop over words. Hashes depend on the words alone, never on the block.
+handled as one byte array, whose words are hashed together, eight bytes at a time, without a Python
+loop over words. Hashes depend on the words alone, never on the block.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,37 +26,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWER_CODE = BYTE_CODE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, U64), "q": np.ones(1, U64)}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and its inverse mod 2**64 for i < n, kept per process for ordinary block sizes."""
-    if len(_powers["p"]) < n:
-        n = max(n, BLOCK_BYTES)
-        made = []
-        for base in (_P, _PINV):
-            a = np.full(n, U64(base))
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        if n > 16 * BLOCK_BYTES:
-            return made[0], made[1]
-        _powers["p"], _powers["q"] = made
-    return _powers["p"], _powers["q"]
+#: Spans of more bytes are hashed, and compared, one at a time.
+_LONG = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position as one number; the end is padded with zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans ``data[starts:ends]``; equal bytes give equal hashes anywhere.
+
+    Eight bytes at a time are mixed in sequence by a bijection, so spans of equal length up to eight never collide;
+    long spans are digested by BLAKE2.
+    """
+    n = ends - starts
+    out = mix64((n + 1).astype(U64) * U64(0xA24BAED4963EE407))
+    eight = _chunks(data)
+    live = np.flatnonzero((n > 0) & (n <= _LONG))
+    at, left = starts[live], n[live]
+    while len(live):
+        out[live] = mix64((out[live] ^ (eight[at] & _KEEP[np.minimum(left, 8)])) * U64(_P))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """64-bit hashes of byte spans ``data[starts:ends]``; equal bytes give equal hashes anywhere."""
-    p, q = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(code[data] * p[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * q[starts]
-    return mix64(raw + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether ``data[starts:starts + lengths]`` and ``other[others:others + lengths]`` are the same bytes."""
+    same = np.ones(len(starts), bool)
+    a, b = _chunks(data), _chunks(other)
+    live = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+    done = 0
+    while len(live):
+        keep = _KEEP[np.minimum(lengths[live] - done, 8)]
+        same[live] &= ((a[starts[live] + done] ^ b[others[live] + done]) & keep) == 0
+        done += 8
+        live = live[lengths[live] > done]
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + lengths[i]], other[others[i] : others[i] + lengths[i]])
+    return same
 
 
 def blocks(texts: list, limit: int = BLOCK_BYTES):
@@ -95,7 +114,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the bounds of each text in them."""
     data, at = join(raws)
     starts, ends, bounds = word_spans(data, at)
-    return span_hashes(data, starts, ends, _LOWER_CODE), bounds
+    return span_hashes(LOWER[data], starts, ends), bounds
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> list[np.ndarray]:

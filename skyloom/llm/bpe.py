@@ -2,8 +2,8 @@
 
 Texts are cut into pre-tokens by character class, a block at a time. A minimal perfect hash of the
 vocabulary resolves each pre-token that is a token as a whole; the others are merged by a heap of
-ranked pairs over linked bytes. The hash compares 64-bit fingerprints and lengths. Results of
-merges are remembered in the task, up to ``MEMO`` pieces.
+ranked pairs over linked bytes. Hashes only find candidates: bytes are compared on every hit, so ids are
+exact. Results of merges are remembered in the task by their bytes, up to ``MEMO`` pieces.
 
 Edge cases: null and empty texts have no ids and decode to no bytes. Rows keep their multiplicity
 and order of columns doesn't matter; only the id and text columns are read, so extra columns can't
@@ -125,16 +125,21 @@ class PerfectHash:
             slot = next(free)
             owner[slot] = order[bounds[b]]
             self.shift[b] = -slot - 1
-        self.keys, self.lengths, self.owner = keys[owner], (ends - starts)[owner], owner
+        self.keys, self.owner, self.raws = keys[owner], owner, raws
+        self.starts, self.lengths = starts[owner], (ends - starts)[owner]
 
     def _place(self, keys: np.ndarray, shift) -> np.ndarray:
         return (_text.mix64(keys + np.asarray(shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.size)).astype(np.int64)
 
-    def find(self, keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Index of the token with this hash and length, -1 where there is none."""
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the token that each byte span is, -1 where there is none, and the spans' hashes."""
+        keys, lengths = _text.span_hashes(data, starts, ends), ends - starts
         shift = self.shift[(keys % np.uint64(self.buckets)).astype(np.int64)]
         slot = np.where(shift < 0, -shift - 1, self._place(keys, np.maximum(shift, 0)))
-        return np.where((self.keys[slot] == keys) & (self.lengths[slot] == lengths), self.owner[slot], -1)
+        out = np.where((self.keys[slot] == keys) & (self.lengths[slot] == lengths), self.owner[slot], -1)
+        hit = np.flatnonzero(out >= 0)
+        out[hit[~_text.equal_spans(data, starts[hit], self.raws, self.starts[slot[hit]], lengths[hit])]] = -1
+        return out, keys
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -183,7 +188,7 @@ class Encoder:
         self.ids = np.array([ranks[t] for t in self.tokens], np.int32)
         self.hash = PerfectHash(self.tokens)
         self.by_id = {i: t for t, i in ranks.items()}
-        self.memo: dict[int, tuple[int, ...]] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order and the bounds of each text in them."""
@@ -197,18 +202,22 @@ class Encoder:
         begins = byte_at[pretoken_starts(chars, np.append(docs[:-1][filled], len(chars)))]
         ends = np.append(begins[1:], len(whole)) if len(begins) else begins
         data = np.frombuffer(whole, np.uint8)
-        keys = _text.span_hashes(data, begins, ends)
-        found = self.hash.find(keys, ends - begins)
+        found, keys = self.hash.find(data, begins, ends)
         missed = np.flatnonzero(found < 0)
         _, lead, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+        # pieces that only share a hash with the first of theirs stand for themselves
+        first, sizes = missed[lead][which], ends - begins
+        other = np.flatnonzero((sizes[first] != sizes[missed]) | ~_text.equal_spans(data, begins[missed], data, begins[first], np.minimum(sizes[first], sizes[missed])))
+        which[other] = len(lead) + np.arange(len(other))
         if len(self.memo) > MEMO:
             self.memo.clear()
         pieces = []
-        spans = missed[lead]
-        for key, start, end in zip(keys[spans].tolist(), begins[spans].tolist(), ends[spans].tolist(), strict=True):
-            got = self.memo.get(key)
+        spans = missed[np.concatenate([lead, other])]
+        for start, end in zip(begins[spans].tolist(), ends[spans].tolist(), strict=True):
+            piece = whole[start:end]
+            got = self.memo.get(piece)
             if got is None:
-                got = self.memo[key] = tuple(merge_bytes(whole[start:end], self.ranks))
+                got = self.memo[piece] = tuple(merge_bytes(piece, self.ranks))
             pieces.append(got)
         sizes = np.array([len(p) for p in pieces], np.int64)
         flat = np.array([i for p in pieces for i in p], np.int32)
