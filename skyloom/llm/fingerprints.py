@@ -42,9 +42,9 @@ def bin_values(grams: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndar
     cell = (grams >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int32)
     first = np.concatenate([[True], cell[1:] != cell[:-1]])
     filled = np.zeros(bins, bool)
-    values = np.zeros(bins, np.uint8)
+    values = np.zeros(bins, np.uint64)
     filled[cell[first]] = True
-    values[cell[first]] = (_text.mix64(grams[first]) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    values[cell[first]] = grams[first]
     if not filled.all():
         order, empty = probing_order(bins), np.flatnonzero(~filled)
         for attempt in range(32 if np.count_nonzero(first) >= bins // 64 else 0):
@@ -57,7 +57,8 @@ def bin_values(grams: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndar
         if len(empty):
             rest = order[empty]
             values[empty] = values[rest[np.arange(len(empty)), filled[rest].argmax(axis=1)]]
-    return values
+    # bits differ by bin, so that bins with one value agree by chance independently
+    return (_text.mix64(values + np.arange(1, bins + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
 def pack(values: np.ndarray | None, bits: int = BITS) -> str:
