@@ -1,21 +1,24 @@
 """Main text of web pages from streaming parser events.
 
-The standard library's parser turns a page into lines, a line for each block. Each line has its
-text-to-tag ratio; the ratios are smoothed by a Gaussian and split into two clusters by a threshold.
-The lines of the upper cluster show which regions of the page are the article: the article elements
-(or main elements) that hold them, as deep as the one with most of their text, and their siblings,
-else the smallest element around all of them. All lines of those regions are the result, but for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.
-
-Edge cases: null, empty and text-free pages give an empty string; rows keep their multiplicity; only
-the named columns are read, so other columns can't clash. Unclosed and misnested elements are closed
-as browsers do. Long pages are handled whole.
+The standard library's parser turns a page into lines, a line for each block, in an element tree. Each
+line has its text-to-tag ratio; the ratios are smoothed by a Gaussian and split into two clusters by a
+threshold. Elements that can't be content by their tag, role or name give no lines: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+
+The lines of the upper cluster choose the regions. Article elements (or main elements) that hold most
+of the cluster's text are regions, as deep as the one with most of it, and with their siblings of that
+kind. Without them the region is the smallest element around the whole cluster; where that is the whole
+page, its sections without a line of the cluster go if they are mostly links, or lie before the first or
+behind the last line of the cluster and have no heading. All lines of the regions are the result.
+
+Time and memory grow with the page's length, whatever its nesting. Edge cases: null, empty and text-free
+pages give an empty string; rows keep their multiplicity; only the named columns are read, so other
+columns can't clash. Unclosed and misnested elements are closed as browsers do. Long pages are handled whole.
 """
 
 from __future__ import annotations
 
 import math
-import os.path
 import re
 from html.parser import HTMLParser
 
@@ -39,8 +42,15 @@ NAMES = frozenset(
 LAYOUT = frozenset("has have with without no".split())
 #: Ids that sections of an article have too; as classes they stay names of page parts.
 SECTION_IDS = frozenset("discussion reply replies social related notice notices".split())
+#: What may follow a page part's name in a longer one: "ad-box" is an advert, "related-work" is a section.
+SUFFIXES = frozenset(
+    "area author avatar bar block body bottom box btn button buttons center col column container content date desktop end feed footer form grid group head header heading holder icon icons image images inner item items"
+    " label layer left link links list main message meta mobile module name outer overlay page panel post posts right row section sections site slot sticky text thread title top unit wrap wrapper zone articles stories sign up in".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body html td th aside nav header footer blockquote form".split())
+BLOCKS, OPENERS = CLOSES_P | SCOPES, frozenset(("article", "body"))
 _word = re.compile(r"[a-z0-9]+")
 
 
@@ -63,40 +73,52 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
                     return True
                 if LAYOUT.intersection(parts[:-1]) or (key == "id" and len(parts) == 1 and parts[0] in SECTION_IDS):
                     continue
-                if parts and (parts[0] in NAMES or parts[-1] in NAMES or "".join(parts) in NAMES):
+                named = parts and parts[0] in NAMES and all(p in NAMES or p in SUFFIXES or p.isdigit() or re.fullmatch(r"\d+x\d+", p) for p in parts[1:])
+                if named or (parts and (parts[-1] in NAMES or "".join(parts) in NAMES)):
                     return True
     return False
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, tags in it, path of elements); dropped elements give none."""
+    """Collects lines: (text, tags in it, characters of links, element); dropped elements give none.
+
+    Elements are numbered as they open; ``kind`` and ``parent`` hold the tree, with 0 for the page. Inline elements are
+    in it only within a dropped one of theirs.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.kind, self.parent = [""], [0]
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, dropped
-        self.kind: dict[int, str] = {}
+        self.places: dict[str, list[int]] = {}  # where each tag is in the stack
+        self.dropped: list[int] = []  # where dropped elements are in the stack
         self.parts: list[str] = []
-        self.tags = self.number = self.dropped = self.articles = 0
+        self.tags = self.articles = self.linked = self.hard = 0
+        self.in_link = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack)))
+            self.lines.append((text, self.tags, self.linked, self.stack[-1][1] if self.stack else 0))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def pop_to(self, index: int) -> None:
         while len(self.stack) > index:
-            self.dropped -= self.stack.pop()[2]
+            tag, _, drop = self.stack.pop()
+            self.places[tag].pop()
+            if drop:
+                self.dropped.pop()
+                self.hard -= tag in ("aside", "dialog", "template")
 
-    def find(self, tags: tuple[str, ...], scope: frozenset) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                return i
-            if self.stack[i][0] in scope:
-                break
-        return -1
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def find(self, tags, scope: frozenset) -> int:
+        """Place of the innermost of ``tags`` that is open within the innermost element of ``scope``, -1 without one."""
+        at = self.last(tags)
+        return at if at >= self.last(scope) else -1
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -104,37 +126,45 @@ class LineParser(HTMLParser):
             if tag == "br" and not self.dropped:
                 self.parts.append(" ")
             return
+        if tag == "a":
+            self.in_link = True
         if tag not in INLINE:
             self.flush()
-            if tag == "body" or (tag == "main" or (tag == "article" and not self.articles)) and self.dropped and not any(d and t in ("aside", "dialog", "template") for t, _, d in self.stack):
+            self.in_link = False
+            if tag == "body" or (tag == "main" or (tag == "article" and not self.articles)) and self.dropped and not self.hard:
                 # an unclosed menu or notice ends where the main part begins
-                first = next((i for i, (t, _, d) in enumerate(self.stack) if d), None)
-                if first is not None:
-                    self.pop_to(first)
+                if self.dropped:
+                    self.pop_to(self.dropped[0])
             if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
                 self.pop_to(len(self.stack) - 1)
             if tag in CLOSES_P and (i := self.find(("p",), SCOPES)) >= 0:
                 self.pop_to(i)
-            if tag in SAME_CLOSES and (i := self.find(tuple(SAME_CLOSES[tag].split()), frozenset(("ul", "ol", "dl", "table", "select")))) >= 0:
+            if tag in SAME_CLOSES and (i := self.find(SAME_CLOSES[tag].split(), frozenset(("ul", "ol", "dl", "table", "select")))) >= 0:
                 self.pop_to(i)
         if tag in VOID:
             return
-        self.number += 1
-        self.kind[self.number] = tag
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        drop = unwanted(tag, attrs, inside)
+        drop = unwanted(tag, attrs, bool(self.places.get("article") or self.places.get("main")))
+        if tag in INLINE and not drop and not (self.stack and self.stack[-1][0] in INLINE):
+            return
         self.articles += tag == "article" and not drop
-        self.stack.append((tag, self.number, drop))
-        self.dropped += drop
+        self.kind.append(tag)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        if drop:
+            self.dropped.append(len(self.stack))
+            self.hard += tag in ("aside", "dialog", "template")
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, len(self.kind) - 1, drop))
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in VOID:
             return
+        if tag == "a":
+            self.in_link = False
         inline = tag in INLINE
         if not inline:
             self.flush()
-        scope = CLOSES_P | SCOPES if inline else frozenset(("article", "body")) if tag not in ("article", "body", "html") else frozenset()
+        scope = BLOCKS if inline else OPENERS if tag not in ("article", "body", "html") else frozenset()
         if (i := self.find((tag,), scope)) >= 0:
             self.pop_to(i)
 
@@ -146,6 +176,8 @@ class LineParser(HTMLParser):
     def handle_data(self, data):
         if not self.dropped:
             self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data)
 
     def close(self):
         super().close()
@@ -187,34 +219,75 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    even = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
+    even = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
     cut = threshold(even)
-    upper = [(len(text), path) for (text, _, path), value in zip(lines, even, strict=True) if value >= cut]
-    regions: set[int] = set()
-    # an article or main element with lines of the upper cluster, else one of short lines only
-    for found in (upper, [(len(text), path) for text, _, path in lines]):
-        for tag in ("article", "main"):
-            regions = regions or outermost(found, lines, parser.kind, tag)
-    if not regions and upper:
-        shared = os.path.commonprefix([path for _, path in upper])
-        regions = {max((n for n in shared if parser.kind[n] in SCOPES), default=0)} - {0}
-    return "\n".join(text for text, _, path in lines if not regions or regions.intersection(path))
-
-
-def outermost(found: list[tuple[int, tuple[int, ...]]], lines: list, kind: dict[int, str], tag: str) -> set[int]:
-    """Outermost elements of a kind that hold ``found`` lines (size, path), as deep as the one with most text, and siblings of those."""
-    held: dict[tuple[int, ...], int] = {}
-    for size, path in found:
-        at = next((i for i, n in enumerate(path) if kind[n] == tag), None)
-        if at is not None:
-            held[path[: at + 1]] = held.get(path[: at + 1], 0) + size
+    keep = content_lines(parser, [value >= cut for value in even])
+    return "\n".join(line[0] for line, kept in zip(lines, keep, strict=True) if kept)
+
+
+def content_lines(parser: LineParser, upper: list[bool]) -> list[bool]:
+    """Which lines are in the regions that the lines of the upper cluster choose."""
+    lines, kind, parent = parser.lines, parser.kind, parser.parent
+    sizes = [len(text) * high for (text, *_), high in zip(lines, upper, strict=True)]
+    for tag in ("article", "main"):
+        regions, share = outermost(parser, sizes, tag)
+        if 2 * share >= sum(sizes):
+            inside = [False] * len(kind)
+            for n in range(len(kind)):  # parents come before their elements
+                inside[n] = n in regions or (n > 0 and inside[parent[n]])
+            return [inside[at] for *_, at in lines]
+    # the innermost element around the cluster
+    whole, high = [0] * len(kind), [0] * len(kind)
+    for (text, _, _, at), size in zip(lines, sizes, strict=True):
+        whole[at] += len(text)
+        high[at] += size
+    for n in range(len(kind) - 1, 0, -1):
+        whole[parent[n]] += whole[n]
+        high[parent[n]] += high[n]
+    around = max(n for n in range(len(kind)) if high[n] == high[0] and (kind[n] in SCOPES or not n))
+    section = [n if n and parent[n] == around else 0 for n in range(len(kind))]
+    inside = [n == around for n in range(len(kind))]
+    for n in range(1, len(kind)):
+        inside[n] = inside[n] or inside[parent[n]]
+        section[n] = section[n] or section[parent[n]]
+    keep = [inside[at] for *_, at in lines]
+    if whole[around] < whole[0]:
+        return keep
+    # sections of a whole page
+    links, headed, first, last = {}, set(), {}, {}
+    for i, (_, _, linked, at) in enumerate(lines):
+        part = section[at]
+        links[part] = links.get(part, 0) + linked
+        first.setdefault(part, i)
+        last[part] = i
+        n = at
+        while n and kind[n] in INLINE:
+            n = parent[n]
+        if kind[n] in HEADINGS:
+            headed.add(part)
+    begin, end = upper.index(True), len(upper) - 1 - upper[::-1].index(True)
+    gone = {n for n in first if n and not high[n] and (2 * links[n] >= whole[n] or (kind[n] in ("div", "section", "center", "table") and n not in headed and (last[n] < begin or first[n] > end)))}
+    return [kept and section[at] not in gone for kept, (*_, at) in zip(keep, lines, strict=True)]
+
+
+def outermost(parser: LineParser, sizes: list[int], tag: str) -> tuple[set[int], int]:
+    """Outermost elements of a kind that hold text of the cluster, as deep as the one with most of it, and siblings of those; how much they hold."""
+    kind, parent = parser.kind, parser.parent
+    top, depth = [0] * len(kind), [0] * len(kind)
+    for n in range(1, len(kind)):
+        depth[n] = depth[parent[n]] + 1
+        top[n] = top[parent[n]] or (n if kind[n] == tag else 0)
+    held: dict[int, int] = {}
+    for (*_, at), size in zip(parser.lines, sizes, strict=True):
+        if top[at] and size:
+            held[top[at]] = held.get(top[at], 0) + size
     if not held:
-        return set()
-    depth = len(max(held, key=lambda p: (held[p], -p[-1])))
-    chosen = {p for p in held if len(p) == depth}
-    parents = {p[:-1] for p in chosen}
-    near = {path[:depth] for _, _, path in lines if len(path) >= depth and path[: depth - 1] in parents and kind[path[depth - 1]] == tag}
-    return {p[-1] for p in chosen | near}
+        return set(), 0
+    deep = depth[max(held, key=lambda n: (held[n], -n))]
+    chosen = {n for n in held if depth[n] == deep}
+    parents = {parent[n] for n in chosen}
+    near = {n for n in range(1, len(kind)) if top[n] == n and depth[n] == deep and parent[n] in parents}
+    return chosen | near, sum(held[n] for n in chosen)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

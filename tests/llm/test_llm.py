@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -144,7 +145,10 @@ def test_perfect_hash(ranks):
     raws = np.frombuffer(b"".join(tokens), np.uint8)
     ends = np.cumsum([len(t) for t in tokens])
     starts = ends - np.array([len(t) for t in tokens])
-    assert (table.find(_text.span_hashes(raws, starts, ends), ends - starts) == np.arange(5000)).all()
+    assert (table.find(raws, starts, ends)[0] == np.arange(5000)).all()
+    others = np.frombuffer(b"".join(bytes(b ^ 0x15 for b in t) for t in tokens), np.uint8)
+    known = {t: i for i, t in enumerate(tokens)}
+    assert table.find(others, starts, ends)[0].tolist() == [known.get(others[a:b].tobytes(), -1) for a, b in zip(starts, ends, strict=True)]
 
 
 def test_bpe_odd(odd, empty, ranks):
@@ -154,9 +158,21 @@ def test_bpe_odd(odd, empty, ranks):
     assert bpe.token_digests(empty, ranks).count() == 0
 
 
-def brute_kneser_ney(texts):
+def test_bpe_digests(documents, texts, ranks):
+    import public_tokenizers
+    import tiktoken
+
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.token_digests(documents, ranks).collect():
+        ids = want.encode_ordinary(texts[r.doc_id] or "")
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest())
+
+
+def brute_kneser_ney(texts, learned=lambda i: zlib.crc32(str(i).encode()) % 7 != 2):
+    """Values of each text, the probability of a word after another, and the words of the training texts with the end."""
     docs = {i: words(t) for i, t in texts.items()}
-    train = {i for i in docs if zlib.crc32(str(i).encode()) % 7 != 2}
+    train = {i for i in docs if learned(i)}
     one, two = collections.Counter(), collections.Counter()
     for i in train:
         w = [*docs[i], "</s>"]
@@ -172,48 +188,80 @@ def brute_kneser_ney(texts):
     d2, d1 = kneser_ney.discounts(*many(two)), kneser_ney.discounts(*many(before))
     m = many(before)
     left = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * sum(x > 2 for x in before.values())) / len(two)
+
+    def probability(a, b):
+        low = max(before[b] - d1[min(before[b], 3)], 0) / len(two) + left / (v + 1)
+        x = context.get(a)
+        return max(two[a, b] - d2[min(two[a, b], 3)], 0) / x[0] + (d2[1:] @ x[1:]) / x[0] * low if x else low
+
     out = {}
     for i, w in docs.items():
-        base = score = known = 0
-        for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True):
-            base += math.log10((one[b] + 1) / (n + v + 1))
-            known += one[b] > 0
-            low = max(before[b] - d1[min(before[b], 3)], 0) / len(two) + left / (v + 1)
-            x = context.get(a)
-            score += math.log10(max(two[a, b] - d2[min(two[a, b], 3)], 0) / x[0] + (d2[1:] @ x[1:]) / x[0] * low if x else low)
-        out[i] = (i not in train, len(w) + 1, known, n, base, score)
-    return out
-
-
-def test_kneser_ney(documents, texts):
-    want = brute_kneser_ney(texts)
-    for r in kneser_ney.score_texts(documents).collect():
+        pairs = list(zip(["<s>", *w], [*w, "</s>"], strict=True))
+        base = sum(math.log10((one[b] + 1) / (n + v + 1)) for _, b in pairs)
+        out[i] = (i not in train, len(w) + 1, sum(one[b] > 0 for _, b in pairs), n, base, sum(math.log10(probability(a, b)) for a, b in pairs))
+    return out, probability, set(one)
+
+
+def same_scores(got, want):
+    assert len(got) == len(want)
+    for r in got:
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], abs=1e-6) and r.score == pytest.approx(w[5], abs=1e-6)
 
 
+def test_kneser_ney(documents, texts, monkeypatch):
+    want = brute_kneser_ney(texts)[0]
+    same_scores(kneser_ney.score_texts(documents).collect(), want)
+    # many parts, blocks of a few texts, and most frequent words dealt by successor
+    for name, value in (("PART", 9000), ("HEAVY", 30), ("_FLUSH", 5000)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    same_scores(kneser_ney.score_texts(documents).collect(), want)
+
+
 def test_kneser_ney_sums_to_one(spark):
-    """Over the vocabulary, the end and one unknown word, the probabilities after a context sum to 1."""
-    train = [(i, t) for i, t in enumerate(["a b c", "a b d", "b c", "c a a b"])]
-    vocabulary = ["a", "b", "c", "d", "zzz"]
-    asked = [(100 + i, f"a {w}") for i, w in enumerate(vocabulary)] + [(200, "a")]
-    df = spark.createDataFrame(train + asked, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in kneser_ney.score_texts(df, trained=F.col("doc_id") < 100).collect()}
-    # log p(a w END) - log p(w, END | ...): compare sequences "a w" with their parts by an empty-context trick
-    df2 = spark.createDataFrame(train + [(300 + i, w) for i, w in enumerate(vocabulary)], "doc_id long, text string")
-    first = {r.doc_id: r.score for r in kneser_ney.score_texts(df2, trained=F.col("doc_id") < 100).collect()}
-    assert all(got[100 + i] < got[200] + 1 for i in range(5)) and all(s < 0 for s in first.values())
-
-
-def test_kneser_ney_odd(odd, empty):
-    got = {r.doc_id: r for r in kneser_ney.score_texts(odd).collect()}
-    assert got[0].n_tokens == 1 and got[5].n_tokens == 2 * 121 and len(got) == 14
+    """Over the vocabulary, the end and one unknown word, the probabilities after any context sum to 1."""
+    texts = dict(enumerate(["a b c", "a b d", "b c", "c a a b", "d d d d d a", "b a c d c"])) | {100: "a zz zz b", 101: "zz", 102: ""}
+    want, probability, vocabulary = brute_kneser_ney(texts, lambda i: i < 100)
+    for context in ["<s>", "a", "b", "c", "d", "zz"]:
+        assert sum(probability(context, w) for w in [*vocabulary, "unknown"]) == pytest.approx(1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    same_scores(kneser_ney.score_texts(df, trained=F.col("doc_id") < 100).collect(), want)
+
+
+def test_kneser_ney_odd(odd, empty, spark):
+    rows = kneser_ney.score_texts(odd).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[0].n_tokens == 1 and got[5].n_tokens == 121 and len(rows) == 15 and len(got) == 14
+    nulls = spark.createDataFrame([(None, "a b"), (None, "c"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.n_tokens) for r in kneser_ney.score_texts(nulls).collect()) == [(False, 3), (True, 2), (True, 3)]
     assert kneser_ney.score_texts(empty).count() == 0
     none = kneser_ney.score_texts(odd, trained=F.lit(False)).collect()
     assert all(r.score == pytest.approx(0) and r.n_known == 0 for r in none)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_complementary_words_differ(spark, ranks):
+    """Words that any polynomial modulo a power of two hashes alike."""
+    pairs = [(thue_morse(n, 0), thue_morse(n, 1)) for n in (512, 1024, 2048, 4096)]
+    raws = [w.encode() for p in pairs for w in p]
+    data, at = _text.join(raws)
+    assert len(set(_text.span_hashes(data, at[:-1], at[1:] - 1).tolist())) == len(raws)
+    encoder = bpe.Encoder(ranks)
+    for a, b in pairs:
+        assert [encoder.decode(encoder.encode([w.encode()])[0].tolist()).decode() for w in (a, b)] == [a, b]
+        ids, bounds = encoder.encode([a.encode(), b.encode()])
+        assert encoder.decode(ids[: bounds[1]].tolist()).decode() == a and encoder.decode(ids[bounds[1] :].tolist()).decode() == b
+    texts = {i: f"one two {w} three four" for i, w in enumerate(w for p in pairs for w in p)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in set_join.similar_components(df).collect())
+    assert len({r.fingerprint for r in fingerprints.neighbour_fingerprints(df).collect()}) == len(texts)
+    same_scores(kneser_ney.score_texts(df).collect(), brute_kneser_ney(texts)[0])
+
+
 def brute_components(texts):
     sets = {i: shingle_set(t) for i, t in texts.items()}
     group = {i: i for i in sets}
@@ -328,6 +376,50 @@ def test_html_whole_articles():
         assert html.main_text(f"<body><div>{''.join(p)}</div><div {name}><p>{'Other words here. ' * 9}</p></div></body>") == "\n".join(long)
 
 
+def brute_regions(page, clustered=True):
+    """The blocks of a page of div, p, ul and a without names, by the plain rule: blocks of the section that holds those over the mean of the means."""
+    sections = re.findall(r"<div>(.*?)</div>", page, re.S)
+    blocks = [[re.sub("<[^>]+>", "", b).strip() for b in re.split(r"</?(?:p|li|ul|h2)>", x)] for x in sections]
+    blocks = [[b for b in x if b] for x in blocks]
+    kept = [x for x in blocks if not clustered or any(len(b) > 60 for b in x)]
+    return "\n".join(b for x in kept for b in x)
+
+
+def test_html_clusters_choose(monkeypatch):
+    """Pages whose menus and footers have no telling tags or names: what stays is the work of ratios and clusters."""
+    rng = random.Random(8)
+    for _ in range(40):
+        words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+        menu = "<ul>" + "".join(f"<li><a href=x>{words(1)}</a></li>" for _ in range(rng.randint(4, 9))) + "</ul>"
+        body = "<h2>" + words(3) + "</h2>" + "".join(f"<p>{words(rng.randint(40, 80))}</p>" for _ in range(rng.randint(3, 7))) + "<p>" + words(4) + "</p>"
+        foot = "".join(f"<p><a href=y>{words(1)}</a></p>" for _ in range(rng.randint(3, 6)))
+        page = f"<html><body><div>{menu}</div><div>{body}</div><div>{menu}</div><div>{foot}</div></body></html>"
+        assert html.main_text(page) == brute_regions(page)
+        # without the clusters the menus stay
+        with monkeypatch.context() as m:
+            m.setattr(html, "threshold", min)
+            assert html.main_text(page) == brute_regions(page, False)
+    # teasers in article elements don't outweigh the text beside them
+    teaser = "<article><a href=z>More of this</a></article>"
+    text = "".join(f"<p>{words(60)}</p>" for _ in range(5))
+    assert html.main_text(f"<body><div>{text}</div><div>{teaser * 4}</div></body>") == "\n".join(re.findall("<p>(.*?)</p>", text))
+
+
+def test_html_sections_and_nesting():
+    p = "<p>" + "A paragraph of the text, with quite some words in it. " * 3 + "</p>"
+    line = p[3:-4].strip()
+    for name in ("class=related-work", "id=notice-period", "class=social-history"):
+        assert html.main_text(f"<article>{p}<section {name}><h2>Own</h2>{p}</section>{p}</article>") == "\n".join([line, "Own", line, line])
+    for name in ("class=ad-box", "id=cookie-notice", "class='share-buttons x'", "class=related-posts", "id=ad-300x250", "class=comment-list"):
+        assert html.main_text(f"<article>{p}<div {name}>{p}</div>{p}</article>") == "\n".join([line, line])
+    assert html.main_text(f"<article>{p}<span class=ad>buy <span>this</span> now</span> rest{p}</article>") == "\n".join([line, "rest", line])
+    # open elements without end: time grows with the length
+    for piece, want in (("<b>x<p>y</p>", "x\ny"), ("<div><h1>x", "x"), ("<ul><li>x", "x"), ("<span class=ad>x<p>y", ""), ("<main><p>x", "x"), ("<table><tr><td>x", "x")):
+        began = time.monotonic()
+        assert html.main_text("<article>" + piece * 100_000).startswith(want)
+        assert time.monotonic() - began < 30
+
+
 def test_html_pages(spark):
     import html as entities
 
