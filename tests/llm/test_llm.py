@@ -93,23 +93,42 @@ def test_densification_is_even():
     assert fingerprints.likeness(v, v) == 1.0 and fingerprints.likeness(v, None) == 0.0
 
 
-def test_mixing_margins(documents):
-    got = mixing.mix(documents).toPandas()
-    cells = got.groupby(["source", "lang", "topic"], as_index=False).agg(tokens=("n_tokens", "sum"))
-    targets = {m: ((t := cells.groupby(m)["tokens"].sum() ** 0.5) / t.sum()).to_dict() for m in mixing.MARGINS}
-    w = mixing.rake(cells, targets, 200)
+def test_mixing_margins(spark):
+    """The kept tokens of the registered query have the wanted margins, up to single documents being kept or not."""
+    got = mixing.op2_mixing(spark, "/root/testdata/sf0.1")
+    for r in mixing.margins(got).collect():
+        if r.margin != "source":
+            assert r.kept_share == pytest.approx(r.wanted_share, rel=0.04), r
+        assert abs(r.kept_share - r.wanted_share) < 0.01
+    rows = got.toPandas()
+    assert (rows.rate * rows.n_tokens).sum() == pytest.approx(mixing.BUDGET * rows.n_tokens.sum(), rel=1e-4)
+    # in expectation the margins are exact
     for m in mixing.MARGINS:
-        have = pd.Series(w).groupby(cells[m]).sum() / w.sum()
-        assert np.allclose(have, pd.Series(targets[m])[have.index], atol=1e-3)
-    spent = (got.probability * got.n_tokens).sum()
-    assert spent == pytest.approx(mixing.BUDGET * got.n_tokens.sum(), rel=1e-4)
+        have = rows.groupby(m).n_tokens.sum() ** mixing.ALPHA
+        assert np.allclose((rows.rate * rows.n_tokens).groupby(rows[m]).sum() / (rows.rate * rows.n_tokens).sum(), have / have.sum(), rtol=1e-3)
 
 
-def test_mixing_wide_equals_local(odd, empty):
-    key = lambda df: sorted((r.doc_id, r.source, r.topic, r.n_tokens, round(r.probability, 4)) for r in df.collect())
+def test_mixing_full_values():
+    """Without repetition small values are used up, and the others have what is left by their shares."""
+    assert mixing.fill(np.array([100.0, 10, 1]), np.array([10.0, 3, 1]), 80, 1).tolist() == pytest.approx([69, 10, 1])
+    assert mixing.fill(np.array([100.0, 10, 1]), np.array([10.0, 3, 1]), 14, 4).tolist() == pytest.approx([10, 3, 1])
+    cells = pd.DataFrame([(s, l, "t", n) for s, l, n in (("a", "x", 900), ("a", "y", 40), ("b", "x", 50), ("b", "y", 10), ("c", "y", 0))], columns=["source", "lang", "topic", "tokens"])
+    targets = mixing.wanted(cells, 0.5, 800, 1.0)
+    rate = mixing.rake(cells, targets, 0.8, 1.0, 200)
+    assert rate.max() <= 1 and rate[4] == 1
+    for m in ("source", "lang"):
+        for value, want in targets[m].items():
+            assert (rate * cells.tokens)[cells[m] == value].sum() == pytest.approx(want, rel=1e-3)
+
+
+def test_mixing_wide_equals_local(odd, empty, spark):
+    key = lambda df: sorted((r.doc_id, r.source, r.topic, r.n_tokens, round(r.rate, 4)) for r in df.collect())
     assert key(mixing.mix(odd)) == key(mixing.mix(odd, local=0))
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
-    assert mixing.sample(odd, 1.0).count() == 15 and mixing.sample(odd).columns == odd.columns
+    clash = odd.withColumn("_cell0", F.lit(1)).withColumn("_Topic0", F.lit("x")).withColumn("rate", F.lit(2))
+    assert mixing.sample(clash, 1.0).count() == 15 and mixing.sample(clash).columns == clash.columns
+    nulls = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, source string, lang string")
+    assert [(r.rate, r.copies) for r in mixing.mix(nulls).collect()] == [(1.0, 1)] * 3
 
 
 def test_mixing_sql(spark):
