@@ -7,8 +7,9 @@ a symbol at a time. Writing stores a payload losslessly: each byte is the level
 (DC quantiser 8, so that level is exact), 64 blocks a row, one row a restart interval.
 
 Edge cases: null and empty texts are 64 zero bytes; payloads over 64 x 8191 bytes are several
-images, one after the other; equal texts give equal values; bytes that are no baseline JPEG have no
-images and null features. Only the id and content columns are read, so other columns can't clash.
+images, one after the other; equal texts give equal values; images that aren't baseline JPEG, miss a
+table, end early or hold codes of no table are left out, and streams without an image have null
+features. Only the id and content columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -168,17 +169,20 @@ def parse(media: bytes) -> list[dict]:
                     k += 65 + 64 * wide
             elif marker == 0xC0 and len(body) >= 6:
                 image |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big")}
+                image["depth"] = body[0]
                 image["parts"] = [(body[6 + 3 * c], body[7 + 3 * c] >> 4, body[7 + 3 * c] & 15, body[8 + 3 * c]) for c in range(body[5]) if 8 + 3 * c < len(body)]
             elif marker == 0xC4:
                 k = 0
                 while k + 17 <= len(body):
                     counts = list(body[k + 1 : k + 17])
-                    image["huff"][body[k]] = (counts, list(body[k + 17 : k + 17 + sum(counts)]))
+                    symbols = list(body[k + 17 : k + 17 + sum(counts)])
+                    if len(symbols) == sum(counts):
+                        image["huff"][body[k]] = (counts, symbols)
                     k += 17 + sum(counts)
             elif marker == 0xDD:
                 image["restart"] = int.from_bytes(body[:2], "big")
             elif marker == 0xDA and "width" in image:
-                image["scan"] = {body[1 + 2 * c]: (body[2 + 2 * c] >> 4, body[2 + 2 * c] & 15) for c in range(body[0])}
+                image["scan"] = {name: (tables >> 4, tables & 15) for name, tables in zip(body[1 : 1 + 2 * body[0] : 2], body[2 : 2 + 2 * body[0] : 2], strict=False)} if body else {}
                 end = i
                 while True:
                     end = media.find(b"\xff", end)
@@ -192,11 +196,35 @@ def parse(media: bytes) -> list[dict]:
                     break
                 image["data"] = (i, end)
                 i = end
-        if "data" in image and image["width"] and image["height"] and all(p[0] in image["scan"] for p in image["parts"]):
-            images.append(image)
+                if _fits(image, media[slice(*image["data"])]):
+                    images.append(image)
+                break
     return images
 
 
+def _grid(image: dict) -> tuple[int, int, int]:
+    """MCUs across and down, and MCUs in a restart interval."""
+    alone = len(image["parts"]) == 1
+    hmax, vmax = max(p[1] for p in image["parts"]), max(p[2] for p in image["parts"])
+    across = -(-image["width"] // (8 if alone else 8 * hmax))
+    down = -(-image["height"] // (8 if alone else 8 * vmax))
+    return across, down, image["restart"] or across * down
+
+
+def _fits(image: dict, scan: bytes) -> bool:
+    """Whether an image has all that its scan needs, and the scan has its restart intervals and two bits or more a block."""
+    parts, huff = image["parts"], image["huff"]
+    if image["depth"] != 8 or not (image["width"] and image["height"] and parts) or not all(p[0] in image["scan"] and 1 <= p[1] <= 4 and 1 <= p[2] <= 4 for p in parts):
+        return False
+    if any(dc not in huff or 16 | ac not in huff or max(huff[dc][1], default=0) > 11 for dc, ac in (image["scan"][p[0]] for p in parts)):
+        return False
+    across, down, step = _grid(image)
+    blocks = 1 if len(parts) == 1 else sum(p[1] * p[2] for p in parts)
+    data = np.frombuffer(scan, np.uint8)
+    marks = int(((data[:-1] == 0xFF) & (data[1:] >= 0xD0) & (data[1:] <= 0xD7)).sum())
+    return marks + 1 == -(-across * down // step) and 2 * blocks * across * down <= 8 * len(scan)
+
+
 def _layout(image: dict) -> tuple:
     """What the decoder needs to know of an image: blocks of an MCU as (component, DC table, AC table) and the tables."""
     blocks = []
@@ -207,8 +235,8 @@ def _layout(image: dict) -> tuple:
     return tuple(blocks), tuple(sorted((k, tuple(a), tuple(b)) for k, (a, b) in image["huff"].items()))
 
 
-def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tuple) -> np.ndarray:
-    """DC levels of the MCUs of many independent intervals, (interval, MCU, block); ``data`` without stuffing, padded by 8 bytes."""
+def decode_dc(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mcus: np.ndarray, layout: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """DC levels of the MCUs of many independent intervals, (interval, MCU, block), and which intervals are sound; ``data`` without stuffing, padded by 8 bytes."""
     blocks, tables = layout
     found = {k: lookup(list(a), list(b)) for k, a, b in tables}
     wide = data.astype(np.uint32)
@@ -219,6 +247,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tu
     out = np.zeros((len(starts), steps, len(blocks)), np.int32)
     level = np.zeros((len(starts), 1 + max(c for c, _, _ in blocks)), np.int32)
     even = bool((mcus == steps).all())
+    sound = np.ones(len(starts), bool)
 
     def peek(p: np.ndarray) -> np.ndarray:
         return (wide[p >> 3] << (p & 7).astype(np.uint32)) >> 16
@@ -230,6 +259,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tu
         p = at if even else at[lanes]
         for b, (c, dc, ac) in enumerate(blocks):
             entry = found[dc][peek(p)]
+            sound[lanes] &= entry > 0
             size = entry & 0xFF
             p = np.minimum(p + (entry >> 8), limit)
             extra = (peek(p) >> (16 - size).astype(np.uint32)).astype(np.int32)
@@ -245,6 +275,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tu
             # pass over the AC coefficients
             table, seen, busy = found[16 | ac], None, None
             entry = table[peek(p)]
+            sound[lanes] &= entry > 0
             p = np.minimum(p + (entry >> 8), limit)
             symbol = entry & 0xFF
             busy = np.flatnonzero(symbol)
@@ -256,6 +287,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tu
                     seen[busy] += (s >> 4) + 1
                     busy = busy[seen[busy] < 63]
                     entry = table[peek(p[busy])]
+                    sound[lanes[busy]] &= entry > 0
                     p[busy] = np.minimum(p[busy] + np.maximum(entry >> 8, 1), limit)
                     symbol[busy] = entry & 0xFF
                     busy = busy[symbol[busy] > 0]
@@ -263,7 +295,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, mcus: np.ndarray, layout: tu
             at = p
         else:
             at[lanes] = p
-    return out
+    return out, sound & (at <= 8 * ends)
 
 
 def thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
@@ -289,16 +321,11 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
         clean = np.concatenate([data[keep], np.zeros(8, np.uint8)])
         mcus, shape = [], []
         for _, im in members:
-            alone = len(im["parts"]) == 1
-            hmax, vmax = max(p[1] for p in im["parts"]), max(p[2] for p in im["parts"])
-            across = -(-im["width"] // (8 if alone else 8 * hmax))
-            down = -(-im["height"] // (8 if alone else 8 * vmax))
-            n, step = across * down, im["restart"] or across * down
+            across, down, step = _grid(im)
+            n = across * down
             mcus += [min(step, n - k) for k in range(0, n, step)]
             shape.append((across, down, step))
-        if len(mcus) != len(starts):
-            raise ValueError("a scan's restart intervals don't match its dimensions")
-        levels = decode_dc(clean, starts, np.array(mcus), layout)
+        levels, sound = decode_dc(clean, starts, ends, np.array(mcus), layout)
         first = 0
         for (i, im), (across, down, step) in zip(members, shape, strict=True):
             n = across * down
@@ -306,7 +333,10 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
             own = levels[first : first + lanes].reshape(lanes * levels.shape[1], -1)
             if levels.shape[1] != step:
                 own = levels[first : first + lanes, :step].reshape(lanes * step, -1)
+            whole = sound[first : first + lanes].all()
             first += lanes
+            if not whole:
+                continue
             _, h, v, q = im["parts"][0]
             if len(im["parts"]) == 1:
                 h = v = 1

@@ -573,6 +573,49 @@ def test_jpeg_with_colour_and_coefficients():
     assert (width, height) == (45, 30) and (pixels == np.clip(luma + 128, 0, 255)).all()
 
 
+def test_jpeg_broken():
+    """Whatever the bytes are, reading ends without an error; what is cut short or lacks a table isn't an image."""
+    rng = random.Random(6)
+    good = jpeg.encode([jpeg.payload(rng.randbytes(n)) for n in (10, 400, 3000)])
+    for stream in good:
+        assert len(jpeg.thumbnails([stream])[0]) == 1
+        for cut in (len(stream) // 2, len(stream) - 40, 200, 100, 20, 3):
+            assert cut >= len(stream) - 4 or jpeg.thumbnails([stream[:cut]]) == [[]]
+        for marker in (b"\xff\xc4", b"\xff\xda"):
+            assert jpeg.thumbnails([stream.replace(marker, b"\xff\xe0")]) == [[]]
+        at = stream.index(b"\xff\xda")
+        assert jpeg.thumbnails([stream[: at + 2] + b"\0\2" + stream[at + 10 :]]) == [[]]  # an empty scan header
+    for _ in range(1500):
+        stream = bytearray(rng.choice(good))
+        for _ in range(rng.randint(1, 6)):
+            kind, at = rng.randint(0, 3), rng.randrange(min(len(stream), 300))
+            if kind == 0:
+                stream[at] = rng.randrange(256)
+            elif kind == 1:
+                del stream[at : at + rng.randint(1, 20)]
+            elif kind == 2:
+                stream[at:at] = rng.randbytes(rng.randint(1, 10))
+            else:
+                stream[at] ^= 1 << rng.randrange(8)
+        jpeg.thumbnails([bytes(stream), good[0]])
+        assert len(jpeg.thumbnails([good[0]])[0]) == 1
+
+
+def test_media(documents, texts):
+    """Columns of the registered query against the standard library."""
+    rows = jpeg.op10_media(documents.sparkSession, SF).collect()
+    stored = {r.doc_id: bytes(r.media) for r in jpeg.store_texts(documents).collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = stored[r.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        size, images, first = r.feature.split(":")
+        assert size == f"512x{len(payload) // 8}" and int(images) == 1 and len(first) == 16
+
+
 def test_media_odd(odd, empty):
     stored = jpeg.store_texts(odd)
     got = {r.doc_id: r for r in jpeg.read_media(stored).collect()}
@@ -580,6 +623,8 @@ def test_media_odd(odd, empty):
     assert jpeg.read_media(jpeg.store_texts(empty)).count() == 0
     broken = stored.withColumn("media", F.lit(b"junk")).withColumn("width", F.lit(3))
     assert jpeg.read_media(broken).where("width is not null").count() == 0
+    short = stored.withColumn("media", F.expr("substring(media, 1, length(media) - 30)"))
+    assert jpeg.read_media(short).where("thumbnail is not null or images > 0").count() == 0
 
 
 def test_pipeline(spark, tmp_path):
