@@ -360,6 +360,38 @@ def test_licenses_edited(spark):
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
 
 
+def test_licenses_recall(spark):
+    """Words put in, left out and exchanged: findings of edited notices, and none in texts of their common words."""
+    rng = random.Random(7)
+    grant, cases = licenses.TEMPLATES["MIT-grant"].split(), {}
+    for k in (10, 20, 30, 40, 60):
+        cases[f"in{k}"] = ("MIT-grant", " ".join([*grant[:30], *(f"foreign{i}" for i in range(k)), *grant[30:]]))
+    for name, template in licenses.TEMPLATES.items():
+        for k in range(8):
+            own = [w for w in template.split() if rng.random() > 0.06 or len(template.split()) < 20]
+            own = [f"x{rng.random()}" if rng.random() < 0.06 and len(own) >= 20 else w for w in own]
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = [f"y{i}" for i in range(rng.randint(0, 6 if len(own) < 20 else 30))]
+            around = [f"w{rng.randint(0, 99)}" for _ in range(50)]
+            cases[f"{name}{k}"] = (name, " ".join([*around, *own, *around, *(["the", "of", "and", "to"] * 20)]))
+    common = sorted({w for t in licenses.TEMPLATES.values() for w in t.lower().split() if len(w) < 6})
+    rows = list(cases.items()) + [("none", ("", " ".join(rng.choice(common) for _ in range(5000)))), ("twice", ("MIT", "a Released under the MIT License b " * 300))]
+    df = spark.createDataFrame([(i, text) for i, (_, (_, text)) in enumerate(rows)], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(df).collect():
+        got[r.doc_id].append((r.license, r.coverage))
+    hits = [any(x == name for x, _ in got[i]) for i, (_, (name, _)) in enumerate(rows)]
+    assert all(dict(got[i]).get("MIT-grant") == 1.0 for i in range(5))
+    assert np.mean(hits[: len(cases)]) > 0.97
+    assert not got[len(cases)] and len(got[len(cases) + 1]) == 300
+
+
+def test_words_without_marks():
+    for n in (1, 16, 17, 40):
+        low, starts, ends, bounds = langid.trimmed_words([f"{'-' * n}foo{'.' * n} {'*' * n} a-b".encode()])
+        assert [bytes(low[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"foo", b"", b"a-b"] and bounds.tolist() == [0, 3]
+
+
 def test_licenses_odd(odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
