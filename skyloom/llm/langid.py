@@ -27,7 +27,7 @@ from skyloom.llm import _text
 #: About so many texts of each language, and at most so many words of all, are learned from; with more than LANGUAGES
 #: languages the words of all are fewer in proportion, as each word is scored in each language. No language is left out.
 SAMPLE = 400
-WORDS = 1_500_000
+WORDS = 500_000
 LANGUAGES = 64
 #: The share of the words of a language is room for so many texts at least; longer texts are learned from by their start.
 LEAST_TEXTS = 8
@@ -44,17 +44,13 @@ def trimmed_words(raws: list[bytes]):
     """Lower-cased block, starts and ends of words without marks around them, and bounds of texts."""
     data, at = _text.join(raws)
     starts, ends, bounds = _text.word_spans(data, at)
-    starts, ends = starts.copy(), ends.copy()
-    for _ in range(16):
-        go = (ends > starts) & _TRIM[data[np.maximum(ends - 1, 0)]]
-        if not go.any():
-            break
-        ends[go] -= 1
-    for _ in range(16):
-        go = (ends > starts) & _TRIM[data[np.minimum(starts, len(data) - 1)]]
-        if not go.any():
-            break
-        starts[go] += 1
+    if len(starts):
+        # the nearest byte that is no mark, from the front and from the back; words of marks alone are empty
+        at, plain = np.arange(len(data)), ~_TRIM[data]
+        behind = np.minimum.accumulate(np.where(plain, at, len(data))[::-1])[::-1][starts]
+        before = np.maximum.accumulate(np.where(plain, at, -1))[ends - 1]
+        empty = behind >= ends
+        starts, ends = np.where(empty, starts, behind), np.where(empty, starts, before + 1)
     return _text.LOWER[data], starts, ends, bounds
 
 
@@ -193,11 +189,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, seed: int = 9) -
     if not names:
         return Model([], np.zeros((TABLE, 1)), np.zeros((1, 1)))
     labels = len(names)
-    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    low, starts, ends, bounds = trimmed_words(raws)
-    keys = _text.span_hashes(low, starts, ends)
-    _, lead, which = np.unique(keys, return_index=True, return_inverse=True)
+    low, starts, ends, bounds = trimmed_words([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    _, lead, which = np.unique(_text.span_hashes(low, starts, ends), return_index=True, return_inverse=True)
     slots, grams, owner, count, _ = word_features(low, starts[lead], ends[lead])
+    del low, starts, ends
     truth = np.repeat([names.index(x) for x in langs], np.diff(bounds))
     # passages of 10 to 150 words, then shuffled and joined
     rng = np.random.default_rng(seed)
@@ -290,9 +285,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     nearest = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     small = picked.select("doc_id", "lang", (F.length("text") / 6).alias("n"), "h").withColumn("k", nearest).where(F.col("k") <= 2 * sample).collect()
     kept = _within_shares(small, budget)
-    rows = [r for r in picked.where(F.col("doc_id").isin(sorted({i for i, _ in kept}))).select("doc_id", "text", "lang").collect() if (r["doc_id"], r["lang"]) in kept] if kept else []
+    if not kept:
+        return train([], [])
+    # as many rows as texts to learn from
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sorted(kept, key=str), "doc_id long, lang string"))
+    rows = picked.join(ids, picked["doc_id"].eqNullSafe(ids["doc_id"]) & (picked["lang"] == ids["lang"]), "left_semi").select("doc_id", "text", "lang").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    texts, langs = [r["text"] for r in rows], [r["lang"] for r in rows]
+    rows = small = None  # the texts once are enough
+    return train(texts, langs)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
