@@ -2,13 +2,14 @@
 
 Features of a text: densities of a seed lexicon and of words and word beginnings learned from labelled
 rows, lexicon words near second-person pronouns, capitals, punctuation, obfuscation and repetition
-rates. The trees, the learned lexicon and the calibration each have their own part of a bounded
-sample of labelled rows (``SAMPLE`` rows, the least by a hash of the id); scoring covers every row in
-one pass without a shuffle.
+rates. The learned lexicon has one half of a bounded sample of labelled rows (``SAMPLE`` rows, the least
+by a hash of the id) and the trees the other; isotonic calibration learns from margins of trees that
+haven't seen their rows (``FOLDS`` folds), whatever the number of rows. Scoring covers every row in one
+pass without a shuffle.
 
 Edge cases: null and empty texts have zero features and a score like any other; documents without a
-label are scored; labels without a document, null labels and repeated labels (the greatest counts)
-don't fail; with no labels or one class the score is the seed lexicon's presence. Only the id and
+label are scored; labels without a document, null labels and repeated labels (the greatest counts, also
+among equal texts) don't fail; with no labels or one class the score is the seed lexicon's presence. Only the id and
 text columns are read, so other columns can't clash.
 """
 
@@ -27,6 +28,7 @@ SAMPLE = 24_000
 #: Most learned words and word beginnings.
 LEXICON = 4_000
 STEMS = (4, 5, 6, 7)
+FOLDS = 3
 # Common insults and second-person words in English, German, French and Spanish.
 INSULTS = (
     "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown clowns pathetic worthless disgusting ugly fool imbecile jerk creep pig filth vermin retard bastard bitch asshole shit fuck fucking hate kill "
@@ -164,7 +166,7 @@ def features(raws: list[bytes], lexicon: tuple[np.ndarray, np.ndarray]) -> np.nd
 class Trees:
     """Gradient-boosted trees of fixed depth for log loss; splits at feature quantiles."""
 
-    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: int = 8, ridge: float = 2.0, cuts: int = 48):
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, least: int = 4, ridge: float = 2.0, cuts: int = 48):
         self.rounds, self.depth, self.rate, self.least, self.ridge, self.cuts = rounds, depth, rate, least, ridge, cuts
         self.start, self.nodes = 0.0, []
 
@@ -285,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000, 1]), pa.array(counts[k : k + 100_000, 0])], names=["item", "pos", "neg"])
 
-    lexical = texts.where("part < 10").withColumn("fp", F.xxhash64("text")).dropDuplicates(["fp"]).select("text", "y")
+    # equal texts count once, as toxic if one of them is
+    lexical = texts.where("part < 10").groupBy(F.sha2("text", 256).alias("fp")).agg(F.max("y").alias("y"), F.min("text").alias("text")).select("text", "y")
     n_pos, n_neg = max(1, int(rows.query("part < 10")["y"].sum())), max(1, int((1 - rows.query("part < 10")["y"]).sum()))
     counted = lexical.mapInArrow(items, "item long, pos long, neg long").groupBy("item").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.2) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.2) / (n_neg + 1.0))
@@ -305,13 +308,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if table.empty or table["y"].nunique() < 2:
         return Model(lexicon, None, None)
     x, y, part = np.array(table["x"].tolist()), table["y"].to_numpy(float), table["part"].to_numpy()
-    grow = part < 17
-    if len(set(y[grow])) < 2:
-        grow = part >= 10
-    least = 8 if grow.sum() > 1000 else 2
-    trees = Trees(least=least).fit(x[grow], y[grow])
-    aside = ~grow if (~grow).any() and len(set(y[~grow])) > 1 else grow
-    steps = isotonic(trees.margin(x[aside]), y[aside]) if aside.sum() >= 200 else None
+    # margins of rows that their trees haven't seen, for the calibration; the trees that stay have seen all
+    unseen = np.zeros(len(y))
+    for fold in range(FOLDS):
+        own = part % FOLDS == fold
+        rest = own if own.all() or len(set(y[~own])) < 2 else ~own
+        unseen[own] = Trees().fit(x[rest], y[rest]).margin(x[own]) if own.any() else 0
+    trees, steps = Trees().fit(x, y), isotonic(unseen, y)
     return Model(lexicon, trees, steps)
 
 
