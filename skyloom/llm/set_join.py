@@ -3,8 +3,10 @@
 1. Equal sets are one class; its least id stands for it.
 2. A set with over 20 % of its shingles in no other set links with nothing. Shingles of a fixed part
    of the hash space are dealt by hash and counted, which finds such sets early.
-3. The others index the prefix that any partner at the threshold must share, the least shingles by
-   hash, with size and position.
+3. The others index the prefix that any partner at the threshold must share, with size and position:
+   the rarest shingles. Shingles in ``COMMON`` sets or more are counted and come last, by their number of
+   sets; all others are in the order of their hashes. So passages that many documents share leave the
+   prefixes of documents that have anything else.
 4. Each index list has a leader. The sets of the list are compared with it, unless sizes and parity
    bitmaps exclude a link, and linked ones join its component.
 5. A list whose sets are all in one component is skipped whole. In the others, only sets of different
@@ -15,7 +17,8 @@
 6. What remains is compared exactly.
 
 Large groups of near copies cost about a comparison a member, not a pair. Every pair at the threshold
-is either compared or already connected, so components are exact (up to 64-bit hash collisions).
+is either compared or already connected, so components are exact (up to collisions of hashes, of which
+64 bits count for equal sets and lonely ones, and the upper 48 bits in comparisons).
 
 Edge cases: null and empty texts have no shingles and are components of their own; rows with equal id
 are one document; rows with null id keep a null component; only the id and text columns are read, so
@@ -40,7 +43,9 @@ PERCENT = 80
 COUNTED = 0.4
 #: Longs of a set's short parity bitmap.
 LONGS = 16
-#: Most ids (8 bytes each) that are broadcast.
+#: Shingles in so many sets or more are common.
+COMMON = 200
+#: Most ids (8 bytes each) or common shingles (16 bytes each) that are broadcast.
 SENT = 1_000_000
 _FLUSH = 1 << 24
 _SIZE_BASE = 1.25
@@ -184,15 +189,68 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, pos: the prefix of each set in the order of hashes."""
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles in ``COMMON`` or more of the sets, and in how many.
+
+    With over ``COMMON * SENT`` shingles in all the number rises so that no more than ``SENT`` can have it.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000 + 1)
+    least = max(COMMON, -(-total // SENT))
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            part = (_text.mix64(tokens) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            filled = np.flatnonzero(np.diff(cuts)).tolist()
+            own = [order[cuts[p] : cuts[p + 1]] for p in filled]
+            return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([tokens[o].tobytes() for o in own], pa.binary()), pa.array([counts[o].astype(np.int32).tobytes() for o in own], pa.binary())], names=["part", "tokens", "counts"])
+
+        for batch in batches:
+            for raw in batch.column("grams").to_pylist():
+                held.append(_unpack(raw))
+                size += len(raw)
+                if size > _FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(batches):
+        found = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for batch in batches for t, c in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+        if found:
+            tokens, which = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+            df = np.bincount(which, np.concatenate([c for _, c in found])).astype(np.int64)
+            often = df >= least
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(df[often])], names=["token", "df"])
+
+    dealt = sets.select("grams").mapInArrow(deal, "part int, tokens binary, counts binary").repartitionById(parts, F.col("part"))
+    # at most SENT rows
+    rows = dealt.mapInArrow(count, "token long, df long").toPandas()
+    tokens, df = rows["token"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], df[order]
+
+
+def _prefixes(sets: DataFrame, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """token, node, n, pos: the prefix of each set, rare shingles by hash, then common ones by the number of sets."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        often, df = shared.value
         for batch in batches:
             nodes, ns, tokens, places = [], [], [], []
             for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "grams")), strict=True):
                 need = -(-percent * n // 100)
-                first = _unpack(raw)[: n - need + 1]
+                own = _unpack(raw)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    own = own[np.lexsort((own, np.where(often[at] == own, df[at], 0)))]
+                first = own[: n - need + 1]
                 tokens.append(first)
                 nodes.append(np.full(len(first), node))
                 ns.append(np.full(len(first), n, np.int32))
@@ -284,7 +342,7 @@ def _same_ids(filled: DataFrame, classes: DataFrame) -> DataFrame:
 def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) at the threshold that connect whatever all links connect; ``sets`` as from ``_sets``."""
     near = 100 * F.col("both").cast("long") >= percent * (F.col("na").cast("long") + F.col("nb") - F.col("both"))
-    prefix = save(_prefixes(sets, percent))
+    prefix = save(_prefixes(sets, percent, common_shingles(sets)))
     leaders = save(prefix.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").select("token", "leader"))
     listed = save(prefix.join(leaders, "token"))
     first = listed.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -321,9 +379,26 @@ def similar_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component, all columns as they are; rows with null id stay."""
-    gone = similar_components(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component, that of the least id, all columns as they are.
+
+    Of rows with equal id one stays, the least by text and then by all columns as JSON. Rows with null id are named
+    by a hash of their text above all usual ids, so of equal ones and of near copies one stays too.
+    """
+    taken = {c.lower() for c in docs.columns}
+    key, mark = (next(n for i in range(len(taken) + 1) if (n := f"_{x}{i}") not in taken) for x in ("node", "mark"))
+    named = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 61)))
+    keyed = docs.withColumn(key, named)
+    placed = save(similar_components(keyed, key, text_col))
+    # ids that go or have several rows; the others need no mention
+    odd = save(placed.groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("gone"), F.count(F.lit(1)).alias("rows")).where("gone or rows > 1").select(F.col("doc_id").alias(key), F.struct("gone", "rows").alias(mark)))
+    marked = keyed.join(F.broadcast(odd) if odd.count() <= SENT else odd, key, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.where(F.col(mark).isNull()).select(*columns)
+    if odd.where(~F.col(f"{mark}.gone")).isEmpty():
+        return kept
+    row = F.struct(*columns)
+    least = marked.where(~F.col(f"{mark}.gone")).groupBy(key).agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias(mark))
+    return kept.unionByName(least.select(f"{mark}.*"))
 
 
 def op5_set_join(spark, sf_dir: str) -> DataFrame:
