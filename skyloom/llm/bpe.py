@@ -265,10 +265,11 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_i
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def token_digests(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Number of ids, and digests of the ids and of what they decode to."""
+def token_digests(docs: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
+    """Number of ids, and digests of the ids and of what they decode to; the ids themselves if asked for."""
     return encode_decode(docs, ranks).select(
         "doc_id",
+        *(["ids"] if with_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),

@@ -335,11 +335,35 @@ def test_set_join_nested_shortest_first(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.similar_components(df).collect()} == brute_components(texts)
 
 
-def test_set_join_odd(odd, empty):
+def test_set_join_common_passages(spark, monkeypatch):
+    """Pairs of near copies that share a passage with all others: the passage isn't in their prefixes, and results don't change."""
+    rng = random.Random(12)
+    passage, texts = " ".join(f"p{i}" for i in range(12)), {}
+    for k in range(150):
+        own = [f"k{k}w{rng.randint(0, 10**6)}" for _ in range(80)]
+        texts[2 * k], texts[2 * k + 1] = " ".join([*own, passage]), " ".join([*own[:-1], f"x{k}", passage])
+    monkeypatch.setattr(set_join, "COMMON", 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = set_join._sets(df.withColumnRenamed("doc_id", "node"), 5)
+    tokens, counts = set_join.common_shingles(sets)
+    assert len(tokens) == 8 and (counts == 300).all()
+    longest = set_join._prefixes(sets, 80, (tokens, counts)).groupBy("token").count().agg(F.max("count")).first()[0]
+    assert longest == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.similar_components(df).collect()} == brute_components(texts)
+
+
+def test_set_join_odd(odd, empty, spark):
     got = {r.doc_id: r.component_id for r in set_join.similar_components(odd).collect()}
     assert got[5] == got[6] == got[7] == got[8] == got[13] == 5 and got[0] == 0 and got[1] == 1
     kept = set_join.keep_representatives(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 9, 10, 11, 12]
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 9, 10, 11, 12]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (1, a, 2), (None, a, 3), (None, b, 4), (None, b + " end", 5), (2, c, 6), (2, c + " more", 7), (None, None, 8), (None, None, 8), (3, "", 9)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, _node0 int").withColumn("_mark0", F.lit("x"))
+    kept = set_join.keep_representatives(clash)
+    got = kept.collect()
+    assert kept.columns == clash.columns and len(got) == 5 and {r.text for r in got if r.doc_id is not None} == {a, c, ""} and {r.text for r in got if r.doc_id is None} < {None, b, b + " end"}
+    assert set_join.keep_representatives(empty).count() == 0
     assert set_join.similar_components(empty).count() == 0
 
 
@@ -675,6 +699,26 @@ def test_pipeline(spark, tmp_path):
             assert sorted(r.doc_id for r in after.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
         if name == "encoding":
             assert after.count() == before.count()
+            ranks = bpe.vocabulary()
+            want = {r.doc_id: r.text or "" for r in before.collect()}
+            for r in after.collect():
+                raw = b"".join({i: t for t, i in ranks.items()}[i] for i in r.ids) if r.doc_id % 50 == 0 else None
+                assert len(r.ids) == r.n_tokens and (raw is None or raw.decode() == want[r.doc_id])
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
     assert json.dumps(corpus_pipeline.ORACLE_SQL) == "null"
+
+
+def test_pipeline_odd(odd, empty, spark, tmp_path):
+    """Whole runs over awkward documents and over none."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 0) for i in range(14)], "doc_id long, toxic int")
+    for name, docs in (("odd", odd), ("empty", empty)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+        kept = [r.doc_id for r in out.collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= set(range(14))
