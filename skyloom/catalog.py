@@ -144,13 +144,18 @@ class Registry:
 
         return keep
 
+    def __contains__(self, name: str) -> bool:
+        return name in self.entries
+
     def build(self, name: str, *args, **kwargs):
         if name not in self.entries:
             raise KeyError(f"no {self.kind} {name!r}; known: {sorted(self.entries)}")
         return self.entries[name](*args, **kwargs)
 
 
-#: Column builders by key, digest providers, side inputs and named datasets: the hooks of the library.
+#: Hooks: column builders by key, what a dataset's digest is made of, side inputs, named datasets, configuration types.
 columns = Registry("column")
+digests = Registry("digest")
 side_inputs = Registry("side input")
 datasets = Registry("dataset")
+configs = Registry("configuration type")

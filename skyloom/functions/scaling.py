@@ -56,7 +56,7 @@ def with_bounds(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
     """
     by = by or []
     bounds = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    return df.join(F.broadcast(bounds), by) if by and len(by) == 1 else df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))
+    return df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))
 
 
 def clip(x: Column, low: Column, high: Column) -> Column:

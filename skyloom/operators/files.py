@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.splits import batch_of, global_rank, rank_within
+
 
 def lines(df: DataFrame, file: str, text: str) -> DataFrame:
     """file, line_no (from 0) and line; only the ends of lines are taken off."""
@@ -55,24 +57,24 @@ def retention_plan(files: DataFrame, path: str, mtime: str, now: Column, older_t
     With ``compat``, "both" falls back to the number if no file is old enough, and to the age if few files are there.
     """
     old = F.col(mtime) < now - older_than if older_than is not None else F.lit(False)
-    w = Window.partitionBy(*([scope] if scope else [F.lit(1)]))
-    rank = F.row_number().over(w.orderBy(F.desc(mtime), F.desc(path)))
-    surplus = (rank > keep) if keep is not None else F.lit(False)
-    flagged = files.withColumn("_old", old).withColumn("_surplus", surplus)
+    keys = [scope] if scope else []
+    ranked = rank_within(files, keys, [mtime, path], "_i", "_n")
+    surplus = F.col("_n") - F.col("_i") > keep if keep is not None else F.lit(False)
+    flagged = ranked.withColumn("_old", F.coalesce(old, F.lit(False))).withColumn("_surplus", surplus)
     if both and older_than is not None and keep is not None:
         rule = F.col("_old") & F.col("_surplus")
         if compat:
-            flagged = flagged.withColumn("_any_old", F.max("_old").over(w)).withColumn("_many", F.max("_surplus").over(w))
+            some = flagged.groupBy(*[F.col(k).alias("_scope") for k in keys]).agg(F.max("_old").alias("_any_old"), F.max("_surplus").alias("_many"))
+            flagged = flagged.join(some, flagged[scope].eqNullSafe(some["_scope"])) if scope else flagged.crossJoin(F.broadcast(some))
             rule = F.when(~F.col("_many"), F.col("_old")).when(~F.col("_any_old"), F.col("_surplus")).otherwise(rule)
     else:
         rule = F.col("_old") | F.col("_surplus")
-    return flagged.where(rule).drop("_old", "_surplus", "_any_old", "_many")
+    return flagged.where(rule).select(*files.columns)
 
 
 def batches_of_paths(files: DataFrame, path: str, size: int, prefix: str = "batch") -> DataFrame:
     """batch, manifest name and paths, by the paths' order."""
     from skyloom.functions.text import zero_filled
-    from skyloom.operators.splits import batch_of, global_rank
 
     numbered = global_rank(files.select(path), [path]).withColumn("batch", batch_of(F.col("idx"), size))
     listed = numbered.groupBy("batch").agg(F.sort_array(F.collect_list(path)).alias("paths"))
@@ -85,6 +87,29 @@ def newest(files: DataFrame, group: str, path: str, mtime: str) -> DataFrame:
     return files.groupBy(group).agg(best.alias("b")).select(group, F.col("b.p").alias(path), F.col("b.t").alias(mtime))
 
 
+def latest_save(files: DataFrame, saves: DataFrame, experiment: str | None, folder: str) -> DataFrame:
+    """network and path of every network saved together with the newest checkpoint file of an experiment.
+
+    ``files`` has path and mtime; ``saves`` has save_id, network and path as they were when saved. The newest file is found
+    by name among the saves; paths get ``folder``, since files may have moved. A file that no save names stands alone under
+    the empty network.
+    """
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    found = files.where(F.lit(True) if experiment is None else name(F.col("path")).contains(experiment))
+    # one row
+    newest_file = found.agg(F.max(F.struct("mtime", "path")).alias("b")).where("b is not null").select(name(F.col("b.path")).alias("_file"))
+    own = saves.join(F.broadcast(newest_file), name(saves["path"]) == F.col("_file")).agg(F.max("save_id").alias("_save"))
+    together = saves.join(F.broadcast(own.where("_save is not null")), saves["save_id"] == F.col("_save")).select("network", name(saves["path"]).alias("_name"))
+    alone = newest_file.crossJoin(F.broadcast(own)).where("_save is null").select(F.lit("").alias("network"), F.col("_file").alias("_name"))
+    return together.unionByName(alone).select("network", F.concat(F.lit(folder.rstrip("/") + "/"), "_name").alias("path"))
+
+
+def last_saved(saves: DataFrame) -> DataFrame:
+    """The last saved path of each network, and its number of saves; networks without a path are left out."""
+    kept = saves.where(F.col("path").isNotNull())
+    return kept.groupBy("network").agg(F.max_by("path", "save_id").alias("last_path"), F.count(F.lit(1)).alias("saves"))
+
+
 def duplicates(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).count().where("count > 1").withColumnRenamed("count", "times")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skyloom.functions.text import readable_duration
+from skyloom.operators.splits import rank_within
 
 
 def minima(df: DataFrame, metric: str, value: str, iteration: str, tracked: DataFrame | None = None) -> DataFrame:
@@ -12,7 +15,7 @@ def minima(df: DataFrame, metric: str, value: str, iteration: str, tracked: Data
 
     NaN isn't below anything: a NaN in the first iteration stays the minimum.
     """
-    src = df if tracked is None else df.join(F.broadcast(tracked.select(metric).distinct()), metric, "left_semi")
+    src = df if tracked is None else df.join(tracked.select(metric).distinct(), metric, "left_semi")
     ordered = F.struct(F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.col(value)).alias("v"), F.col(iteration).alias("i"))
     first = F.min_by(F.struct(F.col(value).alias("v"), F.col(iteration).alias("i")), iteration)
     found = src.groupBy(metric).agg(F.min(ordered).alias("_least"), first.alias("_first"))
@@ -20,6 +23,14 @@ def minima(df: DataFrame, metric: str, value: str, iteration: str, tracked: Data
     return found.select(metric, F.when(stuck, F.col("_first.v")).otherwise(F.col("_least.v")).alias("min_value"), F.when(stuck, F.col("_first.i")).otherwise(F.col("_least.i")).alias("min_iteration"))
 
 
+def improved(before: DataFrame, now: DataFrame, metric: str, value: str, listed: DataFrame | None = None) -> DataFrame:
+    """One row: whether any metric (of those listed) of ``now`` is below its least value so far; a metric without one improves."""
+    least = before.groupBy(metric).agg(F.min(value).alias("_least"))
+    asked = now if listed is None else now.join(listed.select(metric).distinct(), metric, "left_semi")
+    better = F.coalesce(F.col(value) < F.col("_least"), F.col(value).isNotNull())
+    return asked.join(least, metric, "left").agg(F.coalesce(F.max(better), F.lit(False)).alias("any_improved"))
+
+
 def running_minimum(df: DataFrame, metric: str, order: list[str], value: str) -> DataFrame:
     """Least value before each row and whether the row is strictly below it (the first row is)."""
     w = Window.partitionBy(metric).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -28,9 +39,9 @@ def running_minimum(df: DataFrame, metric: str, order: list[str], value: str) ->
 
 def iteration_counts(df: DataFrame, order: list[str], session: str) -> DataFrame:
     """Running counts of iterations, in all and since each session's start, for one sequence a ``loop``."""
-    w = Window.partitionBy("loop").orderBy(*order)
-    s = Window.partitionBy("loop", session).orderBy(*order)
-    return df.withColumn("lifetime", F.row_number().over(w).cast("long")).withColumn("since_restart", F.row_number().over(s).cast("long"))
+    counted = rank_within(df, ["loop"], order, "lifetime", "_n").drop("_n")
+    counted = rank_within(counted, ["loop", session], order, "since_restart", "_n").drop("_n")
+    return counted.withColumns({c: F.col(c) + 1 for c in ("lifetime", "since_restart")})
 
 
 def remaining_time(df: DataFrame, key: str, order: list[str], seconds: str, expected: int) -> DataFrame:
@@ -41,47 +52,45 @@ def remaining_time(df: DataFrame, key: str, order: list[str], seconds: str, expe
     return df.withColumn("call", n.cast("long")).withColumn("eta", F.when(n == 1, None).when(n >= expected, F.lit(0.0)).otherwise(F.try_divide(elapsed, (n - 1).cast("double")) * (F.lit(expected) - n)))
 
 
+def eta_suffix(eta: Column) -> Column:
+    """What a message ends with: the time left in words, "unknown" at the first call (null) and "done" at the end (0 or less)."""
+    shown = F.when(eta.isNull(), "unknown").when(eta <= 0, "done").otherwise(readable_duration(eta))
+    return F.concat(F.lit(" (ETA: "), shown, F.lit(")"))
+
+
 def rate_limited(df: DataFrame, key: str, order: str, seconds: str, delay: float, tolerance: int) -> DataFrame:
     """Whether each message of an identifier passes: the first ``tolerance`` do, later ones only ``delay`` after the last that passed.
 
-    A fold over each identifier's sorted messages; identifiers are assumed to have messages that fit a row
-    (split a longer history by day, or use the streaming twin).
+    Each message depends on those before it, so an identifier's messages are read in order by one task; it keeps two
+    numbers for it, however many messages there are.
     """
-    item = T.StructType([T.StructField("o", df.schema[order].dataType), T.StructField("s", T.DoubleType()), T.StructField("emitted", T.BooleanType())])
-    state = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("last"), F.array().cast(T.ArrayType(item)).alias("rows"))
-    entries = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(seconds).cast("double").alias("s"))))
+    src = df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(seconds).cast("double").alias("s"))
+    kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
 
-    def step(acc, x):
-        blocked = F.coalesce((x["s"] - acc["last"] < delay) & (acc["n"] >= tolerance), F.lit(False))
-        return F.struct(
-            F.when(blocked, acc["n"]).otherwise(acc["n"] + 1).alias("n"),
-            F.when(blocked, acc["last"]).otherwise(x["s"]).alias("last"),
-            F.concat(acc["rows"], F.array(F.struct(x["o"].alias("o"), x["s"].alias("s"), (~blocked).alias("emitted")))).alias("rows"),
-        )
+    def run(batches):
+        now, n, last = object(), 0, None
+        for batch in batches:
+            passed = []
+            for own, s in zip(batch.column("key").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                if own != now:
+                    now, n, last = own, 0, None
+                ok = n < tolerance or last is None or s is None or not s - last < delay
+                if ok:
+                    n, last = n + 1, s
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("order"), pa.array(passed, pa.bool_())], names=["key", "order", "emitted"])
 
-    grouped = df.groupBy(key).agg(entries.alias("e"))
-    return grouped.select(key, F.explode(F.aggregate("e", state, step)["rows"]).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.emitted").alias("emitted"))
+    told = src.repartition("key").sortWithinPartitions("key", "order", "s").mapInArrow(run, f"key {kinds['key']}, order {kinds['order']}, emitted boolean")
+    return told.select(F.col("key").alias(key), F.col("order").alias(order), "emitted")
 
 
-def tail_part(df: DataFrame, metric: str, order: list[str], fraction: float | None = None, number: int | None = None) -> DataFrame:
-    """The last part of each series by fraction of its rows (rounded up) or by number.
+def first_held_back(limited: DataFrame, key: str, order: str) -> DataFrame:
+    """The one message at which a single warning says that messages are left out: the first held back, of all identifiers; no row if there is none."""
+    return limited.where(~F.col("emitted")).select(order, key).orderBy(order, key).limit(1)
 
-    Rows are dealt by series and range of the first order column (a number, date or time; other types are one range) and
-    numbered within; the ranges' sizes give the rows after each, so that no series is held by one task.
-    """
-    lead, n = F.col(order[0]), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.lit(0)
-    if isinstance(df.schema[order[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) and n > 1:
-        # at most one cut a shuffle partition
-        cuts = df.agg(F.percentile_approx(lead, [i / n for i in range(1, n)], 1000).alias("c"))
-        marks = sorted(set(cuts.first()["c"] or []))
-        slot = F.aggregate(F.array(*map(F.lit, marks)), F.lit(0), lambda a, c: a + F.coalesce(lead >= c, F.lit(False)).cast("int")) if marks else slot
-    dealt = df.withColumn("_slot", slot)
-    series = Window.partitionBy("_metric")
-    sizes = dealt.groupBy(F.col(metric).alias("_metric"), F.col("_slot").alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
-    after = F.sum("_n").over(series.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
-    limit = F.lit(number) if fraction is None else F.ceil(F.sum("_n").over(series) * F.lit(fraction))
-    wanted = sizes.select("_metric", "_range", F.coalesce(after, F.lit(0)).alias("_after"), limit.alias("_limit")).where("_after < _limit")
-    met = dealt.join(wanted, dealt[metric].eqNullSafe(wanted["_metric"]) & (dealt["_slot"] == wanted["_range"]))
-    back = F.row_number().over(Window.partitionBy(metric, "_slot").orderBy(*[F.desc(c) for c in order]))
-    return met.withColumn("_back", back).where("_after + _back <= _limit").select(*df.columns)
+
+def tail_part(df: DataFrame, metric: str, order: list[str], fraction: float | None = None, number: int | None = None) -> DataFrame:
+    """The last part of each series by fraction of its rows (rounded up) or by number; no task holds a series alone."""
+    ranked = rank_within(df, [metric], order, "_i", "_n")
+    limit = F.lit(number) if fraction is None else F.ceil(F.col("_n") * F.lit(fraction))
+    return ranked.where(F.col("_n") - F.col("_i") <= limit).select(*df.columns)

@@ -1,16 +1,10 @@
-"""U-shaped convolution networks on samples: weight layouts, parameter counts and inference by partition.
+"""Weight layouts of U-shaped networks as tables, and their parameter counts.
 
-A network is a list of named weight arrays; inference is NumPy inside ``mapInPandas`` with the weights
-broadcast (their size is the network's). Batch normalisation uses running statistics, so a sample's
-output doesn't depend on the batch it is read in.
+Networks aren't run here: training and inference are no work for this library.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,107 +100,15 @@ class Network:
     def parameter_rows(self) -> list[tuple[str, list[int]]]:
         return [(n, list(s)) for n, s in self.layout.weights.items()]
 
-    def initial(self, seed: int = 0) -> dict[str, np.ndarray]:
-        """He-normal kernels, unit norms, zero biases."""
-        rng = np.random.default_rng(seed)
-        out = {}
-        for name, shape in self.layout.weights.items():
-            fan = int(np.prod(shape[1:])) if len(shape) > 1 else 1
-            out[name] = rng.normal(0, np.sqrt(2 / fan), shape) if len(shape) > 1 else np.ones(shape) if name.endswith("weight") else np.zeros(shape)
-        return out | {n: np.ones(s) if n.endswith("var") else np.zeros(s) for n, s in self.layout.fixed.items()}
-
-    def _stage(self, w: dict, name: str, x: np.ndarray) -> np.ndarray:
-        if self.is_dense:
-            for i in range(self.layers):
-                x = np.concatenate([x, conv2d(np.maximum(norm(x, w, f"{name}.{i}.n"), 0), w[f"{name}.{i}.c.weight"])], axis=1)
-        else:
-            for i in "12":
-                x = np.maximum(norm(conv2d(x, w[f"{name}.c{i}.weight"]), w, f"{name}.n{i}"), 0)
-        return squeeze_gate(x, w[f"{name}.gate.a"], w[f"{name}.gate.b"]) if f"{name}.gate.a" in w else x
-
-    def forward(self, w: dict[str, np.ndarray], x: np.ndarray, linear: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """Output (samples, channels, height, width) of inputs of that form."""
-        kept = [self._stage(w, "in", x)]
-        for d in range(self.depth):
-            kept.append(self._stage(w, f"down{d}", max_pool(kept[-1])))
-        x = kept[-1]
-        if linear is not None:
-            if not self.bottom:
-                raise ValueError("a linear input needs a 1x1 bottom")
-            flat = np.concatenate([x.max(axis=(2, 3)), linear], axis=1)
-            x = np.einsum("bi,iohw->bohw", flat, w["bottom.weight"]) + w["bottom.bias"][:, None, None]
-        for u in range(self.steps):
-            x = upsample(x, w[f"up{u}.t.weight"], w[f"up{u}.t.bias"])
-            if u < self.depth:
-                x = np.concatenate([kept[self.depth - 1 - u], x], axis=1)
-            if last is not None and u == self.steps - 1:
-                x = np.concatenate([last, x], axis=1)
-            x = self._stage(w, f"up{u}", x)
-        return conv2d(x, w["out.weight"]) + w["out.bias"][:, None, None]
-
-
-def conv2d(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Same-size convolution with zero padding."""
-    p = k.shape[2] // 2
-    padded = np.pad(x, ((0, 0), (0, 0), (p, p), (p, p)))
-    seen = np.lib.stride_tricks.sliding_window_view(padded, k.shape[2:], axis=(2, 3))
-    return np.einsum("bchwij,ocij->bohw", seen, k, optimize=True)
-
-
-def norm(x: np.ndarray, w: dict, name: str) -> np.ndarray:
-    scale = w[f"{name}.weight"] / np.sqrt(w[f"{name}.var"] + 1e-5)
-    return x * scale[:, None, None] + (w[f"{name}.bias"] - w[f"{name}.mean"] * scale)[:, None, None]
-
-
-def max_pool(x: np.ndarray) -> np.ndarray:
-    b, c, h, w = x.shape
-    return x[:, :, : h // 2 * 2, : w // 2 * 2].reshape(b, c, h // 2, 2, w // 2, 2).max(axis=(3, 5))
-
-
-def upsample(x: np.ndarray, k: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Transposed convolution with kernel and stride 2."""
-    b, _, h, w = x.shape
-    return np.einsum("bchw,coij->bohiwj", x, k, optimize=True).reshape(b, k.shape[1], 2 * h, 2 * w) + bias[:, None, None]
-
-
-def squeeze_gate(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Channels weighted by a sigmoid of a bottleneck over their means."""
-    y = np.maximum(x.mean(axis=(2, 3)) @ a.T, 0) @ b.T
-    return x / (1 + np.exp(-y))[:, :, None, None]
-
-
-def linear_relu(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], output: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Hidden layers with ReLU; with an output layer, log-softmax of it."""
-    for w, b in layers:
-        x = np.maximum(x @ w.T + b, 0)
-    if output is None:
-        return x
-    y = x @ output[0].T + output[1]
-    y = y - y.max(axis=1, keepdims=True)
-    return y - np.log(np.exp(y).sum(axis=1, keepdims=True))
-
 
 def parameter_counts(layers: DataFrame) -> DataFrame:
-    """network and number of parameters from rows (network, name, shape)."""
+    """network, parameters and trainable ones from rows (network, name, shape, trainable), with a row ``total`` over all networks."""
     size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n.cast("long"))
-    return layers.groupBy("network").agg(F.sum(size).alias("parameters"))
-
-
-def layout_table(spark: SparkSession, networks: dict[str, Network]) -> DataFrame:
-    rows = [(n, name, shape) for n, net in networks.items() for name, shape in net.parameter_rows()]
-    return spark.createDataFrame(rows, "network string, name string, shape array<int>").coalesce(1)
-
-
-def predict(samples: DataFrame, network: Network, weights: dict[str, np.ndarray], key: str, array: str, shape: Shape, batch: int = 16) -> DataFrame:
-    """key, output (row-major) and its shape for samples with a row-major ``array`` of (channels, height, width)."""
-    shared = samples.sparkSession.sparkContext.broadcast(weights)
+    sized = layers.select("network", size.alias("n"), F.when(F.col("trainable"), size).otherwise(0).alias("t"))
+    return sized.rollup("network").agg(F.sum("n").alias("parameters"), F.sum("t").cast("long").alias("trainable")).withColumn("network", F.coalesce("network", F.lit("total")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                y = network.forward(shared.value, np.stack([np.asarray(a, float).reshape(shape) for a in part[array]]))
-                yield pd.DataFrame({key: part[key].to_numpy(), "output": [a.ravel().tolist() for a in y], "shape": [list(y.shape[1:])] * len(part)})
 
-    kind = samples.schema[key].dataType.simpleString()
-    return samples.select(key, array).mapInPandas(run, f"{key} {kind}, output array<double>, shape array<int>")
+def layout_table(spark: SparkSession, networks: dict[str, Network], frozen: tuple[str, ...] = ()) -> DataFrame:
+    """A row a weight array: network, name, shape and whether it is trainable (its name begins with none of ``frozen``)."""
+    rows = [(n, name, shape, not name.startswith(frozen) if frozen else True) for n, net in networks.items() for name, shape in net.parameter_rows()]
+    return spark.createDataFrame(rows, "network string, name string, shape array<int>, trainable boolean").coalesce(1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.splits import rank_within
+
 
 def order_violations(df: DataFrame, series: str, order: list[str], time: str) -> DataFrame:
     """Rows whose time isn't above that of the row before in their series, with ``previous_time``."""
@@ -14,39 +16,30 @@ def order_violations(df: DataFrame, series: str, order: list[str], time: str) ->
 
 def counter_time(df: DataFrame, series: str, order: list[str], name: str = "counter") -> DataFrame:
     """0, 1, 2 ... in the order of each series."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(series).orderBy(*order)) - 1).cast("long"))
-
-
-def bucket_plan(n: int, limit: int, keep_start: int = 0, keep_end: int = 0) -> list[int]:
-    """Bucket of each of ``n`` points appended to a series of at most ``limit`` buckets.
-
-    When an append exceeds the limit, neighbouring buckets are joined in pairs, but for the first
-    ``keep_start`` and the last ``keep_end``; an odd one stays. The result depends on counts alone.
-    """
-    sizes: list[int] = []
-    for _ in range(n):
-        sizes.append(1)
-        if len(sizes) > limit:
-            end = len(sizes) - keep_end
-            middle = sizes[keep_start:end]
-            pairs = [sum(middle[i : i + 2]) for i in range(0, len(middle), 2)]
-            sizes = sizes[:keep_start] + pairs + sizes[end:]
-    return [b for b, size in enumerate(sizes) for _ in range(size)]
+    return rank_within(df, [series], order, name, "_n").drop("_n")
 
 
-def odd_limit_bucket(i: Column, n: Column, limit: int) -> Column:
-    """``bucket_plan`` in closed form for an odd limit without kept ends.
+def bucket_of(i: Column, n: Column, limit: int, keep_start: int = 0, keep_end: int = 0) -> Column:
+    """Bucket of point ``i`` of ``n`` appended one by one to a series of at most ``limit`` buckets.
 
-    With ``limit = 2m - 1`` the first 2m points have met ``P`` joins; each later group of m points one less.
+    When an append exceeds the limit, neighbouring buckets are joined in pairs, but for the first ``keep_start`` and
+    the last ``keep_end``; an odd one stays. Counts alone decide, in closed form: of the m = limit + 1 - keep_start -
+    keep_end buckets in the middle each joining takes f = m // 2 away, so joinings come every f points after the first.
+    A point enters ``f`` places lower for each joining before it, moves down by f in each while it is among the kept
+    last ones, and its place in the middle is halved by each joining after that.
     """
-    if limit % 2 == 0 or limit < 3:
-        raise ValueError("the closed form is for odd limits of 3 or more")
-    m = (limit + 1) // 2
-    rounds = F.when(n < 2 * m, F.lit(0)).otherwise(F.floor((n - 2 * m) / F.lit(m)) + 1).cast("int")
-    q = F.floor((i - 2 * m) / F.lit(m)).cast("int")
-    early = F.call_function("shiftright", i.cast("long"), F.least(rounds, F.lit(62)))
-    late = F.call_function("shiftright", (F.lit(m) + F.pmod(i - 2 * m, F.lit(m))).cast("long"), F.least(F.greatest(rounds - 1 - q, F.lit(0)), F.lit(62)))
-    return F.when(i < 2 * m, early).otherwise(late)
+    middle = limit + 1 - keep_start - keep_end
+    f, end = middle // 2, keep_start + middle
+    if limit < 1 or f < 1:
+        raise ValueError("the limit leaves no two buckets to join")
+    rounds = lambda points: F.when(points <= limit, F.lit(0)).otherwise(F.floor((points - limit - 1) / F.lit(f)) + 1).cast("long")
+    before = rounds(i)
+    entered = i - f * before
+    left = rounds(n) - before
+    moving = F.when(entered < end, F.lit(0)).otherwise(F.least(left, F.floor((entered - end) / F.lit(f)).cast("long") + 1))
+    place = (entered - f * moving).cast("long")
+    halved = keep_start + F.call_function("shiftright", (place - keep_start).cast("long"), F.least(left - moving, F.lit(62)).cast("int"))
+    return F.when(place < keep_start, place).otherwise(halved)
 
 
 def _summarise(df: DataFrame, series: str, time: str, value: str) -> DataFrame:
@@ -56,29 +49,16 @@ def _summarise(df: DataFrame, series: str, time: str, value: str) -> DataFrame:
     return g.select(series, "bucket", ((F.col("lo") + F.col("hi")) / 2).alias("time"), F.when(many, F.col("lo")).alias("lo"), F.when(many, F.col("hi")).alias("hi"), "cnt", "value")
 
 
-def compact(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0, longest: int = 1_000_000) -> DataFrame:
-    """Each series within ``limit`` buckets, as appending its points one by one would leave it.
-
-    For odd limits without kept ends the bucket is a column expression. Otherwise the plans of the
-    distinct series lengths are made once and joined; lengths over ``longest`` are refused.
-    """
-    w = Window.partitionBy(series)
-    numbered = df.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    if limit % 2 and limit >= 3 and not keep_start and not keep_end:
-        placed = numbered.withColumn("bucket", odd_limit_bucket(F.col("i"), F.col("n"), limit))
-    else:
-        lengths = [r["n"] for r in df.groupBy(series).agg(F.count(F.lit(1)).alias("n")).select("n").distinct().limit(10_001).collect()]
-        if len(lengths) > 10_000 or max(lengths, default=0) > longest:
-            raise ValueError("too many or too long series for a bucket plan; use an odd limit without kept ends")
-        plans = [(n, i, b) for n in lengths for i, b in enumerate(bucket_plan(n, limit, keep_start, keep_end))]
-        placed = numbered.join(df.sparkSession.createDataFrame(plans, "n long, i int, bucket long"), ["n", "i"])
-    return _summarise(placed, series, time, value)
+def compact(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0) -> DataFrame:
+    """Each series within ``limit`` buckets, as appending its points one by one would leave it; the bucket is a column expression."""
+    numbered = rank_within(df, [series], order, "i", "n")
+    return _summarise(numbered.withColumn("bucket", bucket_of(F.col("i"), F.col("n"), limit, keep_start, keep_end)), series, time, value)
 
 
 def merge_pairs(df: DataFrame, series: str, order: list[str], time: str, value: str) -> DataFrame:
     """One pass: neighbouring points in pairs, an odd last one alone."""
-    w = Window.partitionBy(series).orderBy(*order)
-    return _summarise(df.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / F.lit(2))), series, time, value)
+    numbered = rank_within(df, [series], order, "i", "n")
+    return _summarise(numbered.withColumn("bucket", F.floor(F.col("i") / F.lit(2))), series, time, value)
 
 
 def weighted_mean(df: DataFrame, series: str, value: str, count: str) -> DataFrame:

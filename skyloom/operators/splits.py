@@ -8,27 +8,62 @@ from pyspark.sql import functions as F
 SPLITS = ("train", "validation", "test")
 
 
+#: Rows of the sample for each range's bound.
+SAMPLED = 60
+
+
+def dealt_by_key(df: DataFrame, order: list[Column | str], buckets: int | None = None) -> DataFrame:
+    """``_key``, a struct of the order and a hash of the row, and ``_slot``, its range among even ranges of keys.
+
+    Bounds are keys of a sample, so ranges are even whatever the keys look like; a hash of the key chooses the sample,
+    so they are the same whenever they are computed. They are one broadcast row, ``SAMPLED`` keys a range before they are thinned.
+    """
+    n = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    fields = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(fields)], F.xxhash64(*hashed).alias("tie")))
+    rows = df.count()
+    part = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = keyed.where(part < SAMPLED * n / max(1, rows)).agg(F.sort_array(F.collect_list("_key")).alias("keys"))
+    thinned = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at("keys", (i * F.size("keys") / F.lit(n + 1)).cast("int") + 1))
+    bounds = sample.select(F.when(F.size("keys") > 0, thinned).alias("_bounds"))
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+    slot = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at("_bounds", at + s) <= F.col("_key"), F.lit(False)), at + s).otherwise(at))
+    return keyed.crossJoin(F.broadcast(bounds)).withColumn("_slot", slot).drop("_bounds")
+
+
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "idx", buckets: int | None = None) -> DataFrame:
     """Zero-based rank of every row in a total order without gathering all rows in one task.
 
     Rows are dealt into ordered ranges, numbered within each range, and shifted by the rows of the ranges before.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_key", F.struct(*[F.col(c).alias(f"k{i}") if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(order)]))
-    lead = keyed.select(F.col("_key.k0").alias("k"))
-    dtype = lead.schema["k"].dataType.typeName()
-    if dtype in ("long", "integer", "double", "float", "short", "byte"):
-        cuts = sorted(set(lead.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 1000).alias("c")).first()["c"] or [])) if n > 1 else []
-        slot = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + (F.col("_key.k0") >= c).cast("int")) if cuts else F.lit(0)
-    else:
-        # text, such as a hash: ranges by the first two characters
-        slot = F.coalesce(F.ascii(F.col("_key.k0")) * 256 + F.ascii(F.substring(F.col("_key.k0"), 2, 1)), F.lit(-1))
-    dealt = keyed.withColumn("_slot", slot)
-    w = Window.partitionBy("_slot").orderBy("_key")
-    sizes = dealt.groupBy("_slot").count()
-    # one row a range: at most some ten thousand
-    before = sizes.select("_slot", (F.sum("count").over(Window.orderBy("_slot")) - F.col("count")).alias("_before"))
-    return dealt.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(before), "_slot").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_key", "_slot", "_rank", "_before")
+    dealt = dealt_by_key(df, order, buckets)
+    # one row a range
+    before = dealt.groupBy("_slot").count().select("_slot", (F.sum("count").over(Window.orderBy("_slot")) - F.col("count")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_slot").orderBy("_key"))
+    return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_slot").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_key", "_slot", "_rank", "_before")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "i", size: str = "n") -> DataFrame:
+    """Zero-based rank of every row among those of equal keys (null is a key), and their number; no task holds a frequent key alone.
+
+    Rows are dealt into ranges of key and order and numbered by key and range; a table of the sizes of both shifts them.
+    """
+    if not keys:
+        whole = df.agg(F.count(F.lit(1)).alias(size))
+        return global_rank(df, order, name).crossJoin(F.broadcast(whole))
+    dealt = dealt_by_key(df, [*keys, *order])
+    by = [F.col(k).alias(f"_by_{k}") for k in keys]
+    sizes = dealt.groupBy(*by, F.col("_slot").alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy(*[f"_by_{k}" for k in keys])
+    before = F.sum("_rows").over(own.orderBy("_range")) - F.col("_rows")
+    sizes = sizes.select("*", before.alias("_before"), F.sum("_rows").over(own).alias(size))
+    same = F.col("_slot") == F.col("_range")
+    for k in keys:
+        same = same & dealt[k].eqNullSafe(sizes[f"_by_{k}"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_key"))
+    met = dealt.withColumn("_rank", rank).join(sizes, same)
+    return met.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_key", "_slot", "_rank", "_range", "_rows", "_before", *[f"_by_{k}" for k in keys])
 
 
 def split_sizes(n: int, train: float = 0.8, test_of_rest: float = 0.5) -> tuple[int, int, int]:
@@ -38,15 +73,23 @@ def split_sizes(n: int, train: float = 0.8, test_of_rest: float = 0.5) -> tuple[
     return first, n - first - test, test
 
 
+def seeded_order(id_col: str, seed: int) -> list[Column]:
+    """An order by a seeded hash of the id."""
+    return [F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"), 256), F.col(id_col)]
+
+
 def split_by_rank(df: DataFrame, order: list, train: float = 0.8, test_of_rest: float = 0.5, shuffle_seed: int | None = None, id_col: str | None = None) -> DataFrame:
     """``idx`` and ``split`` by rank: contiguous in the order, or in the order of a seeded hash of ``id_col``."""
-    if shuffle_seed is not None:
-        order = [F.sha2(F.concat(F.lit(f"{shuffle_seed}:"), F.col(id_col).cast("string")).cast("binary"), 256), F.col(id_col)]
     first, validation, _ = split_sizes(df.count(), train, test_of_rest)
-    ranked = global_rank(df, order)
+    ranked = global_rank(df, order if shuffle_seed is None else seeded_order(id_col, shuffle_seed))
     return ranked.withColumn("split", F.when(F.col("idx") < first, "train").when(F.col("idx") < first + validation, "validation").otherwise("test"))
 
 
+def shuffle_within(df: DataFrame, split: str, id_col: str, seed: int, name: str = "position") -> DataFrame:
+    """Position of every row in its split, shuffled by a seeded hash of the id; rows stay in their splits."""
+    return rank_within(df, [split], seeded_order(id_col, seed), name, "_size").drop("_size")
+
+
 def batch_of(idx: Column, size: int) -> Column:
     return F.floor(idx / F.lit(size)).cast("long")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_long(df: DataFrame, keys: list[str], array: str, width: int) -> DataFrame:
@@ -47,9 +48,22 @@ def tiles(df: DataFrame, keys: list[str], height: int, width: int, size: int, st
 
 
 def collate(df: DataFrame, group: str, order: str, array: str) -> DataFrame:
-    """Samples of a batch joined along the first axis, in order, with their number. A batch fits a row by definition."""
-    listed = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(array).alias("_a"))))
-    return df.groupBy(group).agg(listed.alias("_l")).select(group, F.size("_l").cast("long").alias("samples"), F.flatten(F.transform("_l", lambda s: s["_a"])).alias(array))
+    """Samples of a batch joined along the first axis, in order, with their number. A batch fits a row by definition.
+
+    ``array`` is an array or a struct of arrays and structs: each leaf is joined, under the names of the column's type. A
+    leaf that is no array is refused.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(array).alias("_a"))))
+
+    def joined(kind: T.DataType, leaf) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.struct(*[joined(f.dataType, lambda s, n=f.name: leaf(s)[n]).alias(f.name) for f in kind.fields])
+        if not isinstance(kind, T.ArrayType):
+            raise TypeError(f"{array}: {kind.simpleString()} can't be joined along its first axis")
+        return F.flatten(F.transform("_l", lambda s: leaf(s)))
+
+    kind = df.schema[array].dataType
+    return df.groupBy(group).agg(listed.alias("_l")).select(group, F.size("_l").cast("long").alias("samples"), joined(kind, lambda s: s["_a"]).alias(array))
 
 
 def unmasked_fraction(array: Column, mask: Column) -> Column:

@@ -8,25 +8,11 @@ import os
 import string
 import types
 import typing
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from pathlib import Path
 
-_types: dict[str, type] = {}
-
-
-def register_config(name: str, overwrite: bool = False) -> Callable[[type], type]:
-    """Make a dataclass known under ``type: name`` in configurations."""
-
-    def keep(cls: type) -> type:
-        if name in _types and not overwrite:
-            raise ValueError(f"configuration type {name!r} is registered already")
-        _types[name] = cls
-        return cls
-
-    return keep
-
+from skyloom.catalog import configs
 
 def read_mapping(source: dict | str | Path) -> dict:
     """A dictionary as it is, or the mapping in a YAML or JSON file."""
@@ -57,25 +43,37 @@ def merge_folder(folder: str | Path) -> dict:
     return out
 
 
+def _named(values: dict):
+    """Nested mappings with a ``type`` become what is registered under it; an unknown type raises."""
+    if "type" in values:
+        if values["type"] not in configs:
+            raise ValueError(f"unknown configuration type {values['type']!r}; known: {sorted(configs.entries)}")
+        return build(configs.entries[values["type"]], {k: v for k, v in values.items() if k != "type"})
+    return {k: _named(v) if isinstance(v, dict) else v for k, v in values.items()}
+
+
 def _convert(value, kind):
     origin, args = typing.get_origin(kind), typing.get_args(kind)
     if value is None:
         return None
     if origin in (typing.Union, types.UnionType):
         return _convert(value, next(a for a in args if a is not type(None)))
+    if isinstance(value, dict) and "type" in value:
+        made = _named(value)
+        if dataclasses.is_dataclass(kind) and not isinstance(made, kind):
+            raise ValueError(f"{value['type']!r} is no {kind.__name__}")
+        return made
     if dataclasses.is_dataclass(kind) and isinstance(value, dict):
         return build(kind, value)
-    if isinstance(value, dict) and value.get("type") in _types:
-        return build(_types[value["type"]], {k: v for k, v in value.items() if k != "type"})
     if kind is Path:
         return Path(value)
     if kind is datetime and isinstance(value, str):
         return datetime.fromisoformat(value)
     if origin is tuple and isinstance(value, list):
-        return tuple(value)
+        return tuple(_convert(v, args[0]) if args else v for v in value)
     if origin is dict and isinstance(value, dict):
         return {k: _convert(v, args[1]) for k, v in value.items()}
-    return value
+    return _named(value) if isinstance(value, dict) else value
 
 
 def build(cls: type, values: dict):
@@ -121,7 +119,7 @@ class RetentionConfig:
     excludes: tuple[str, ...] = ()
 
 
-@register_config("UNet")
+@configs.register("UNet")
 @dataclass(frozen=True, slots=True)
 class UNetConfig:
     in_channels: int = 2
@@ -145,6 +143,27 @@ class PreprocessingConfig:
     max_save_count: int | None = None
 
 
+@dataclass(frozen=True, slots=True)
+class ManagerConfig:
+    """Networks by name and where their checkpoints are kept."""
+
+    path: Path
+    experiment: str = ""
+    networks: dict[str, UNetConfig] = field(default_factory=dict)
+    retention: RetentionConfig = field(default_factory=RetentionConfig)
+
+
+@configs.register("downscaling")
+@dataclass(frozen=True, slots=True)
+class WorkflowConfig:
+    """A run: its dataset, loop, networks and the settings of its steps by name, each with a ``type``."""
+
+    dataset: DatasetConfig
+    loop: LoopConfig = field(default_factory=LoopConfig)
+    manager: ManagerConfig | None = None
+    steps: dict[str, object] = field(default_factory=dict)
+
+
 @dataclass(frozen=True, slots=True)
 class InferenceConfig:
     path_models: Path

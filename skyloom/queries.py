@@ -81,18 +81,19 @@ def _(spark, sf):
     return df.select("event_id", r6(S.normalize_log(F.col("value"), F.col("_low"), F.col("_high"), F.lit(1e-3))).alias("scaled"))
 
 
-@query("inverse_normalize_linear", "SELECT event_id, round(value, 6) AS restored FROM events")
+_Y = "(value % 201 / 100.0 - 1)"
+
+
+@query("inverse_normalize_linear", f"SELECT event_id, round(lo + ({_Y} + 1) * (hi - lo) / 2, 6) AS restored FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)")
 def _(spark, sf):
     df = S.with_bounds(table(spark, sf, "events").select("event_id", "value"), "value")
-    y = S.normalize(F.col("value"), F.col("_low"), F.col("_high"))
-    return df.select("event_id", r6(S.inverse_normalize(y, F.col("_low"), F.col("_high"))).alias("restored"))
+    return df.select("event_id", r6(S.inverse_normalize(F.col("value") % 201 / 100.0 - 1, F.col("_low"), F.col("_high"))).alias("restored"))
 
 
-@query("inverse_normalize_log", "SELECT event_id, round(value, 6) AS restored FROM events")
+@query("inverse_normalize_log", f"SELECT event_id, round(exp(ln(1e-3) + ({_Y} + 1) * (ln(hi - lo + 1e-3) - ln(1e-3)) / 2) - 1e-3 + lo, 6) AS restored FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)")
 def _(spark, sf):
     df = S.with_bounds(table(spark, sf, "events").select("event_id", "value"), "value")
-    low, high, off = F.col("_low"), F.col("_high"), F.lit(1e-3)
-    return df.select("event_id", r6(S.inverse_normalize_log(S.normalize_log(F.col("value"), low, high, off), low, high, off)).alias("restored"))
+    return df.select("event_id", r6(S.inverse_normalize_log(F.col("value") % 201 / 100.0 - 1, F.col("_low"), F.col("_high"), F.lit(1e-3))).alias("restored"))
 
 
 @query("post_process_by_variable", f"""SELECT event_id, canonical, round(CASE WHEN log_normalize THEN exp(ln(log_offset) + (y + 1) * (ln(normalize_max - normalize_min + log_offset) - ln(log_offset)) / 2) - log_offset + normalize_min
@@ -102,11 +103,15 @@ def _(spark, sf):
     return df.select("event_id", "canonical", r6(S.by_variable(F.col("value") / 250.0 - 1)).alias("physical"))
 
 
-@query("round_trip_error", f"SELECT canonical, count(*) AS n, TRUE AS exact FROM {NAMED} WHERE canonical IS NOT NULL AND value BETWEEN normalize_min AND greatest(normalize_max, 1000) GROUP BY canonical")
+_SCALED = "CASE WHEN log_normalize THEN -1 + (ln(value - normalize_min + log_offset) - ln(log_offset)) * 2 / (ln(normalize_max - normalize_min + log_offset) - ln(log_offset)) ELSE -1 + (value - normalize_min) * 2 / (normalize_max - normalize_min) END"
+_BACK = "CASE WHEN log_normalize THEN exp(ln(log_offset) + (y + 1) * (ln(normalize_max - normalize_min + log_offset) - ln(log_offset)) / 2) - log_offset + normalize_min ELSE normalize_min + (y + 1) * (normalize_max - normalize_min) / 2 END"
+
+
+@query("round_trip_error", f"SELECT canonical, count(*) AS n, max(abs({_BACK} - value)) < 1e-6 AS exact, round(sum(y), 4) AS scaled FROM (SELECT *, {_SCALED} AS y FROM {NAMED} WHERE canonical IS NOT NULL AND value BETWEEN normalize_min AND greatest(normalize_max, 1000)) GROUP BY canonical")
 def _(spark, sf):
-    df = named_events(spark, sf).where("canonical is not null and value between normalize_min and greatest(normalize_max, 1000)")
-    error = F.abs(S.by_variable(S.forward_by_variable(F.col("value"))) - F.col("value"))
-    return df.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), (F.max(error) < 1e-6).alias("exact"))
+    df = named_events(spark, sf).where("canonical is not null and value between normalize_min and greatest(normalize_max, 1000)").withColumn("y", S.forward_by_variable(F.col("value")))
+    error = F.abs(S.by_variable(F.col("y")) - F.col("value"))
+    return df.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), (F.max(error) < 1e-6).alias("exact"), F.round(F.sum("y"), 4).alias("scaled"))
 
 
 @query("alias_lookup_join", f"SELECT variable, canonical, units, count(*) AS n FROM {NAMED} GROUP BY ALL")
@@ -268,6 +273,12 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", B.save_index(k, 10, 0).alias("unbatched"), B.save_index(k, 64, 32).alias("batched"))
 
 
+@query("shuffle_within_splits", f"SELECT o_orderkey, split, row_number() OVER (PARTITION BY split ORDER BY sha256('7:' || o_orderkey), o_orderkey) - 1 AS position FROM (SELECT o_orderkey, {_SPLIT} AS split FROM {_BY_DATE})")
+def _(spark, sf):
+    ranked = B.split_by_rank(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+    return B.shuffle_within(ranked, "split", "o_orderkey", 7).select("o_orderkey", "split", "position")
+
+
 _DIGEST = "substr(sha256('(''' || {} || ''', ''input1'', ''output1'', ' || {} || ')'), 1, 8)"
 
 
@@ -288,11 +299,24 @@ def _(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", X.hex_digest(F.col("n_name")).alias("digest"))
 
 
+def stored_orders(spark, sf, save: int) -> str:
+    """Orders saved in batches of ``save``, as positions of files."""
+    path = _stored(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    O.save_batches(table(spark, sf, "orders").select(F.lit("train").alias("split"), B.batch_of(k, save).alias("batch_id"), (k % save).alias("pos"), "o_orderkey", "o_totalprice"), path)
+    return path
+
+
 @query("load_batch_slice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey // 1024 = 1 AND o_orderkey % 1024 BETWEEN 128 AND 255")
 def _(spark, sf):
-    k = F.col("o_orderkey")
-    start, stop = 1024 + 128, 1024 + 256
-    return table(spark, sf, "orders").where((k >= start) & (k < stop)).select("o_orderkey", "o_totalprice")
+    return O.load_batch(spark, stored_orders(spark, sf, 1024), "train", 1, 128, 256, ["o_orderkey", "o_totalprice"]).drop("pos")
+
+
+@query("load_item_modes", "SELECT mode, o_orderkey FROM orders JOIN (VALUES (0, 77, 78), (1, 77, 78), (4, 1272, 1276)) t(mode, a, b) ON o_orderkey >= a AND o_orderkey < b")
+def _(spark, sf):
+    path = stored_orders(spark, sf, 64)
+    item = lambda mode, idx: O.load_item(spark, path, "train", idx, 64, mode, ["o_orderkey"]).select(F.lit(mode).alias("mode"), "o_orderkey")
+    return item(0, 77).unionByName(item(1, 77)).unionByName(item(4, 318))
 
 
 @query("index_lookup", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS idx FROM orders) WHERE idx IN (0, 7, 500, 1499)")
@@ -313,9 +337,9 @@ def _(spark, sf):
     return B.split_length(pseudo_files(spark, sf), "split", "path", "length", 16, 2)
 
 
-@query("effective_batch_size", "SELECT r_regionkey, CAST(r_regionkey * 16 AS BIGINT) AS size FROM region")
+@query("effective_batch_size", "SELECT o_orderkey, CAST((o_custkey % 5) * (1 + o_orderkey % 32) AS BIGINT) AS size FROM orders")
 def _(spark, sf):
-    return table(spark, sf, "region").select("r_regionkey", B.effective_batch_size(F.col("r_regionkey").cast("long"), F.lit(16)).cast("long").alias("size"))
+    return table(spark, sf, "orders").select("o_orderkey", B.effective_batch_size(F.col("o_custkey") % 5, 1 + F.col("o_orderkey") % 32).cast("long").alias("size"))
 
 
 # --- series -----------------------------------------------------------------------------------------------------------
@@ -356,10 +380,14 @@ def _(spark, sf):
 
 
 
-@query("compact_keep_ends", _BUCKETED.format("SELECT c.*, CAST(CASE WHEN i < 3 THEN i WHEN i < 16 THEN 3 + (i - 3) // 2 ELSE i - 6 END AS BIGINT) AS bucket FROM (SELECT * FROM " + _COUNTED + " WHERE i < 21) c"))
+# limit 20, 3 first and 5 last kept: 13 in the middle, of which a joining takes 6 away
+_JOINED = "CASE WHEN {0} <= 20 THEN 0 ELSE ({0} - 21) // 6 + 1 END"
+_KEPT_ENDS = f"(SELECT *, place0 - 6 * moving AS place, left_over - moving AS halvings FROM (SELECT *, CASE WHEN place0 < 16 THEN 0 ELSE least(left_over, (place0 - 16) // 6 + 1) END AS moving FROM (SELECT *, i - 6 * {_JOINED.format('i')} AS place0, {_JOINED.format('n')} - {_JOINED.format('i')} AS left_over FROM {_COUNTED})))"
+
+
+@query("compact_keep_ends", _BUCKETED.format(f"SELECT *, CAST(CASE WHEN place < 3 THEN place ELSE 3 + ((place - 3) >> halvings) END AS BIGINT) AS bucket FROM {_KEPT_ENDS}"))
 def _(spark, sf):
-    first = counted_events(spark, sf).where("t < 21")
-    return bucketed(R.compact(first, "user_id", ["t"], "t", "value", 20, 3, 5))
+    return bucketed(R.compact(counted_events(spark, sf), "user_id", ["t"], "t", "value", 20, 3, 5))
 
 
 @query("series_weighted_mean", "SELECT event_type, round(sum(value * (1 + user_id % 5)) / sum(1 + user_id % 5), 6) AS mean_value FROM events GROUP BY event_type")
@@ -415,6 +443,14 @@ def _(spark, sf):
     return M.minima(table(spark, sf, "events"), "event_type", "value", "event_id", tracked)
 
 
+@query("any_metric_improved", "SELECT coalesce(bool_or(coalesce(n.value < b.least, TRUE)), FALSE) AS any_improved FROM (SELECT event_type, min(value) AS value FROM events WHERE event_id % 10 = 0 AND event_type IN ('click', 'error') GROUP BY event_type) n LEFT JOIN (SELECT event_type, min(value) AS least FROM events WHERE event_id % 10 <> 0 GROUP BY event_type) b USING (event_type)")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    now = e.where("event_id % 10 = 0").groupBy("event_type").agg(F.min("value").alias("value"))
+    listed = spark.createDataFrame([("click",), ("error",)], "event_type string")
+    return M.improved(e.where("event_id % 10 <> 0"), now, "event_type", "value", listed)
+
+
 @query("running_minimum_flags", "SELECT event_id, p AS previous_min, coalesce(value < p, TRUE) AS improved FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events)")
 def _(spark, sf):
     return M.running_minimum(table(spark, sf, "events").select("event_id", "user_id", "value"), "user_id", ["event_id"], "value").select("event_id", "previous_min", "improved")
@@ -432,6 +468,13 @@ def _(spark, sf):
     return M.remaining_time(df, "user_id", ["ts", "event_id"], "s", 40).select("event_id", "call", F.round("eta", 3).alias("eta"))
 
 
+@query("eta_suffix", f"SELECT event_id, CASE WHEN s IS NULL THEN ' (ETA: unknown)' WHEN s <= 0 THEN ' (ETA: done)' ELSE ' (ETA: ' || floor(s / 86400)::BIGINT || ' d)' END AS suffix FROM (SELECT event_id, CASE WHEN value < 50 THEN NULL WHEN value < 100 THEN 0.0 ELSE 86400.0 * (1 + event_id % 9) END AS s FROM events)")
+def _(spark, sf):
+    left = F.when(F.col("value") < 50, None).when(F.col("value") < 100, F.lit(0.0)).otherwise(86400.0 * (1 + F.col("event_id") % 9))
+    shown = M.eta_suffix(left)
+    return table(spark, sf, "events").select("event_id", F.regexp_replace(shown, " 0 h\\)", ")").alias("suffix"))
+
+
 @query("tail_fraction", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS b, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE b <= ceil(n * 0.1)")
 def _(spark, sf):
     return M.tail_part(table(spark, sf, "events").select("event_id", "event_type"), "event_type", ["event_id"], 0.1).select("event_id")
@@ -509,9 +552,22 @@ def _(spark, sf):
     return L.newest(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", "o_orderdate")
 
 
-@query("checkpoint_history", "SELECT o_orderpriority, max_by(o_orderkey, o_orderkey) AS last_path, count(*) AS saves FROM orders GROUP BY o_orderpriority")
+def saves_of(spark, sf):
+    """A history of saves: each order is one, of the network of its priority; a third of them have no path."""
+    o = table(spark, sf, "orders")
+    path = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("/old/"), F.col("o_orderkey").cast("string"), F.lit(".pth")))
+    return o.select(F.floor(F.col("o_orderkey") / 4).cast("long").alias("save_id"), F.col("o_orderpriority").alias("network"), path.alias("path"), F.col("o_orderdate").alias("mtime"), "o_orderkey")
+
+
+@query("checkpoint_history", "SELECT o_orderpriority AS network, arg_max('/old/' || o_orderkey || '.pth', o_orderkey) AS last_path, count(*) AS saves FROM orders WHERE o_orderkey % 3 > 0 GROUP BY o_orderpriority")
 def _(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.max_by("o_orderkey", "o_orderkey").alias("last_path"), F.count(F.lit(1)).alias("saves"))
+    return L.last_saved(saves_of(spark, sf).drop("save_id").withColumnRenamed("o_orderkey", "save_id"))
+
+
+@query("latest_save", "SELECT o_orderpriority AS network, '/new/' || o_orderkey || '.pth' AS path FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey // 4 = (SELECT o_orderkey // 4 FROM orders WHERE o_orderkey % 3 > 0 AND contains(o_orderkey || '.pth', '7') ORDER BY o_orderdate DESC, '/old/' || o_orderkey || '.pth' DESC LIMIT 1)")
+def _(spark, sf):
+    saves = saves_of(spark, sf).where("path is not null")
+    return L.latest_save(saves.select("path", "mtime"), saves.select("save_id", "network", "path"), "7", "/new/")
 
 
 @query("duplicate_names", "SELECT c_mktsegment, count(*) AS times FROM customer GROUP BY c_mktsegment HAVING count(*) > 1")
@@ -592,12 +648,14 @@ def _(spark, sf):
     return P.forecast_hours(table(spark, sf, "events"), "ts", list(range(7, 13)), datetime(2024, 1, 5), datetime(2024, 1, 20)).select("event_id")
 
 
-@query("pair_by_time", "SELECT o_orderkey, event_id FROM (SELECT o_orderkey, (epoch_us(o_orderdate) // 86400000000) % 30 AS d FROM orders WHERE o_orderkey % 50 = 0) o JOIN (SELECT event_id, (epoch_us(ts) // 86400000000) % 30 AS d FROM events WHERE event_id % 50 = 0) e USING (d)")
+_COARSE = "(SELECT TIMESTAMP '2024-01-01' + to_hours(CAST((epoch_us(o_orderdate) // 86400000000 % 30) * 24 + 6 * (o_orderkey % 3) AS INTEGER)) AS t, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)"
+
+
+@query("pair_by_time", f"SELECT e.event_id, CASE WHEN date_diff('microsecond', c.t, e.ts) <= 36000000000 THEN c.o_orderkey END AS o_orderkey, CASE WHEN date_diff('microsecond', c.t, e.ts) <= 36000000000 THEN c.t END AS paired_t FROM events e ASOF LEFT JOIN {_COARSE} c ON e.ts >= c.t")
 def _(spark, sf):
-    day = lambda c: F.pmod(F.timestamp_diff("DAY", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c)), F.lit(30))
-    coarse = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", day("o_orderdate").alias("d"))
-    fine = table(spark, sf, "events").where("event_id % 50 = 0").select("event_id", day("ts").alias("d"))
-    return coarse.join(fine, "d").select("o_orderkey", "event_id")
+    day = F.pmod(F.timestamp_diff("DAY", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("o_orderdate")), F.lit(30))
+    coarse = table(spark, sf, "orders").select("o_orderkey", F.timestamp_add("HOUR", (day * 24 + 6 * (F.col("o_orderkey") % 3)).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("t"))
+    return P.pair_as_of(table(spark, sf, "events").select("event_id", "ts"), coarse, "ts", "t", "o_orderkey", 36000).select("event_id", "o_orderkey", "paired_t")
 
 
 # --- metadata and storage ---------------------------------------------------------------------------------------------
@@ -621,9 +679,9 @@ def _(spark, sf):
     return C.variables(spark).select("name", F.to_json(F.struct("name", "units", "cumulative")).alias("item"))
 
 
-@query("cf_column_metadata", "SELECT event_id, value FROM events")
+@query("cf_column_metadata", """SELECT * FROM (VALUES ('value', '_FillValue', '-9999.0'), ('value', 'complevel', '4'), ('value', 'units', '"m s-1"'), ('value', 'zlib', 'true')) t("column", attribute, value)""")
 def _(spark, sf):
-    return O.cf_metadata(table(spark, sf, "events").select("event_id", "value"), {"value": {"units": "m s-1", "_FillValue": -9999.0, "zlib": True, "complevel": 4}})
+    return O.metadata_table(O.cf_metadata(table(spark, sf, "events").select("event_id", "value"), {"value": {"units": "m s-1", "_FillValue": -9999.0, "zlib": True, "complevel": 4}}))
 
 
 @query("fixed_data_cross", "SELECT vec_id, label, f.n AS total FROM embeddings, (SELECT count(*) AS n FROM region) f")
@@ -632,14 +690,19 @@ def _(spark, sf):
     return O.with_fixed(table(spark, sf, "embeddings").select("vec_id", "label"), fixed)
 
 
-@query("project_dynamic_keys", "SELECT vec_id, label FROM embeddings")
+@C.columns.register("first_cell", overwrite=True)
+def _first_cell() -> Column:
+    return F.element_at("embedding", 1).cast("double")
+
+
+@query("project_dynamic_keys", "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS first_cell FROM embeddings")
 def _(spark, sf):
-    return table(spark, sf, "embeddings").select(*["vec_id", "label"])
+    return O.project(table(spark, sf, "embeddings"), ["label", "first_cell"], ("vec_id",))
 
 
 @query("limit_samples", "SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 100")
 def _(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id").orderBy("vec_id").limit(100)
+    return O.first_samples(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 100)
 
 
 _TIMES = "strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id % 1000 AS INTEGER)), '%Y%m%d%H')"
@@ -658,7 +721,9 @@ def _(spark, sf):
 
 @query("scan_sample_batch", "SELECT vec_id, label, len(embedding) AS cells FROM embeddings WHERE vec_id BETWEEN 16 AND 31")
 def _(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id between 16 and 31").select("vec_id", "label", F.size("embedding").cast("long").alias("cells"))
+    path, v = _stored(spark, sf, "embeddings"), F.col("vec_id")
+    O.save_batches(table(spark, sf, "embeddings").select(F.lit("train").alias("split"), B.batch_of(v, 16).alias("batch_id"), (v % 16).alias("pos"), "vec_id", "label", "embedding"), path)
+    return O.scan_batch(spark, path, "train", 1, ["vec_id", "label", "embedding"]).select("vec_id", "label", F.size("embedding").cast("long").alias("cells"))
 
 
 def _stored(spark, sf, name: str) -> str:
@@ -667,6 +732,8 @@ def _stored(spark, sf, name: str) -> str:
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="shared-")
@@ -692,13 +759,6 @@ def _(spark, sf):
 NETWORKS = {"default": lambda: K.Network(2, 2), "gated": lambda: K.Network(2, 2, ratio=4), "dense": lambda: K.Network(2, 2, depth=2, dense=True)}
 
 
-@query("parameter_count", "SELECT * FROM (VALUES ('default', CAST(7700674 AS BIGINT)), ('gated', CAST(7915714 AS BIGINT)), ('dense', CAST(165514 AS BIGINT))) t(network, parameters)")
+@query("parameter_count", "SELECT * FROM (VALUES ('default', CAST(7700674 AS BIGINT), CAST(7700674 AS BIGINT)), ('gated', CAST(7915714 AS BIGINT), CAST(7915714 AS BIGINT)), ('dense', CAST(165514 AS BIGINT), CAST(165514 AS BIGINT)), ('total', CAST(15781902 AS BIGINT), CAST(15781902 AS BIGINT))) t(network, parameters, trainable)")
 def _(spark, sf):
     return K.parameter_counts(K.layout_table(spark, {n: f() for n, f in NETWORKS.items()}))
-
-
-@query("network_inference")
-def _(spark, sf):
-    net = K.Network(1, 1, hidden=4, depth=2)
-    out = K.predict(table(spark, sf, "embeddings"), net, net.initial(7), "vec_id", "embedding", (1, 8, 8))
-    return out.select("vec_id", "shape", F.transform("output", lambda v: F.round(v, 5)).alias("output"))

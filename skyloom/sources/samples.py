@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.catalog import with_variable
+from skyloom.catalog import columns, with_variable
 from skyloom.functions.scaling import by_variable
 
 
@@ -33,6 +34,35 @@ def load_batch(spark: SparkSession, path: str, split: str, batch_id: int, first:
     return df.select("pos", *keys) if keys else df
 
 
+def load_item(spark: SparkSession, path: str, split: str, idx: int, save: int, built_in: int, keys: list[str] | None = None) -> DataFrame:
+    """The positions of one item: a single one if the source isn't batched (0), else ``built_in`` of its file of ``save``."""
+    per = save if built_in == 0 else save // built_in
+    first = idx % per * max(1, built_in)
+    return load_batch(spark, path, split, idx // per, first, first + max(1, built_in), keys)
+
+
+def scan_batch(spark: SparkSession, path: str, split: str, batch_id: int, keys: list[str] | None = None) -> DataFrame:
+    """A whole stored batch."""
+    df = spark.read.parquet(path).where((F.col("split") == split) & (F.col("batch_id") == batch_id))
+    return df.select("pos", *keys) if keys else df
+
+
+def project(df: DataFrame, keys: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The columns asked for by key, in that order: a registered column builder under the key goes before a column of the name."""
+    return df.select(*kept, *[columns.build(k).alias(k) if k in columns else F.col(k) for k in keys])
+
+
+def first_samples(df: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` samples by order, all without a limit; a sort of at most so many rows a task."""
+    return df if most is None else df.orderBy(order).limit(most)
+
+
+def metadata_table(df: DataFrame) -> DataFrame:
+    """column, attribute and value (as JSON) of all column metadata: a row an attribute."""
+    rows = [(f.name, k, json.dumps(v)) for f in df.schema.fields for k, v in sorted(f.metadata.items())]
+    return df.sparkSession.createDataFrame(rows, "column string, attribute string, value string").coalesce(1)
+
+
 def read_through(spark: SparkSession, folder: str, digest: str, compute: Callable[[], DataFrame], skip_load: bool = False, only_saved: bool = False) -> DataFrame:
     """The table saved under a digest; where there is none it is computed and saved, or refused with ``only_saved``.
 
@@ -50,8 +80,8 @@ def read_through(spark: SparkSession, folder: str, digest: str, compute: Callabl
 
 def with_fixed(df: DataFrame, fixed: DataFrame) -> DataFrame:
     """Every sample with the one row of sample-independent data; more rows are refused when read."""
-    one = fixed.limit(2).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    one = one.withColumn("_ok", F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("fixed data have one row")))).where("_ok").drop("_n", "_ok")
+    held = fixed.limit(2).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("row"))
+    one = held.select(F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("fixed data have one row"))).alias("row")).select("row.*")
     return df.crossJoin(F.broadcast(one))
 
 
@@ -78,11 +108,34 @@ def cf_metadata(df: DataFrame, attributes: dict[str, dict]) -> DataFrame:
     return df
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
+def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file and text of whole files, for lines with reliable numbers."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def log_files(spark: SparkSession, source: str | list[str], pattern: str = "*.log") -> DataFrame:
+    """file and text of logs: those of a folder, of a list of files, or of the files that JSON manifests name as ``log_file``."""
+    if isinstance(source, list):
+        return text_files(spark, source)
+    if source.endswith(".json"):
+        # a row a log; manifests are few
+        named = [r["log_file"] for r in spark.read.json(source, multiLine=True).select("log_file").where("log_file is not null").distinct().orderBy("log_file").collect()]
+        return text_files(spark, named) if named else spark.createDataFrame([], "file string, text string")
+    return text_files(spark, f"{source.rstrip('/')}/{pattern}")
+
+
+def save_weights(spark: SparkSession, folder: str, name: str, networks: dict[str, dict]) -> None:
+    """Weights of networks saved together: a row an array, with its network, name, shape and row-major values. A name is written once."""
+    rows = [(n, k, list(a.shape), a.ravel().astype(float).tolist()) for n, arrays in networks.items() for k, a in arrays.items()]
+    spark.createDataFrame(rows, "network string, name string, shape array<int>, values array<double>").write.mode("errorifexists").partitionBy("network").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load_weights(spark: SparkSession, path: str, network: str | None = None) -> DataFrame:
+    """The arrays of a checkpoint, of one network or of all."""
+    df = spark.read.parquet(path)
+    return df if network is None else df.where(F.col("network") == network)
+
+
 def file_listing(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, mtime and length of files that match, without their content; sorted by path only where it is used."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("mtime"), "length")

@@ -91,18 +91,34 @@ def test_digests(spark):
     assert values(spark.createDataFrame([("input1",), ("input2",)], "s string").coalesce(1), X.hex_digest(F.col("s"))) == ["1ea06586", "124d8541"]
 
 
+def bucket_plan(n, limit, keep_start=0, keep_end=0):
+    """Bucket of each of n points, by appending them one by one."""
+    sizes = []
+    for _ in range(n):
+        sizes.append(1)
+        if len(sizes) > limit:
+            end = len(sizes) - keep_end
+            middle = sizes[keep_start:end]
+            sizes = sizes[:keep_start] + [sum(middle[i : i + 2]) for i in range(0, len(middle), 2)] + sizes[end:]
+    return [b for b, size in enumerate(sizes) for _ in range(size)]
+
+
 def test_compaction_plans():
-    sizes = lambda *a: np.bincount(series.bucket_plan(*a)).tolist()
+    sizes = lambda *a: np.bincount(bucket_plan(*a)).tolist()
     assert len(sizes(101, 100)) == 51 and sizes(101, 100)[0] == 2
     assert len(sizes(101, 100, 5, 10)) == 58 and sizes(101, 100, 5, 10)[4] == 1
     assert len(sizes(201, 100)) == 51 and sizes(201, 100)[0] == 8
 
 
-@pytest.mark.parametrize("limit", [3, 5, 15, 31])
-def test_closed_form(spark, limit):
-    for n in (1, limit, limit + 1, 2 * limit + 3, 150):
-        df = spark.range(n).coalesce(1)
-        assert values(df, series.odd_limit_bucket(F.col("id"), F.lit(n), limit)) == series.bucket_plan(n, limit)
+@pytest.mark.parametrize("limit,start,end", [(3, 0, 0), (2, 0, 0), (15, 0, 0), (16, 0, 0), (100, 5, 10), (20, 3, 5), (20, 0, 9), (9, 4, 0), (7, 3, 3), (12, 1, 10)])
+def test_closed_form(spark, limit, start, end):
+    points = [n for n in (1, 2, limit, limit + 1, limit + 2, 2 * limit + 3, 151, 400)]
+    df = spark.createDataFrame([(n, i) for n in points for i in range(n)], "n long, i long")
+    got = df.select("n", "i", series.bucket_of(F.col("i"), F.col("n"), limit, start, end).alias("b")).collect()
+    plans = {n: bucket_plan(n, limit, start, end) for n in points}
+    assert all(r.b == plans[r.n][r.i] for r in got)
+    with pytest.raises(ValueError):
+        series.bucket_of(F.col("i"), F.col("n"), 5, 3, 2)
 
 
 def test_compaction_values(spark):
@@ -172,28 +188,11 @@ def test_retention(spark):
     assert names(keep=5, older_than=F.lit(100), both=True) == [] and len(names(keep=5, older_than=F.lit(100), both=True, compat=True)) == 5
 
 
-def test_networks():
-    count = lambda n: sum(int(np.prod(s)) for _, s in n.parameter_rows())
-    assert count(network.Network(2, 2)) == 7_700_674 and count(network.Network(2, 2, ratio=4)) == 7_915_714
-    assert count(network.Network(2, 2, depth=2, dense=True)) == 165_514
-    assert count(network.Network(5, 2, hidden=36)) == 2_439_578
-    for kw, shape in (({}, (1, 2, 16, 16)), ({"resolution_increase": 1}, (1, 2, 32, 32)), ({"dense": True, "depth": 2}, (1, 2, 16, 16))):
-        n = network.Network(2, 2, **({"hidden": 4} | kw))
-        assert n.forward(n.initial(), np.ones((1, 2, 16, 16))).shape == shape
-    n = network.Network(2, 2, hidden=4, last_inputs=3)
-    assert n.forward(n.initial(), np.ones((1, 2, 16, 8)), last=np.ones((1, 3, 16, 8))).shape == (1, 2, 16, 8)
-    n = network.Network(2, 2, hidden=4, bottom=(16, 16, 5))
-    assert n.forward(n.initial(), np.ones((1, 2, 16, 16)), linear=np.ones((1, 5))).shape == (1, 2, 16, 16)
-    out = network.linear_relu(np.ones((2, 3)), [(np.ones((4, 3)), np.zeros(4))], (np.ones((2, 4)), np.zeros(2)))
-    assert np.allclose(np.exp(out).sum(axis=1), 1)
-
-
-def test_inference_is_independent_of_batches(spark):
-    net = network.Network(1, 1, hidden=2, depth=1)
-    df = spark.createDataFrame([(i, [float((i * 7 + j) % 5) for j in range(16)]) for i in range(9)], "k long, a array<double>")
-    one = {r.k: r.output for r in network.predict(df, net, net.initial(), "k", "a", (1, 4, 4), batch=1).collect()}
-    many = {r.k: r.output for r in network.predict(df.coalesce(1), net, net.initial(), "k", "a", (1, 4, 4), batch=9).collect()}
-    assert all(np.allclose(one[k], many[k]) for k in one)
+def test_networks(spark):
+    nets = {"default": network.Network(2, 2), "gated": network.Network(2, 2, ratio=4), "dense": network.Network(2, 2, depth=2, dense=True), "published": network.Network(5, 2, hidden=36)}
+    got = {r.network: (r.parameters, r.trainable) for r in network.parameter_counts(network.layout_table(spark, nets, ("in.",))).collect()}
+    assert {k: v[0] for k, v in got.items() if k != "total"} == {"default": 7_700_674, "gated": 7_915_714, "dense": 165_514, "published": 2_439_578}
+    assert got["total"][0] == sum(v[0] for k, v in got.items() if k != "total") and 0 < got["default"][1] < got["default"][0]
 
 
 def test_pool_and_collate(spark):
@@ -201,6 +200,11 @@ def test_pool_and_collate(spark):
     got = tensors.max_pool_2x2(df, ["k"], "a", 4).where("k = 1").orderBy("y", "x")
     assert values(got, "value") == [5, 7, 13, 15]
     assert tensors.collate(df.withColumn("b", F.lit(0)), "b", "k", "a").first().a[15:17] == [15.0, 1.0]
+    nested = df.select(F.lit(0).alias("b"), "k", F.struct("a", F.struct(F.array("k").alias("c")).alias("inner")).alias("s"))
+    got = tensors.collate(nested, "b", "k", "s").first()
+    assert got.samples == 2 and len(got.s.a) == 32 and got.s.inner.c == [1, 2]
+    with pytest.raises(TypeError):
+        tensors.collate(nested.withColumn("s", F.struct("s.a", "k")), "b", "k", "s")
 
 
 def test_storage(spark, tmp_path):
@@ -220,7 +224,18 @@ def test_storage(spark, tmp_path):
     got = samples.archive_arrays(spark, f"{tmp_path}/z", "a").first()
     assert list(got["shape"]) == [2, 3] and list(got["values"]) == [0, 1, 2, 3, 4, 5]
     assert samples.file_listing(spark, f"{tmp_path}/z", "*.npz").count() == 1
-    (tmp_path / "l.log").write_text("a\nb")
+    for mode, idx, want in ((0, 10, [10]), (1, 10, [10]), (2, 5, [10, 11]), (4, 3, [12, 13, 14, 15])):
+        assert sorted(values(samples.load_item(spark, f"{tmp_path}/s", "train", idx, 8, mode, ["v"]), "v")) == want
+    assert samples.scan_batch(spark, f"{tmp_path}/s", "train", 2).count() == 4
+    assert samples.first_samples(spark.range(9), "id", None).count() == 9 and values(samples.first_samples(spark.range(9), "id", 2), "id") == [0, 1]
+    samples.save_weights(spark, f"{tmp_path}/w", "e1_0", {"a": {"in": np.ones((2, 3)), "out": np.arange(4.0)}, "b": {"in": np.zeros(1)}})
+    got = {(r.network, r["name"]): (list(r["shape"]), list(r["values"])) for r in samples.load_weights(spark, f"{tmp_path}/w/e1_0").collect()}
+    assert got["a", "out"] == ([4], [0, 1, 2, 3]) and got["a", "in"][0] == [2, 3] and samples.load_weights(spark, f"{tmp_path}/w/e1_0", "b").count() == 1
+    for name in ("l.log", "m.log", "n.txt"):
+        (tmp_path / name).write_text("a\nb")
+    (tmp_path / "man.json").write_text('{"log_file": "' + f"{tmp_path}/n.txt" + '"}')
+    names = lambda source: sorted(r["file"].rsplit("/", 1)[1] for r in samples.log_files(spark, source).collect())
+    assert names(str(tmp_path)) == ["l.log", "m.log"] and names([f"{tmp_path}/m.log"]) == ["m.log"] and names(f"{tmp_path}/man.json") == ["n.txt"]
     assert files.lines(samples.text_files(spark, f"{tmp_path}/l.log"), "file", "text").count() == 2
 
 
@@ -228,10 +243,17 @@ def test_config(tmp_path):
     (tmp_path / "a.yaml").write_text("path: /x\nkeys: [p, q]\nsplit: test\n")
     got = config.load(config.DatasetConfig, tmp_path / "a.yaml", {"split": None, "path": "/y"})
     assert str(got.path) == "/y" and got.keys == ("p", "q") and got.split == "test"
-    inf = config.build(config.InferenceConfig, {"path_models": "m", "path_output": "o", "networks": {"n": {"type": "UNet", "depth": 2}}} | {"networks": {"n": {"depth": 2}}})
-    assert inf.networks["n"].depth == 2
+    inf = config.build(config.InferenceConfig, {"path_models": "m", "path_output": "o", "networks": {"n": {"type": "UNet", "depth": 2}, "o": {"depth": 1}}})
+    assert inf.networks["n"].depth == 2 and inf.networks["o"].depth == 1
+    flow = config.build(config.WorkflowConfig, {"dataset": {"path": "/x"}, "steps": {"net": {"type": "UNet", "hidden": 4}, "plain": {"a": {"type": "UNet"}, "b": 1}}})
+    assert flow.steps["net"].hidden == 4 and flow.steps["plain"]["a"] == config.UNetConfig() and flow.steps["plain"]["b"] == 1
+    for wrong in ({"networks": {"n": {"type": "Net"}}}, {"networks": {"n": {"type": "downscaling", "dataset": {"path": "/x"}}}}):
+        with pytest.raises(ValueError):
+            config.build(config.InferenceConfig, {"path_models": "m", "path_output": "o"} | wrong)
+    with pytest.raises(ValueError):
+        config.build(config.WorkflowConfig, {"dataset": {"path": "/x"}, "steps": {"net": {"type": "unknown"}}})
     with pytest.raises(ValueError):
-        config.register_config("UNet")(config.UNetConfig)
+        catalog.configs.register("UNet")(config.UNetConfig)
     with pytest.raises(ValueError):
         config.build(config.LoopConfig, {"nope": 1})
     t = config.Templates({"log": "run_${pid}_${name}"})
@@ -279,3 +301,87 @@ def test_tail_of_a_series_in_several_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert tasks > 1
+
+
+def test_ranks_of_any_keys(spark):
+    """One long common prefix, hashes, ties, nulls: ranks are exact and no range is over twice the mean."""
+    n = 20_000
+    cases = {
+        "paths": spark.range(n).select(F.concat(F.lit("/data/archive/2024/"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("k")),
+        "hex": spark.range(n).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("k")),
+        "ties": spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id"),
+        "nulls": spark.range(n).select(F.when(F.col("id") % 2 > 0, F.col("id") / 3).alias("k"), "id"),
+    }
+    for name, df in cases.items():
+        dealt = splits.dealt_by_key(df, ["k"], 16).groupBy("_slot").count().collect()
+        assert len(dealt) > 10 and max(r["count"] for r in dealt) < 2 * n / 16, name
+        got = splits.global_rank(df, ["k"]).orderBy("idx").collect()
+        assert [r.idx for r in got] == list(range(n))
+        keys = [r.k for r in got]
+        assert keys == sorted(keys, key=lambda k: (k is not None, k if k is not None else 0)), name
+    assert splits.global_rank(cases["hex"].limit(0), ["k"]).count() == 0
+    ranked = splits.rank_within(cases["ties"], ["k"], ["id"]).where("k = 7").orderBy("i").collect()
+    assert [r.i for r in ranked] == list(range(len(ranked))) and ranked[0].n == len(ranked) and [r.id for r in ranked] == sorted(r.id for r in ranked)
+
+
+def test_shuffle_stays_within_splits(spark):
+    ranked = splits.split_by_rank(spark.range(50), ["id"])
+    got = splits.shuffle_within(ranked, "split", "id", 3).collect()
+    for name, size in (("train", 40), ("validation", 5), ("test", 5)):
+        own = sorted((r.position, r.id) for r in got if r.split == name)
+        assert [p for p, _ in own] == list(range(size)) and (size < 40 or [i for _, i in own] != sorted(i for _, i in own))
+    assert {r.id for r in got if r.split == "train"} == set(range(40))
+
+
+def test_as_of_pairs(spark):
+    import bisect
+
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    coarse = [(at(h), k) for k, h in enumerate([0, 6, 6, 12, 40, 100])]
+    fine = [(i, at(h)) for i, h in enumerate([-1, 0, 5.5, 6, 11, 17, 19, 39, 40, 46, 47, 99.5, 200])] + [(99, None)]
+    got = {r.i: r.k for r in periods.pair_as_of(spark.createDataFrame(fine, "i int, t timestamp_ntz"), spark.createDataFrame(coarse, "c timestamp_ntz, k int"), "t", "c", "k", 6 * 3600).collect()}
+    times = sorted({c for c, _ in coarse})
+    for i, t in fine:
+        j = bisect.bisect_right(times, t) - 1 if t else -1
+        want = max(k for c, k in coarse if c == times[j]) if j >= 0 and t - times[j] <= timedelta(hours=6) else None
+        assert got[i] == want
+    assert len(got) == len(fine)
+
+
+def test_messages(spark):
+    rows = [("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, 2.0), ("a", 4, 12.0), ("b", 1, 0.0), ("b", 2, 1.0), ("b", 3, 1.5), (None, 1, 0.0)]
+    got = metrics.rate_limited(spark.createDataFrame(rows, "k string, o long, s double"), "k", "o", "s", 10.0, 2)
+    assert {(r.k, r.o) for r in got.where("not emitted").collect()} == {("a", 3), ("b", 3)} and got.count() == len(rows)
+    first = metrics.first_held_back(got, "k", "o").collect()
+    assert [(r.k, r.o) for r in first] == [("a", 3)]
+    df = spark.createDataFrame([(None,), (61.0,), (0.0,)], "e double").coalesce(1)
+    assert values(df, metrics.eta_suffix(F.col("e"))) == [" (ETA: unknown)", " (ETA: 1 min 1 s)", " (ETA: done)"]
+    before = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "m string, v double")
+    improved = lambda rows, listed=None: metrics.improved(before, spark.createDataFrame(rows, "m string, v double"), "m", "v", listed).first()[0]
+    assert improved([("a", 0.5), ("b", 2.0)]) and not improved([("a", 1.0), ("b", 2.0)]) and improved([("c", 9.0)]) and not improved([])
+    assert not improved([("a", 0.5), ("b", 2.0)], spark.createDataFrame([("b",)], "m string"))
+
+
+def test_saves(spark):
+    listed = spark.createDataFrame([("/m/e1_a_2.pth", 5), ("/m/e1_b_2.pth", 4), ("/m/e1_a_1.pth", 1), ("/m/e2_z.pth", 9)], "path string, mtime long")
+    saves = spark.createDataFrame([(1, "a", "/old/e1_a_1.pth"), (2, "a", "/old/e1_a_2.pth"), (2, "b", "/old/e1_b_2.pth"), (3, "c", None)], "save_id long, network string, path string")
+    got = lambda experiment: {r.network: r.path for r in files.latest_save(listed, saves, experiment, "/new/").collect()}
+    assert got("e1") == {"a": "/new/e1_a_2.pth", "b": "/new/e1_b_2.pth"} and got(None) == {"": "/new/e2_z.pth"} and got("none") == {}
+    assert {r.network: (r.last_path, r.saves) for r in files.last_saved(saves).collect()} == {"a": ("/old/e1_a_2.pth", 2), "b": ("/old/e1_b_2.pth", 1)}
+
+
+def test_datasets(spark, tmp_path):
+    from skyloom.sources import datasets
+
+    catalog.columns.register("twice", overwrite=True)(lambda: F.col("v") * 2)
+    catalog.side_inputs.register("grid", overwrite=True)(lambda spark: spark.range(1).select(F.lit(9).alias("grid")))
+    catalog.digests.register("demo", overwrite=True)(lambda config: ["input1", "output1"])
+    catalog.datasets.register("demo", overwrite=True)(lambda config: datasets.Dataset("demo", config, lambda spark: spark.range(10).select("id", (F.col("id") + 100).alias("v")), "id", "grid"))
+    own = datasets.dataset("demo", config.DatasetConfig(tmp_path, keys=("twice",)))
+    assert own.digest(spark) == "b5e241cc" and own.active("validation").digest(spark) == "594e9fc9"
+    rows = own.samples(spark).orderBy("id").collect()
+    assert [(r.id, r.twice, r.grid) for r in rows] == [(i, 2 * i + 200, 9) for i in range(8)]
+    assert spark.table(own.active("test").view(spark)).count() == 1
+    assert (tmp_path / "b5e241cc").exists()
+    with pytest.raises(KeyError):
+        datasets.dataset("absent", config.DatasetConfig(tmp_path))
