@@ -81,19 +81,19 @@ def _(spark, sf):
     return df.select("event_id", r6(S.normalize_log(F.col("value"), F.col("_low"), F.col("_high"), F.lit(1e-3))).alias("scaled"))
 
 
-_Y = "(value % 201 / 100.0 - 1)"
+_Y = "(value % 201 / CAST(100.7 AS DOUBLE) - 1)"
 
 
 @query("inverse_normalize_linear", f"SELECT event_id, round(lo + ({_Y} + 1) * (hi - lo) / 2, 6) AS restored FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)")
 def _(spark, sf):
     df = S.with_bounds(table(spark, sf, "events").select("event_id", "value"), "value")
-    return df.select("event_id", r6(S.inverse_normalize(F.col("value") % 201 / 100.0 - 1, F.col("_low"), F.col("_high"))).alias("restored"))
+    return df.select("event_id", r6(S.inverse_normalize(F.col("value") % 201 / 100.7 - 1, F.col("_low"), F.col("_high"))).alias("restored"))
 
 
 @query("inverse_normalize_log", f"SELECT event_id, round(exp(ln(1e-3) + ({_Y} + 1) * (ln(hi - lo + 1e-3) - ln(1e-3)) / 2) - 1e-3 + lo, 6) AS restored FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)")
 def _(spark, sf):
     df = S.with_bounds(table(spark, sf, "events").select("event_id", "value"), "value")
-    return df.select("event_id", r6(S.inverse_normalize_log(F.col("value") % 201 / 100.0 - 1, F.col("_low"), F.col("_high"), F.lit(1e-3))).alias("restored"))
+    return df.select("event_id", r6(S.inverse_normalize_log(F.col("value") % 201 / 100.7 - 1, F.col("_low"), F.col("_high"), F.lit(1e-3))).alias("restored"))
 
 
 @query("post_process_by_variable", f"""SELECT event_id, canonical, round(CASE WHEN log_normalize THEN exp(ln(log_offset) + (y + 1) * (ln(normalize_max - normalize_min + log_offset) - ln(log_offset)) / 2) - log_offset + normalize_min
@@ -357,7 +357,7 @@ def _(spark, sf):
 
 
 _COUNTED = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value FROM events)"
-_BUCKETED = "SELECT user_id, bucket, (min(i) + max(i)) / 2.0::DOUBLE AS time, CASE WHEN count(*) > 1 THEN min(i) END AS lo, CASE WHEN count(*) > 1 THEN max(i) END AS hi, count(*) AS cnt, round(avg(value), 6) AS value FROM ({}) GROUP BY user_id, bucket"
+_BUCKETED = "SELECT user_id, bucket, (min(i) + max(i)) / 2.0::DOUBLE AS time, CASE WHEN count(*) > 1 THEN min(i) END AS lo, CASE WHEN count(*) > 1 THEN max(i) END AS hi, count(*) AS cnt, round(avg(value), 9) AS value FROM ({}) GROUP BY user_id, bucket"
 
 
 def counted_events(spark, sf):
@@ -365,7 +365,8 @@ def counted_events(spark, sf):
 
 
 def bucketed(df):
-    return df.withColumn("value", r6("value"))
+    # means of many values of two decimals end in a 5, so that six decimals would round them either way
+    return df.withColumn("value", F.round("value", 9))
 
 
 @query("compact_bounded", _BUCKETED.format(f"SELECT *, CASE WHEN i < 16 THEN i >> p ELSE (8 + (i - 16) % 8) >> (p - 1 - (i - 16) // 8) END AS bucket FROM (SELECT *, CASE WHEN n < 16 THEN 0 ELSE (n - 16) // 8 + 1 END AS p FROM {_COUNTED})"))
