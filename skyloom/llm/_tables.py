@@ -19,18 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Shuffle files of a statement go when it ends, so that steps don't pile them up until the driver collects its garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of Spark while an intermediate table is written. Shuffle files of the statement go when it ends, so that steps
+#: don't pile them up until the driver collects its garbage; Python takes a thousand rows at a time, as rows hold packed arrays.
+_WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def save(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it, so that later work doesn't depend on its lineage or shuffle files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_SAVING}
     try:
+        for k, v in _WHILE_SAVING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ LONGS = 16
 COMMON = 200
 #: Most ids (8 bytes each) or common shingles (16 bytes each) that are broadcast.
 SENT = 1_000_000
-_FLUSH = 1 << 24
+_FLUSH = 1 << 22
 _SIZE_BASE = 1.25
 
 
