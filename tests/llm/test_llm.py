@@ -526,6 +526,39 @@ def test_toxicity_parts():
     assert f[0, name("hidden")] > 0 and f[1, name("seed_hits")] == 1 and f[1, name("near_you")] > 0 and not f[2].any()
 
 
+def test_toxicity_columns(spark):
+    """The registered query's columns, its scores by trees walked one node at a time, and its calibration by the definition of isotonic means."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(texts)
+
+    def walk(x):
+        out = model.trees.start
+        for feature, cut, value in model.trees.nodes:
+            at = 0
+            for _ in range(model.trees.depth):
+                at = 2 * at + 1 + (x[feature[at]] > cut[at])
+            out += value[at - len(feature)]
+        return out
+
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1
+        if i % 20 == 0:
+            m = walk(toxicity.features([texts[i].encode()], model.lexicon)[0])
+            sigmoid = 1 / (1 + math.exp(-m))
+            assert r.score == pytest.approx(min(1, max(0, np.interp(m, *model.steps) + 0.002 * (sigmoid - 0.5))), abs=1e-9)
+    rng = np.random.default_rng(3)
+    x, y = rng.permutation(60).astype(float), rng.integers(0, 2, 60).astype(float)
+    px, py = toxicity.isotonic(x, y)
+    ordered = y[np.argsort(x)]
+    means = [max(min(ordered[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    sizes = collections.Counter(np.round(means, 9))
+    want = np.maximum.accumulate([(m * sizes[round(m, 9)] + 0.25) / (sizes[round(m, 9)] + 0.5) for m in means])
+    assert np.allclose(np.interp(np.arange(60.0), px, py), want)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(14)] + [(3, None), (99, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -558,6 +591,33 @@ def test_language_held_out(documents):
     assert (own.lang_pred == own.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_columns(documents, texts):
+    """The registered query's columns against forward-backward over each text in plain loops."""
+    model = langid.fit(documents)
+    weights = model.weights.astype(np.float32)
+    got = {r.doc_id: r for r in langid.op9_langid(documents.sparkSession, SF).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.lang_pred in (*model.langs, "und") and 0 <= r.score <= 1
+        raw = (texts[i] or "").encode()
+        if i % 8 or not 0 < len(raw) < 4000:
+            continue
+        low, starts, ends, _ = langid.trimmed_words([raw])
+        *features, word_like = langid.word_features(low, starts, ends)
+        e, step = np.exp(langid.word_scores(weights, *features)), np.exp(model.moves)
+        ahead, behind, v = np.zeros_like(e), np.ones_like(e), np.ones(e.shape[1])
+        for t in range(len(e)):
+            v = ahead[t] = (v @ step) * e[t] / ((v @ step) * e[t]).sum()
+        for t in range(len(e) - 2, -1, -1):
+            w = step @ (e[t + 1] * behind[t + 1])
+            behind[t] = w / w.sum()
+        m = ahead * behind
+        share = (m / m.sum(axis=1, keepdims=True))[word_like].sum(axis=0)
+        if share.sum():
+            share /= share.sum()
+            assert r.lang_pred == model.langs[share.argmax()] and r.score == pytest.approx(share.max(), abs=1e-5)
+
+
 def test_language_switches(documents):
     """Words of two joined texts get the languages of their parts."""
     model = langid.fit(documents)
