@@ -78,32 +78,32 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None, bits: int = BITS) -> fl
     return max(0.0, float((np.count_nonzero(a == b) / len(a) - chance) / (1 - chance)))
 
 
-def _with_slots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents dealt into ranges of ids; the first document of each range is also sent, as a guest, to the range before.
+#: Ids of the sample for each range's bound.
+_SAMPLED = 60
 
-    Bounds are quantiles of the ids; the table of ranges has a row a range, however large the input.
+
+def _with_slots(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Documents dealt into up to ``n`` ranges of ids, numbered from 1; the first document of each range is also sent, as a guest, to the range before.
+
+    Bounds are ids of a sample, chosen by hash; they and the least id of each range are one broadcast row of an id a range.
     """
-    spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = sorted(set(d.select("k").agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10000).alias("c")).first()["c"] or []))
+    part = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = d.where(part < _SAMPLED * n / max(1, d.count())).agg(F.sort_array(F.collect_list("k")).alias("ids"))
+    cuts = sample.select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at("ids", F.greatest(F.lit(1), (i * F.size("ids") / F.lit(n)).cast("int")))).alias("cuts"))
     # one row a range that has documents: its least id
-    found = d.select("k", _last_at_most(F.col("k"), cuts).alias("slot")).groupBy("slot").agg(F.min("k").alias("head")).collect()
-    heads = sorted(r["head"] for r in found)
-    slot = _last_at_most(F.col("k"), heads)
-    own = d.withColumn("slot", slot).withColumn("first", F.col("k") == F.try_element_at(F.array(*map(F.lit, heads)), F.col("slot")) if heads else F.lit(False))
+    least = d.select("k").crossJoin(F.broadcast(cuts)).groupBy(_last_at_most(F.col("k"), F.col("cuts"), n).alias("range")).agg(F.min("k").alias("head"))
+    heads = least.agg(F.sort_array(F.collect_list("head")).alias("heads"))
+    own = d.crossJoin(F.broadcast(heads)).withColumn("slot", _last_at_most(F.col("k"), F.col("heads"), n + 1)).withColumn("first", F.col("k") == F.try_element_at("heads", F.col("slot")))
     places = F.array(F.struct(F.col("slot"), F.lit(0).alias("guest")), F.struct((F.col("slot") - 1).alias("slot"), F.lit(1).alias("guest")))
     placed = F.when(F.col("first") & (F.col("slot") > 1), places).otherwise(F.slice(places, 1, 1))
     return own.withColumn("to", F.explode(placed)).select("k", "doc_id", "text", "to.slot", "to.guest")
 
 
-def _last_at_most(k, bounds: list[int]):
-    """How many of the sorted bounds are at most ``k``, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    table, n = F.array(*map(F.lit, bounds)), len(bounds)
-    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(table, at + s) <= k, F.lit(False)), at + s).otherwise(at))
+def _last_at_most(k, bounds, most: int):
+    """How many of the sorted bounds, ``most`` at most, are at most ``k``, by binary search; nulls are bounds of nothing."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at(bounds, at + s) <= k, F.lit(False)), at + s).otherwise(at))
 
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -112,12 +112,12 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The next document is the next in ascending id (null ids first, equal ids by text), after the last the first.
     Texts move once: ranges of ids are sorted by Spark and walked in order by the tasks.
     """
-    dealt = _with_slots(docs, id_col, text_col)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _with_slots(docs, id_col, text_col, n)
     least = dealt.agg(F.min("k").alias("k")).first()["k"]
     opening = None if least is None else dealt.where(F.col("k") == least).orderBy("text").select("text").first()
     opening_text = opening["text"] if opening is not None else ""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(n, "slot").sortWithinPartitions("slot", "k", "guest", "text")
+    ordered = dealt.repartitionById(n + 1, F.col("slot") - 1).sortWithinPartitions("slot", "k", "guest", "text")
 
     def values(raws):
         return [bin_values(s, bins, bits) for s in _text.shingles(*_text.word_hashes(raws))]
