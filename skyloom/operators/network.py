@@ -5,9 +5,15 @@ Networks aren't run here: training and inference are no work for this library.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.files import latest_save
+from skyloom.plans.config import ManagerConfig
+from skyloom.sources.samples import load_weights
+
 Shape = tuple[int, ...]
 
 
@@ -101,6 +107,20 @@ class Network:
         return [(n, list(s)) for n, s in self.layout.weights.items()]
 
 
+def networks_of(manager: ManagerConfig) -> dict[str, Network]:
+    """Layouts of a manager's networks by name."""
+    return {name: Network(c.in_channels, c.out_channels, c.hidden, c.depth, resolution_increase=c.resolution_increase_layers, ratio=c.reduction_ratio) for name, c in manager.networks.items()}
+
+
+def restored(spark: SparkSession, manager: ManagerConfig, files: DataFrame, saves: DataFrame) -> DataFrame:
+    """The weights of the manager's last save: a row an array, with its network. Networks are few."""
+    found = latest_save(files, saves, manager.experiment or None, str(manager.path)).where(F.col("network").isin(list(manager.networks))).collect()
+    rows = [load_weights(spark, r["path"], r["network"]) for r in found]
+    if not rows:
+        raise FileNotFoundError(f"no checkpoint of {sorted(manager.networks)} in {manager.path}")
+    return reduce(DataFrame.unionByName, rows)
+
+
 def parameter_counts(layers: DataFrame) -> DataFrame:
     """network, parameters and trainable ones from rows (network, name, shape, trainable), with a row ``total`` over all networks."""
     size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n.cast("long"))

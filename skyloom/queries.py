@@ -18,6 +18,7 @@ from skyloom.operators import periods as P
 from skyloom.operators import series as R
 from skyloom.operators import splits as B
 from skyloom.operators import tensors as N
+from skyloom.sources import catalogue as G
 from skyloom.sources import samples as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -680,6 +681,19 @@ def _(spark, sf):
     return C.variables(spark).select("name", F.to_json(F.struct("name", "units", "cumulative")).alias("item"))
 
 
+_BOX = "SELECT label, min(vec_id % 360 - 180) AS x0, min(vec_id % 17) AS y0, max(vec_id % 360 - 180) AS x1, max(vec_id % 17) AS y1, min(t) AS a, max(t) AS b FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id % 1000 AS INTEGER)) AS t FROM embeddings) GROUP BY label"
+_Z = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+@query("stac_items", f"""SELECT label, '{{"type":"Feature","stac_version":"1.0.0","id":"l' || label || '","geometry":{{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]}},"bbox":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"properties":{{"datetime":null,"start_datetime":"' || {_Z.format('a')} || '","end_datetime":"' || {_Z.format('b')} || '","label":' || label || '}},"links":[],"assets":{{"data":{{"href":"/data/' || label || '.parquet"}}}}}}' AS item FROM ({_BOX})""")
+def _(spark, sf):
+    v = F.col("vec_id")
+    t = F.timestamp_add("HOUR", (v % 1000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    boxes = G.extent(table(spark, sf, "embeddings").select("label", (v % 360 - 180).alias("x"), (v % 17).alias("y"), t.alias("t")), ["label"], "x", "y", "t")
+    assets = F.struct(F.struct(F.concat(F.lit("/data/"), F.col("label").cast("string"), F.lit(".parquet")).alias("href")).alias("data"))
+    return boxes.select("label", G.item(F.concat(F.lit("l"), F.col("label").cast("string")), F.col("bbox"), F.col("first"), F.col("last"), {"label": F.col("label")}, assets).alias("item"))
+
+
 @query("cf_column_metadata", """SELECT * FROM (VALUES ('value', '_FillValue', '-9999.0'), ('value', 'complevel', '4'), ('value', 'units', '"m s-1"'), ('value', 'zlib', 'true')) t("column", attribute, value)""")
 def _(spark, sf):
     return O.metadata_table(O.cf_metadata(table(spark, sf, "events").select("event_id", "value"), {"value": {"units": "m s-1", "_FillValue": -9999.0, "zlib": True, "complevel": 4}}))

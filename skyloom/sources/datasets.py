@@ -53,3 +53,15 @@ class Dataset:
 def dataset(name: str, config: DatasetConfig) -> Dataset:
     """A registered dataset under a configuration."""
     return datasets.build(name, config)
+
+
+# The columns of stored downscaling samples.
+SAMPLE_KEYS = (
+    "height_in_idx", "width_in_idx", "height_out_idx", "width_out_idx", "lat", "lon", "year", "month", "day", "hour", "use_hrdps_upscale", "input_first_block", "input_last_layer", "target",
+)
+
+
+@datasets.register("downscaling")
+def downscaling(config: DatasetConfig, table: str = "samples", order: str = "sample_id") -> Dataset:
+    """Samples in a table of the session, with the keys of the configuration or all."""
+    return Dataset("downscaling", config if config.keys else replace(config, keys=SAMPLE_KEYS), lambda spark: spark.table(table), order)

@@ -1,5 +1,6 @@
 """Published golden values of the operators."""
 
+import json
 import math
 from datetime import datetime, timedelta
 
@@ -385,3 +386,38 @@ def test_datasets(spark, tmp_path):
     assert (tmp_path / "b5e241cc").exists()
     with pytest.raises(KeyError):
         datasets.dataset("absent", config.DatasetConfig(tmp_path))
+
+
+def test_catalogue_documents(spark, tmp_path):
+    from skyloom.sources import catalogue
+
+    df = spark.createDataFrame([("a", 1, 2, datetime(2024, 1, 1)), ("a", 5, -1, datetime(2024, 2, 1)), ("b", 9, 9, datetime(2023, 1, 1))], "g string, x int, y int, t timestamp_ntz")
+    boxes = catalogue.extent(df, ["g"], "x", "y", "t")
+    items = boxes.withColumn("item", catalogue.item(F.col("g"), F.col("bbox"), F.col("first"), F.col("last"), {"n": F.lit(1)}, F.struct(F.struct(F.lit("h").alias("href")).alias("d")), "c"))
+    got = {r.g: json.loads(r["item"]) for r in items.collect()}
+    assert got["a"]["bbox"] == [1, -1, 5, 2] and got["a"]["geometry"]["coordinates"][0][2] == [5, 2] and got["a"]["properties"]["datetime"] is None and got["a"]["collection"] == "c"
+    whole = json.loads(catalogue.collection(items, "c", "all").first()[0])
+    assert whole["extent"]["spatial"]["bbox"] == [[1, -1, 9, 9]] and whole["extent"]["temporal"]["interval"] == [["2023-01-01T00:00:00Z", "2024-02-01T00:00:00Z"]]
+    catalogue.write_items(items, f"{tmp_path}/items")
+    assert spark.read.text(f"{tmp_path}/items").count() == 2
+
+
+def test_managers(spark, tmp_path):
+    manager = config.build(config.ManagerConfig, {"path": str(tmp_path), "experiment": "e1", "networks": {"a": {"type": "UNet"}, "b": {"hidden": 36, "in_channels": 5}}})
+    nets = network.networks_of(manager)
+    assert {r.network: r.parameters for r in network.parameter_counts(network.layout_table(spark, nets)).collect()} == {"a": 7_700_674, "b": 2_439_578, "total": 7_700_674 + 2_439_578}
+    samples.save_weights(spark, str(tmp_path), "e1_7", {"a": {"w": np.ones(3)}, "b": {"w": np.zeros(2)}})
+    listed = spark.createDataFrame([("/x/e1_7", 7), ("/x/e1_3", 3)], "path string, mtime long")
+    saves = spark.createDataFrame([(1, "a", "/x/e1_3"), (2, "a", "/x/e1_7"), (2, "b", "/x/e1_7")], "save_id long, network string, path string")
+    assert {r.network: list(r["values"]) for r in network.restored(spark, manager, listed, saves).collect()} == {"a": [1, 1, 1], "b": [0, 0]}
+    with pytest.raises(FileNotFoundError):
+        network.restored(spark, manager, listed.limit(0), saves)
+
+
+def test_downscaling_dataset(spark, tmp_path):
+    from skyloom.sources import datasets
+
+    keys = datasets.SAMPLE_KEYS
+    spark.range(10).select(F.col("id").alias("sample_id"), *[F.lit(i).alias(k) for i, k in enumerate(keys)]).createOrReplaceTempView("samples")
+    own = datasets.dataset("downscaling", config.DatasetConfig(tmp_path, split="validation"))
+    assert own.samples(spark).columns == ["sample_id", *keys] and own.samples(spark).count() == 1
