@@ -2,7 +2,7 @@
 
 The model is of order two: a word's probability given the word before it, interpolated with its
 continuation probability and that with the uniform one; each level has three discounts from its
-counts of counts. Words are 64-bit hashes, and so are pairs within a part.
+counts of counts. Words are 56-bit hashes, pairs within a part 64-bit ones.
 
 1. A part is made for each ``PART`` bytes of text, or less where that leaves cores idle. Tasks send the distinct bigrams of a block of texts,
    packed, to the part of their context; contexts of more than one word in ``2 * parts`` (and at least
@@ -33,6 +33,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,18 +49,23 @@ HEAVY = 1000
 _FLUSH, _ROWS = 10_000_000, 1 << 16
 #: In so many steps a part's bigrams are added up.
 _SLICES = 4
-_START, _END = (int(x) for x in _text.mix64(np.array([0x5151, 0xE4D], np.uint64)))
+#: Bits of a word's hash.
+_BITS = 56
+_START, _END = (int(x) >> 64 - _BITS for x in _text.mix64(np.array([0x5151, 0xE4D], np.uint64)))
+
+
+_pack, _unpack_bytes = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _shrink(a: np.ndarray, ascending: bool = False) -> bytes:
-    """Bytes of an array by significance, of the steps where it ascends, so that compression finds the zeros."""
+    """Compressed bytes of an array by significance, of the steps where it ascends, so that the high ones are mostly alike."""
     steps = np.diff(a, prepend=a.dtype.type(0)) if ascending else np.ascontiguousarray(a)
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
+    return _pack.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(len(a), -1).T).tobytes()) if len(a) else b""
 
 
 def _grow(raw: bytes, kind: type, ascending: bool = False) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    a = np.ascontiguousarray(np.frombuffer(_unpack_bytes.decompress(raw) if raw else b"", np.uint8).reshape(size, -1).T).view(kind).ravel()
     return np.cumsum(a, dtype=kind) if ascending else a
 
 
@@ -75,6 +81,7 @@ def trained_on(id_col: Column) -> Column:
 def bigrams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, successors and text numbers of all bigrams; each text starts after START and ends with END."""
     words, bounds = _text.word_hashes(raws)
+    words >>= np.uint64(64 - _BITS)
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(raws)), n + 1)
     first = np.cumsum(n + 1) - (n + 1)
@@ -103,7 +110,7 @@ def homes(parts: int) -> int:
 
 def _home(words: np.ndarray, n: int) -> np.ndarray:
     """Range of a word; ranges ascend with the hash."""
-    return ((words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    return ((words >> np.uint64(_BITS - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def heavy_contexts(src: DataFrame, share: int) -> np.ndarray:
@@ -113,7 +120,7 @@ def heavy_contexts(src: DataFrame, share: int) -> np.ndarray:
         keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             for _, _, raws in _text.blocks(batch.column("text").to_pylist()):
-                words, _ = _text.word_hashes(raws)
+                words = _text.word_hashes(raws)[0] >> np.uint64(64 - _BITS)
                 total += len(words)
                 k, c = np.unique(words, return_counts=True)
                 allk, which = np.unique(np.concatenate([keys, k]), return_inverse=True)
@@ -245,7 +252,7 @@ def count_parts(src: DataFrame, heavy: np.ndarray, parts: int, folder: str) -> D
         held = []
         for row in rows:
             contexts, runs, words, which = _unpack(row)
-            a, b = np.searchsorted(contexts, np.array([low, high], np.uint64)).tolist() if high else (int(np.searchsorted(contexts, np.uint64(low))), len(contexts))
+            a, b = np.searchsorted(contexts, np.array([low, high], np.uint64)).tolist()
             at = np.concatenate([[0], np.cumsum(runs, dtype=np.int64)])
             own = slice(at[a], at[b])
             held.append((np.repeat(contexts[a:b], runs[a:b]), words[which[own]], _grow(row["weights"], np.int32)[own]))
@@ -262,7 +269,7 @@ def count_parts(src: DataFrame, heavy: np.ndarray, parts: int, folder: str) -> D
             return
         part, found = rows[0]["part"], []
         for k in range(_SLICES):
-            v, w, c = summed(rows, (k << 64) // _SLICES, ((k + 1) << 64) // _SLICES % (1 << 64))
+            v, w, c = summed(rows, (k << _BITS) // _SLICES, ((k + 1) << _BITS) // _SLICES)
             # words that are asked for, seen in training or not
             asked, which = np.unique(w, return_inverse=True)
             before = np.bincount(which, c > 0, len(asked)).astype(np.int64)
