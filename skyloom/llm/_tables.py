@@ -22,17 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
 #: Settings of Spark while an intermediate table is written. Shuffle files of the statement go when it ends, so that steps
 #: don't pile them up until the driver collects its garbage; Python takes a thousand rows at a time, as rows hold packed arrays.
 _WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Rows of megabytes are tested for the size of a row group one by one, and packed tighter.
+_LARGE_ROWS = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"}
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it, so that later work doesn't depend on its lineage or shuffle files."""
+def save(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it, so that later work doesn't depend on its lineage or shuffle files.
+
+    ``rows`` is for large rows: so many at a time go to Python.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _WHILE_SAVING}
+    settings = _WHILE_SAVING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        for k, v in _WHILE_SAVING.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.options(**_LARGE_ROWS if rows else {}).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

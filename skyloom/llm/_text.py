@@ -110,11 +110,11 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raws: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the bounds of each text in them."""
     data, at = join(raws)
     starts, ends, bounds = word_spans(data, at)
-    return span_hashes(LOWER[data], starts, ends), bounds
+    return span_hashes(LOWER[data] if lower else data, starts, ends), bounds
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> list[np.ndarray]:
