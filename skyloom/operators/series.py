@@ -49,15 +49,18 @@ def _summarise(df: DataFrame, series: str, time: str, value: str) -> DataFrame:
     return g.select(series, "bucket", ((F.col("lo") + F.col("hi")) / 2).alias("time"), F.when(many, F.col("lo")).alias("lo"), F.when(many, F.col("hi")).alias("hi"), "cnt", "value")
 
 
-def compact(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0) -> DataFrame:
-    """Each series within ``limit`` buckets, as appending its points one by one would leave it; the bucket is a column expression."""
-    numbered = rank_within(df, [series], order, "i", "n")
+def compact(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0, index: tuple[str, str] | None = None) -> DataFrame:
+    """Each series within ``limit`` buckets, as appending its points one by one would leave it; the bucket is a column expression.
+
+    ``index`` names columns that have each point's place in its series and the series' length already.
+    """
+    numbered = df.withColumns({"i": F.col(index[0]), "n": F.col(index[1])}) if index else rank_within(df, [series], order, "i", "n")
     return _summarise(numbered.withColumn("bucket", bucket_of(F.col("i"), F.col("n"), limit, keep_start, keep_end)), series, time, value)
 
 
-def merge_pairs(df: DataFrame, series: str, order: list[str], time: str, value: str) -> DataFrame:
-    """One pass: neighbouring points in pairs, an odd last one alone."""
-    numbered = rank_within(df, [series], order, "i", "n")
+def merge_pairs(df: DataFrame, series: str, order: list[str], time: str, value: str, index: str | None = None) -> DataFrame:
+    """One pass: neighbouring points in pairs, an odd last one alone; ``index`` names a column that has their places."""
+    numbered = df.withColumn("i", F.col(index)) if index else rank_within(df, [series], order, "i", "n")
     return _summarise(numbered.withColumn("bucket", F.floor(F.col("i") / F.lit(2))), series, time, value)
 
 

@@ -5,65 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = ("train", "validation", "test")
-
+from skyloom.sources.shared import save
 
-#: Rows of the sample for each range's bound.
-SAMPLED = 60
+SPLITS = ("train", "validation", "test")
 
 
 def dealt_by_key(df: DataFrame, order: list[Column | str], buckets: int | None = None) -> DataFrame:
-    """``_key``, a struct of the order and a hash of the row, and ``_slot``, its range among even ranges of keys.
+    """The rows with ``_slot``, their range among even ranges of the order, and ``_at``, their place in it; written once.
 
-    Bounds are keys of a sample, so ranges are even whatever the keys look like; a hash of the key chooses the sample,
-    so they are the same whenever they are computed. They are one broadcast row, ``SAMPLED`` keys a range before they are thinned.
+    Spark's range partitioning samples the keys, with a hash of the row behind them, so ranges are even whatever the
+    keys look like. Sampling and the shuffle read the input; whatever follows reads the written table, so ranks hold
+    also where the input isn't the same each time it is computed.
     """
     n = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    fields = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(fields)], F.xxhash64(*hashed).alias("tie")))
-    rows = df.count()
-    part = F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = keyed.where(part < SAMPLED * n / max(1, rows)).agg(F.sort_array(F.collect_list("_key")).alias("keys"))
-    thinned = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.try_element_at("keys", (i * F.size("keys") / F.lit(n + 1)).cast("int") + 1))
-    bounds = sample.select(F.when(F.size("keys") > 0, thinned).alias("_bounds"))
-    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
-    slot = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.try_element_at("_bounds", at + s) <= F.col("_key"), F.lit(False)), at + s).otherwise(at))
-    return keyed.crossJoin(F.broadcast(bounds)).withColumn("_slot", slot).drop("_bounds")
+    keys = {f"_key{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)} | {"_tie": F.xxhash64(*hashed)}
+    ranged = df.withColumns(keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # the id of a row has its partition in the upper bits and its place in the lower 33
+    dealt = save(ranged.withColumn("_at", F.monotonically_increasing_id()).drop(*keys))
+    return dealt.withColumns({"_slot": F.shiftright("_at", 33).cast("int"), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
 
 
-def global_rank(df: DataFrame, order: list[Column | str], name: str = "idx", buckets: int | None = None) -> DataFrame:
-    """Zero-based rank of every row in a total order without gathering all rows in one task.
+def global_rank(df: DataFrame, order: list[Column | str], name: str = "idx", buckets: int | None = None, size: str | None = None) -> DataFrame:
+    """Zero-based rank of every row in a total order without gathering all rows in one task; ``size`` names the number of rows.
 
     Rows are dealt into ordered ranges, numbered within each range, and shifted by the rows of the ranges before.
     """
     dealt = dealt_by_key(df, order, buckets)
     # one row a range
-    before = dealt.groupBy("_slot").count().select("_slot", (F.sum("count").over(Window.orderBy("_slot")) - F.col("count")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_slot").orderBy("_key"))
-    return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_slot").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_key", "_slot", "_rank", "_before")
+    count, whole = F.col("count"), Window.partitionBy()
+    before = dealt.groupBy("_slot").count().select("_slot", (F.sum(count).over(Window.orderBy("_slot")) - count).alias("_before"), F.sum(count).over(whole).alias(size or "_rows"))
+    return dealt.join(F.broadcast(before), "_slot").withColumn(name, F.col("_before") + F.col("_at")).drop("_slot", "_at", "_before", "_rows")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "i", size: str = "n") -> DataFrame:
     """Zero-based rank of every row among those of equal keys (null is a key), and their number; no task holds a frequent key alone.
 
-    Rows are dealt into ranges of key and order and numbered by key and range; a table of the sizes of both shifts them.
+    Rows are dealt into ranges of key and order; a table of the sizes of both shifts a row's place in its range.
     """
     if not keys:
-        whole = df.agg(F.count(F.lit(1)).alias(size))
-        return global_rank(df, order, name).crossJoin(F.broadcast(whole))
+        return global_rank(df, order, name, size=size)
     dealt = dealt_by_key(df, [*keys, *order])
     by = [F.col(k).alias(f"_by_{k}") for k in keys]
-    sizes = dealt.groupBy(*by, F.col("_slot").alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = dealt.groupBy(*by, F.col("_slot").alias("_range")).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
     own = Window.partitionBy(*[f"_by_{k}" for k in keys])
     before = F.sum("_rows").over(own.orderBy("_range")) - F.col("_rows")
     sizes = sizes.select("*", before.alias("_before"), F.sum("_rows").over(own).alias(size))
     same = F.col("_slot") == F.col("_range")
     for k in keys:
         same = same & dealt[k].eqNullSafe(sizes[f"_by_{k}"])
-    rank = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_key"))
-    met = dealt.withColumn("_rank", rank).join(sizes, same)
-    return met.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_key", "_slot", "_rank", "_range", "_rows", "_before", *[f"_by_{k}" for k in keys])
+    met = dealt.join(sizes, same).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+    return met.drop("_slot", "_at", "_range", "_rows", "_first", "_before", *[f"_by_{k}" for k in keys])
 
 
 def split_sizes(n: int, train: float = 0.8, test_of_rest: float = 0.5) -> tuple[int, int, int]:
@@ -80,9 +72,10 @@ def seeded_order(id_col: str, seed: int) -> list[Column]:
 
 def split_by_rank(df: DataFrame, order: list, train: float = 0.8, test_of_rest: float = 0.5, shuffle_seed: int | None = None, id_col: str | None = None) -> DataFrame:
     """``idx`` and ``split`` by rank: contiguous in the order, or in the order of a seeded hash of ``id_col``."""
-    first, validation, _ = split_sizes(df.count(), train, test_of_rest)
-    ranked = global_rank(df, order if shuffle_seed is None else seeded_order(id_col, shuffle_seed))
-    return ranked.withColumn("split", F.when(F.col("idx") < first, "train").when(F.col("idx") < first + validation, "validation").otherwise("test"))
+    ranked = global_rank(df, order if shuffle_seed is None else seeded_order(id_col, shuffle_seed), size="_n")
+    first = F.floor(F.col("_n") * F.lit(train) + F.lit(1e-9))
+    tests = F.ceil((F.col("_n") - first) * F.lit(test_of_rest))
+    return ranked.withColumn("split", F.when(F.col("idx") < first, "train").when(F.col("idx") < F.col("_n") - tests, "validation").otherwise("test")).drop("_n")
 
 
 def shuffle_within(df: DataFrame, split: str, id_col: str, seed: int, name: str = "position") -> DataFrame:

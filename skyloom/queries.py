@@ -20,6 +20,7 @@ from skyloom.operators import splits as B
 from skyloom.operators import tensors as N
 from skyloom.sources import catalogue as G
 from skyloom.sources import samples as O
+from skyloom.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -302,7 +303,7 @@ def _(spark, sf):
 
 def stored_orders(spark, sf, save: int) -> str:
     """Orders saved in batches of ``save``, as positions of files."""
-    path = _stored(spark, sf, "orders")
+    path = new_path(spark, "orders")
     k = F.col("o_orderkey")
     O.save_batches(table(spark, sf, "orders").select(F.lit("train").alias("split"), B.batch_of(k, save).alias("batch_id"), (k % save).alias("pos"), "o_orderkey", "o_totalprice"), path)
     return path
@@ -362,7 +363,7 @@ _BUCKETED = "SELECT user_id, bucket, (min(i) + max(i)) / 2.0::DOUBLE AS time, CA
 
 
 def counted_events(spark, sf):
-    return R.counter_time(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "t")
+    return B.rank_within(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "t", "n")
 
 
 def bucketed(df):
@@ -372,12 +373,12 @@ def bucketed(df):
 
 @query("compact_bounded", _BUCKETED.format(f"SELECT *, CASE WHEN i < 16 THEN i >> p ELSE (8 + (i - 16) % 8) >> (p - 1 - (i - 16) // 8) END AS bucket FROM (SELECT *, CASE WHEN n < 16 THEN 0 ELSE (n - 16) // 8 + 1 END AS p FROM {_COUNTED})"))
 def _(spark, sf):
-    return bucketed(R.compact(counted_events(spark, sf), "user_id", ["t"], "t", "value", 15))
+    return bucketed(R.compact(counted_events(spark, sf), "user_id", ["t"], "t", "value", 15, index=("t", "n")))
 
 
 @query("compact_pairs", _BUCKETED.format(f"SELECT *, i // 2 AS bucket FROM {_COUNTED}"))
 def _(spark, sf):
-    return bucketed(R.merge_pairs(counted_events(spark, sf), "user_id", ["t"], "t", "value"))
+    return bucketed(R.merge_pairs(counted_events(spark, sf), "user_id", ["t"], "t", "value", index="t"))
 
 
 
@@ -389,7 +390,7 @@ _KEPT_ENDS = f"(SELECT *, place0 - 6 * moving AS place, left_over - moving AS ha
 
 @query("compact_keep_ends", _BUCKETED.format(f"SELECT *, CAST(CASE WHEN place < 3 THEN place ELSE 3 + ((place - 3) >> halvings) END AS BIGINT) AS bucket FROM {_KEPT_ENDS}"))
 def _(spark, sf):
-    return bucketed(R.compact(counted_events(spark, sf), "user_id", ["t"], "t", "value", 20, 3, 5))
+    return bucketed(R.compact(counted_events(spark, sf), "user_id", ["t"], "t", "value", 20, 3, 5, index=("t", "n")))
 
 
 @query("series_weighted_mean", "SELECT event_type, round(sum(value * (1 + user_id % 5)) / sum(1 + user_id % 5), 6) AS mean_value FROM events GROUP BY event_type")
@@ -736,29 +737,14 @@ def _(spark, sf):
 
 @query("scan_sample_batch", "SELECT vec_id, label, len(embedding) AS cells FROM embeddings WHERE vec_id BETWEEN 16 AND 31")
 def _(spark, sf):
-    path, v = _stored(spark, sf, "embeddings"), F.col("vec_id")
+    path, v = new_path(spark, "embeddings"), F.col("vec_id")
     O.save_batches(table(spark, sf, "embeddings").select(F.lit("train").alias("split"), B.batch_of(v, 16).alias("batch_id"), (v % 16).alias("pos"), "vec_id", "label", "embedding"), path)
     return O.scan_batch(spark, path, "train", 1, ["vec_id", "label", "embedding"]).select("vec_id", "label", F.size("embedding").cast("long").alias("cells"))
 
 
-def _stored(spark, sf, name: str) -> str:
-    """A folder of its own for a query that writes."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("save_batches", "SELECT vec_id % 64 AS pos, label FROM embeddings WHERE vec_id // 64 = 2 AND vec_id % 64 < 10")
 def _(spark, sf):
-    path = _stored(spark, sf, "batches")
+    path = new_path(spark, "batches")
     v = F.col("vec_id")
     rows = table(spark, sf, "embeddings").select(F.lit("train").alias("split"), B.batch_of(v, 64).alias("batch_id"), (v % 64).alias("pos"), "label", "embedding")
     O.save_batches(rows, path)
@@ -767,7 +753,7 @@ def _(spark, sf):
 
 @query("read_through_cache", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def _(spark, sf):
-    folder = _stored(spark, sf, "cache")
+    folder = new_path(spark, "cache")
     return O.read_through(spark, folder, "b5e241cc", lambda: table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
