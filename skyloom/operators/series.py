@@ -58,6 +58,45 @@ def compact(df: DataFrame, series: str, order: list[str], time: str, value: str,
     return _summarise(numbered.withColumn("bucket", bucket_of(F.col("i"), F.col("n"), limit, keep_start, keep_end)), series, time, value)
 
 
+STATE = ("series", "n", "bucket", "first", "last", "lo", "hi", "cnt", "total")
+
+
+def state_of(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0) -> DataFrame:
+    """State of each series' compaction: its number of points, and of each bucket the first and last point's place and time, their number and sum."""
+    points = rank_within(df.where(F.col(series).isNotNull()), [series], order, "_i", "n")
+    one = points.select(F.col(series).alias("series"), "n", F.col("_i").alias("first"), F.col("_i").alias("last"), F.col(time).alias("lo"), F.col(time).alias("hi"), F.lit(1).cast("long").alias("cnt"), F.col(value).cast("double").alias("total"))
+    return _rebucketed(one, limit, keep_start, keep_end)
+
+
+def _rebucketed(parts: DataFrame, limit: int, keep_start: int, keep_end: int) -> DataFrame:
+    """Parts of buckets joined by the bucket of their first point: joinings only ever join neighbours, so a bucket goes whole."""
+    placed = parts.withColumn("bucket", bucket_of(F.col("first"), F.col("n"), limit, keep_start, keep_end))
+    grouped = placed.groupBy("series", "bucket").agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("cnt").alias("cnt"), F.sum("total").alias("total"))
+    return grouped.select(*STATE)
+
+
+def resumed(state: DataFrame, new: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0) -> DataFrame:
+    """The state after more points, as if all had come in one run; only the state's buckets and the new points are read.
+
+    Points not after their series' last one are refused when the result is read, as appending them one by one refuses them.
+    """
+    ends = state.groupBy("series").agg(F.max("n").alias("_before"), F.max("hi").alias("_end"))
+    points = rank_within(new.where(F.col(series).isNotNull()), [series], order, "_i", "_new")
+    met = points.join(ends, F.col(series) == F.col("series"), "left")
+    late = F.raise_error(F.concat(F.lit("out of order in series "), F.col(series).cast("string"))).cast("long")
+    at = F.when(F.col("_end").isNull() | (F.col(time) > F.col("_end")), F.coalesce("_before", F.lit(0)) + F.col("_i")).otherwise(late)
+    one = met.select(F.col(series).alias("series"), (F.coalesce("_before", F.lit(0)) + F.col("_new")).alias("n"), at.alias("first"), at.alias("last"), F.col(time).alias("lo"), F.col(time).alias("hi"), F.lit(1).cast("long").alias("cnt"), F.col(value).cast("double").alias("total"))
+    grown = one.groupBy(F.col("series").alias("_grown")).agg(F.max("n").alias("_n"))
+    old = state.join(grown, F.col("series") == F.col("_grown"), "left").withColumn("n", F.coalesce("_n", "n")).drop("_n", "_grown", "bucket")
+    return _rebucketed(old.unionByName(one), limit, keep_start, keep_end)
+
+
+def buckets(state: DataFrame, series: str) -> DataFrame:
+    """What ``compact`` gives, from a state."""
+    many = F.col("cnt") > 1
+    return state.select(F.col("series").alias(series), "bucket", ((F.col("lo") + F.col("hi")) / 2).alias("time"), F.when(many, F.col("lo")).alias("lo"), F.when(many, F.col("hi")).alias("hi"), "cnt", (F.col("total") / F.col("cnt")).alias("value"))
+
+
 def merge_pairs(df: DataFrame, series: str, order: list[str], time: str, value: str, index: str | None = None) -> DataFrame:
     """One pass: neighbouring points in pairs, an odd last one alone; ``index`` names a column that has their places."""
     numbered = df.withColumn("i", F.col(index)) if index else rank_within(df, [series], order, "i", "n")

@@ -9,17 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom import catalog as C
+from skyloom.functions import permutation as E
 from skyloom.functions import scaling as S
 from skyloom.functions import text as X
 from skyloom.operators import files as L
 from skyloom.operators import metrics as M
 from skyloom.operators import network as K
+from skyloom.operators import passes as W
 from skyloom.operators import periods as P
 from skyloom.operators import series as R
 from skyloom.operators import splits as B
 from skyloom.operators import tensors as N
+from skyloom.sources import archives as A
 from skyloom.sources import catalogue as G
 from skyloom.sources import samples as O
+from skyloom.sources import states as Y
 from skyloom.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,14 +728,19 @@ def _(spark, sf):
 _TIMES = "strftime(TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id % 1000 AS INTEGER)), '%Y%m%d%H')"
 
 
+def output_samples(spark, sf) -> DataFrame:
+    """Two channels of every embedding as model output, with variable, path and values."""
+    e = table(spark, sf, "embeddings")
+    t = F.timestamp_add("HOUR", (F.col("vec_id") % 1000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    samples = e.select("vec_id", t.alias("ts"), (F.col("vec_id") % 7).alias("h0"), (F.col("vec_id") % 5).alias("w0"), (F.col("vec_id") % 2).alias("use_upscale"), F.array(*[N.channel(F.col("embedding"), F.lit(c), 32) for c in (0, 1)]).alias("channels"))
+    return O.output_manifest(samples, "ts", "channels", ["HRDPS_P_TT_10000", "HRDPS_P_PR_SFC"])
+
+
 @query("model_output_manifest", f"""SELECT vec_id, c AS channel, variable, variable || '/' || {_TIMES} || '_' || vec_id % 7 || '_' || vec_id % 5 || CASE WHEN vec_id % 2 = 1 THEN '_hrdps_upscale' ELSE '' END || '.nc' AS path,
  round(CASE WHEN c = 1 THEN exp(ln(1e-8) + (y + 1) * (ln(0.001 + 1e-8) - ln(1e-8)) / 2) - 1e-8 ELSE -40 + (y + 1) * 40 END, 6) AS head
  FROM (SELECT vec_id, CAST(c AS INTEGER) AS c, CASE WHEN c = 0 THEN 'HRDPS_P_TT_10000' ELSE 'HRDPS_P_PR_SFC' END AS variable, CAST(embedding[c * 32 + 1] AS DOUBLE) AS y FROM embeddings, range(0, 2) t(c))""")
 def _(spark, sf):
-    e = table(spark, sf, "embeddings")
-    t = F.timestamp_add("HOUR", (F.col("vec_id") % 1000).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    samples = e.select("vec_id", t.alias("ts"), (F.col("vec_id") % 7).alias("h0"), (F.col("vec_id") % 5).alias("w0"), (F.col("vec_id") % 2).alias("use_upscale"), F.array(*[N.channel(F.col("embedding"), F.lit(c), 32) for c in (0, 1)]).alias("channels"))
-    m = O.output_manifest(samples, "ts", "channels", ["HRDPS_P_TT_10000", "HRDPS_P_PR_SFC"])
+    m = output_samples(spark, sf)
     return m.select("vec_id", "channel", "variable", "path", r6(F.element_at("values", 1)).alias("head"))
 
 
@@ -763,3 +772,95 @@ NETWORKS = {"default": lambda: K.Network(2, 2), "gated": lambda: K.Network(2, 2,
 @query("parameter_count", "SELECT * FROM (VALUES ('default', CAST(7700674 AS BIGINT), CAST(7700674 AS BIGINT)), ('gated', CAST(7915714 AS BIGINT), CAST(7915714 AS BIGINT)), ('dense', CAST(165514 AS BIGINT), CAST(165514 AS BIGINT)), ('total', CAST(15781902 AS BIGINT), CAST(15781902 AS BIGINT))) t(network, parameters, trainable)")
 def _(spark, sf):
     return K.parameter_counts(K.layout_table(spark, {n: f() for n, f in NETWORKS.items()}))
+
+
+# --- archives and runs ------------------------------------------------------------------------------------------------
+
+
+def archived(spark, sf, suffix: str, size: int = 64) -> str:
+    """Embeddings as grids of 8 by 8 in archives of ``size`` samples."""
+    path, v = new_path(spark, "archives"), F.col("vec_id")
+    name = A.archive_name(F.lit("train"), F.lit("b5e241cc"), B.batch_of(v, size), suffix)
+    rows = table(spark, sf, "embeddings").where("embedding is not null").select(name.alias("file"), (v % size).alias("pos"), "vec_id", F.col("embedding").alias("grid"))
+    A.write_archives(rows.withMetadata("grid", {"units": "m s-1", "_FillValue": -9999.0}), path, {"grid": [8, 8]})
+    return path
+
+
+_GRID = "SELECT vec_id // 64 AS batch_id, vec_id % 64 AS pos, vec_id, CAST(embedding[1] AS DOUBLE) AS head, CAST(list_max(embedding) AS DOUBLE) AS highest, CAST(list_min(embedding) AS DOUBLE) AS lowest FROM embeddings"
+
+
+def grid_rows(df: DataFrame) -> DataFrame:
+    cell = lambda c: c.cast("double")
+    return df.select("batch_id", "pos", "vec_id", cell(F.element_at("grid", 1)).alias("head"), cell(F.array_max("grid")).alias("highest"), cell(F.array_min("grid")).alias("lowest"))
+
+
+@query("archive_netcdf", _GRID)
+def _(spark, sf):
+    return grid_rows(A.read_archives(spark, archived(spark, sf, "nc")))
+
+
+@query("archive_numpy", _GRID)
+def _(spark, sf):
+    return grid_rows(A.read_archives(spark, archived(spark, sf, "npz")))
+
+
+@query("archive_slice", f"SELECT * FROM ({_GRID}) WHERE batch_id IN (1, 4) AND pos >= 5 AND pos < 9")
+def _(spark, sf):
+    return grid_rows(A.read_archives(spark, archived(spark, sf, "nc"), ["vec_id", "grid"], split="train", batch_id=[1, 4], first=5, end=9))
+
+
+@query("archive_headers", "SELECT 'train_b5e241cc_' || lpad(CAST(b AS VARCHAR), 8, '0') || '.nc' AS file, key, kind, CASE WHEN key = 'grid' THEN n || ',8,8' ELSE CAST(n AS VARCHAR) END AS shape, CASE WHEN key = 'grid' THEN 'm s-1' END AS units, CASE WHEN key = 'grid' THEN '-9999.0' END AS fill FROM (SELECT vec_id // 64 AS b, count(*) AS n FROM embeddings GROUP BY 1), (VALUES ('vec_id', 'i8'), ('grid', 'f4')) t(key, kind)")
+def _(spark, sf):
+    heads = A.read_archives(spark, archived(spark, sf, "nc"), headers=True)
+    return heads.select("file", "key", "kind", F.array_join("shape", ",").alias("shape"), F.col("attributes")["units"].alias("units"), F.col("attributes")["_FillValue"].alias("fill"))
+
+
+@query("archive_manifest", "SELECT 'train_b5e241cc_' || lpad(CAST(vec_id // 64 AS VARCHAR), 8, '0') || '.npz' AS file, count(*) AS samples FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    return A.manifest(spark, archived(spark, sf, "npz")).select("file", "samples")
+
+
+_OUT = """SELECT path AS file, row_number() OVER (PARTITION BY path ORDER BY vec_id) - 1 AS pos, vec_id, head FROM (SELECT vec_id, variable || '/' || {t} || '_' || vec_id % 7 || '_' || vec_id % 5 || CASE WHEN vec_id % 2 = 1 THEN '_hrdps_upscale' ELSE '' END || '.nc' AS path,
+ round(CASE WHEN c = 1 THEN exp(ln(1e-8) + (y + 1) * (ln(0.001 + 1e-8) - ln(1e-8)) / 2) - 1e-8 ELSE -40 + (y + 1) * 40 END, 6) AS head
+ FROM (SELECT vec_id, c, CASE WHEN c = 0 THEN 'HRDPS_P_TT_10000' ELSE 'HRDPS_P_PR_SFC' END AS variable, CAST(embedding[c * 32 + 1] AS DOUBLE) AS y FROM embeddings, range(0, 2) t(c)))"""
+
+
+@query("model_outputs_written", _OUT.replace("{t}", _TIMES))
+def _(spark, sf):
+    path = new_path(spark, "outputs")
+    O.write_output_files(output_samples(spark, sf), path, "vec_id", {"values": [4, 8]})
+    return A.read_archives(spark, path).select("file", "pos", "vec_id", r6(F.element_at("values", 1)).alias("head"))
+
+
+@query("epoch_permutation", f"SELECT event_id, position FROM {E.permuted_sql('SELECT event_id AS item, count(*) OVER () AS n FROM events', 'n', 42, 3)} JOIN (SELECT event_id FROM events) ON event_id = item")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    return e.crossJoin(F.broadcast(n)).select("event_id", E.permuted(F.col("event_id"), F.col("n"), 42, 3).alias("position"))
+
+
+@query("epoch_batches", f"SELECT position // 32 AS batch, count(*) AS n, min(item) AS least, max(item) AS greatest FROM {E.permuted_sql('SELECT event_id AS item, count(*) OVER () AS n FROM events', 'n', 42, 4)} GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    placed = e.crossJoin(F.broadcast(n)).select("event_id", E.permuted(F.col("event_id"), F.col("n"), 42, 4).alias("position"))
+    return placed.groupBy(B.batch_of(F.col("position"), 32).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("least"), F.max("event_id").alias("greatest"))
+
+
+@query("compact_resumed", ORACLE_SQL["compact_bounded"])
+def _(spark, sf):
+    folder, events = new_path(spark, "states"), counted_events(spark, sf)
+    # three runs, cut at different places of the series
+    for cut in (F.col("t") < 3 + F.col("user_id") % 5, (F.col("t") >= 3 + F.col("user_id") % 5) & (F.col("t") < F.floor(F.col("n") / 2) + 9), (F.col("t") >= 3 + F.col("user_id") % 5) & (F.col("t") >= F.floor(F.col("n") / 2) + 9)):
+        Y.append(events.where(cut), folder, "user_id", ["t"], "t", "value", 15)
+    return bucketed(R.buckets(Y.load(spark, folder), "user_id"))
+
+
+@query("resumable_pass", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def _(spark, sf):
+    orders, folder = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), new_path(spark, "pass")
+    # stopped after three chunks and started again
+    for most in (3, None):
+        run = W.Pass(spark, folder, orders, "o_orderkey", lambda items: items, chunks=4)
+        run.run(most)
+    return run.results().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderkey").alias("last"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skyloom.catalog import columns, with_variable
 from skyloom.functions.scaling import by_variable
+from skyloom.sources.archives import write_archives
+from skyloom.sources.cache import committed, kept
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,18 +66,15 @@ def metadata_table(df: DataFrame) -> DataFrame:
 
 
 def read_through(spark: SparkSession, folder: str, digest: str, compute: Callable[[], DataFrame], skip_load: bool = False, only_saved: bool = False) -> DataFrame:
-    """The table saved under a digest; where there is none it is computed and saved, or refused with ``only_saved``.
+    """The table committed under a digest; where there is none one caller computes it, or it is refused with ``only_saved``.
 
-    ``skip_load`` gives the saved table's schema without rows.
+    ``skip_load`` gives the saved table's schema without rows. What a crashed write leaves is never read (``cache``).
     """
     path = f"{folder.rstrip('/')}/{digest}"
-    if exists(spark, path):
-        saved = spark.read.parquet(path)
-        return saved.limit(0) if skip_load else saved
-    if only_saved:
+    if only_saved and committed(spark, path) is None:
         raise FileNotFoundError(path)
-    compute().write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+    saved = kept(spark, path, compute)
+    return saved.limit(0) if skip_load else saved
 
 
 def with_fixed(df: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -101,6 +100,15 @@ def write_outputs(manifest: DataFrame, folder: str) -> None:
     manifest.write.mode("append").partitionBy("variable").parquet(folder)
 
 
+def write_output_files(manifest: DataFrame, folder: str, order: str, shapes: dict[str, list[int]] | None = None) -> None:
+    """The files that a manifest names: a NetCDF file a path with the values of its samples by ``order``, committed together.
+
+    Samples that share a path are the first axis of its file.
+    """
+    rows = manifest.select(F.col("path").alias("file"), F.col(order).alias("pos"), F.col(order), F.col("values"))
+    write_archives(rows, folder, shapes)
+
+
 def cf_metadata(df: DataFrame, attributes: dict[str, dict]) -> DataFrame:
     """Columns with CF attributes (units, fill value, compression) as column metadata."""
     for name, values in attributes.items():
