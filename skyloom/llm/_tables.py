@@ -1,45 +1,21 @@
-"""Intermediate tables in the folder that all machines share."""
+"""Intermediate tables in the folder that all machines share, with few rows at a time for Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from skyloom.sources import shared
+from skyloom.sources.shared import shared_folder
 
+__all__ = ["save", "shared_folder"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset on a local master, as in tests, a temporary one becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-#: Settings of Spark while an intermediate table is written. Shuffle files of the statement go when it ends, so that steps
-#: don't pile them up until the driver collects its garbage; Python takes a thousand rows at a time, as rows hold packed arrays.
-_WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Rows of megabytes are tested for the size of a row group one by one, and packed tighter.
 _LARGE_ROWS = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "compression": "zstd"}
 
 
 def save(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it, so that later work doesn't depend on its lineage or shuffle files.
+    """Write a table to the shared folder and read it.
 
-    ``rows`` is for large rows: so many at a time go to Python.
+    Python takes a thousand rows at a time, as rows hold packed arrays; ``rows`` is for large ones: so many at a time.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    settings = _WHILE_SAVING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
-    before = {k: spark.conf.get(k) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        df.write.options(**_LARGE_ROWS if rows else {}).parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.save(df, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows or 1000)}, **_LARGE_ROWS if rows else {})
