@@ -29,6 +29,8 @@ SAMPLE = 24_000
 LEXICON = 4_000
 STEMS = (4, 5, 6, 7)
 FOLDS = 3
+#: Words between a lexicon word and a second-person one at most, to both sides.
+NEAR = 5
 # Common insults and second-person words in English, German, French and Spanish.
 INSULTS = (
     "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown clowns pathetic worthless disgusting ugly fool imbecile jerk creep pig filth vermin retard bastard bitch asshole shit fuck fucking hate kill "
@@ -88,8 +90,22 @@ def _clean(data: np.ndarray, at: np.ndarray, mapped: np.ndarray, drop: np.ndarra
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums by text, each of its own values alone, so that a text's sum is the same in any block."""
+    out = np.zeros(len(bounds) - 1)
+    filled = bounds[1:] > bounds[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(np.asarray(values, np.float64), bounds[:-1][filled])
+    return out
+
+
+def _around(flags: np.ndarray, bounds: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a flag is set at most ``reach`` places away in the same text."""
+    at = np.flatnonzero(flags)
+    text = np.searchsorted(bounds, at, side="right") - 1
+    steps = np.zeros(len(flags) + 1, np.int64)
+    np.add.at(steps, np.maximum(at - reach, bounds[text]), 1)
+    np.add.at(steps, np.minimum(at + reach + 1, bounds[text + 1]), -1)
+    return np.cumsum(steps)[:-1] > 0
 
 
 def _maxima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,8 +152,7 @@ def features(raws: list[bytes], lexicon: tuple[np.ndarray, np.ndarray]) -> np.nd
     any_hit = ((seed > 0) | (gain > 0)).astype(np.float64)
     hidden = np.maximum(0, _sums(listed, b2) - _sums(any_hit, bounds))
     you = _member(word, _YOU) >= 0
-    spread = np.convolve(you.astype(np.float64), np.ones(11), "same") > 0 if len(you) else you
-    near = any_hit * spread[: len(word)] if len(word) else any_hit
+    near = any_hit * _around(you, bounds, NEAR)
     size = np.maximum(1, np.diff(at) - 1)
     space = _text.SPACE[data]
     starts, ends, wb = _text.word_spans(data, at)

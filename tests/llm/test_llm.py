@@ -559,6 +559,55 @@ def test_toxicity_columns(spark):
     assert np.allclose(np.interp(np.arange(60.0), px, py), want)
 
 
+def plain_features(text, weights):
+    """The features by loops over a text's characters and words."""
+    marks = {chr(b) for b in range(33, 127) if not chr(b).isalnum()}
+    low = lambda s: s.translate(LOWER)
+    insults, you = set(toxicity.INSULTS), set(toxicity.YOU)
+    plain = [w for w in ("".join(c for c in w if c not in marks) for w in WORD.findall(low(text))) if w]
+    leet = str.maketrans("013457@$", "oieastas")
+    undone = [w for w in ("".join(c for c in w if c in "@$" or c not in marks).translate(leet) for w in WORD.findall(low(text))) if w]
+    gains = [weights.get(w.encode(), 0.0) for w in plain]
+    stems = [max([0.0, *(weights.get((w.encode()[:k], k), 0.0) for k in toxicity.STEMS if len(w.encode()) > k)]) for w in plain]
+    hit = [w in insults or g > 0 for w, g in zip(plain, gains, strict=True)]
+    second = [w in you for w in plain]
+    near = [h and any(second[max(0, i - 5) : i + 6]) for i, h in enumerate(hit)]
+    raw, n, words_ = text.encode(), max(1, len(plain)), [w.encode() for w in WORD.findall(text)]
+    size, word_n = max(1, len(raw)), max(1, len(words_))
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    shouted = sum(sum(65 <= b <= 90 for b in w) > 2 and all(65 <= b <= 90 for b in w if letter(b)) for w in words_)
+    mixed = sum(any(map(letter, w)) and (any(48 <= b <= 57 for b in w) or any(chr(b) in marks for b in w[1:-1])) for w in words_)
+    same = sum(raw[i] == raw[i - 1] == raw[i - 2] and raw[i] not in (9, 10, 11, 12, 13, 32) for i in range(2, len(raw)))
+    seeds = sum(w in insults for w in plain)
+    count = lambda f: sum(map(f, raw)) / size
+    return [
+        math.log1p(len(plain)), seeds / n, seeds, max(0, sum(w in insults or w.encode() in weights for w in undone) - sum(hit)) / n, sum(gains) / n, max([0, *gains]), sum(g > 0 for g in gains),
+        sum(stems) / n, max([0, *stems]), sum(x > 0 for x in stems), sum(near) / n, sum(second) / n, count(lambda b: 65 <= b <= 90), shouted / word_n,
+        count(lambda b: chr(b) in marks), count(lambda b: b == 33), count(lambda b: b in b"#$%&*@"), mixed / word_n, same / size, sum(len(w.encode()) for w in plain) / n, count(lambda b: b == 10),
+    ]
+
+
+def test_toxicity_features_of_a_text_alone(texts):
+    """Every feature by plain loops, and bit-equal alone, in blocks and in any order: insults end texts and "you" begins the next."""
+    rng = random.Random(11)
+    some = ["you", "You", "idiot", "1d10t", "id.iot", "SHOUT", "aaargh!!!", "b4d", "it's", "été", "x", "...", "m$n", "hate", "trottel", "\n", "12"]
+    made = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    made += ["this text ends with idiot", "you begin this one", "", "idiot", "you", "you " + "x " * 5 + "idiot", "you " + "x " * 4 + "idiot"] + [t or "" for t in list(texts.values())[:60]]
+    weights = {b"b4d": 0.75, "été".encode(): 0.5, (b"shou", 4): 0.25, (b"trott", 5): 1.5}
+    keys = {}
+    for item, w in weights.items():
+        raw, add = item if isinstance(item, tuple) else (item, 0)
+        keys[int(_text.span_hashes(np.frombuffer(raw + b" ", np.uint8), np.array([0]), np.array([len(raw)]))[0]) + add & (1 << 64) - 1] = w
+    lexicon = (np.array(sorted(keys), np.uint64), np.array([keys[k] for k in sorted(keys)]))
+    raws = [t.encode() for t in made]
+    block = toxicity.features(raws, lexicon)
+    assert np.allclose(block, [plain_features(t, weights) for t in made], atol=1e-12)
+    alone = np.concatenate([toxicity.features([r], lexicon) for r in raws])
+    assert (block == alone).all() and (toxicity.features(raws[::-1], lexicon)[::-1] == alone).all()
+    name = toxicity.FEATURES.index("near_you")
+    assert toxicity.features([b"this text ends with idiot", b"you begin"], lexicon)[0, name] == 0
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(14)] + [(3, None), (99, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
