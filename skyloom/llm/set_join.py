@@ -41,6 +41,8 @@ WIDTH = 5
 PERCENT = 80
 #: Part of the hash space in which shingles are counted before the join.
 COUNTED = 0.4
+#: Counted shingles of a part.
+PART = 1_000_000
 #: Longs of a set's short parity bitmap.
 LONGS = 16
 #: Shingles in so many sets or more are common.
@@ -73,13 +75,14 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, key long")
 
 
-def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def lonely_sets(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Keys (64 bits of the signature) of sets with too many shingles of their own to reach the threshold.
 
     Packed arrays of shingles are dealt by hash; each part counts its shingles and returns packed
     counts of singles, which are summed by set. Shingles that only look equal keep a set, never drop one.
+    Parts are made by ``total``, the shingles of all sets, so a task holds about ``PART`` of them however many there are.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(COUNTED * total) // PART + 1)
     homes = max(1, n // 4)
     top = np.uint64(int(COUNTED * 2.0**64) - 1)
 
@@ -117,9 +120,18 @@ def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         if held:
             yield flush()
 
-    def count(table: pa.Table) -> pa.Table:
-        col = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    def packed(batches, names):
+        held = {c: [] for c in names}
+        for batch in batches:
+            for c in names:
+                held[c] += batch.column(c).to_pylist()
+        return lambda c, t: np.frombuffer(b"".join(held.pop(c)), t)
+
+    def count(batches):
+        col = packed(batches, ("keys", "sizes", "counts", "grams"))
         grams, keys, sizes, counts = col("grams", np.uint64), col("keys", np.uint64), col("sizes", np.int32), col("counts", np.int32)
+        if not len(grams):
+            return
         order = np.argsort(grams, kind="stable")
         s = grams[order]
         fresh = np.concatenate([[True], s[1:] != s[:-1], [True]])
@@ -134,20 +146,20 @@ def lonely_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         cuts = np.searchsorted(home[order], np.arange(homes + 1))
         rows = [(b, keys[o].tobytes(), sizes[o].tobytes(), singles[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist() for o in [order[cuts[b] : cuts[b + 1]]]]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["home", "keys", "sizes", "singles"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["home", "keys", "sizes", "singles"])
 
-    def judge(table: pa.Table) -> pa.Table:
-        col = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    def judge(batches):
+        col = packed(batches, ("keys", "sizes", "singles"))
         keys, lead, which = np.unique(col("keys", np.uint64), return_index=True, return_inverse=True)
         singles = np.bincount(which, col("singles", np.int32), len(keys))
         sizes = col("sizes", np.int32)[lead]
         # |x and y| >= p |x or y| needs |x without y| <= (1 - p) |x|
         lonely = 100 * singles > (100 - percent) * sizes.astype(np.int64)
-        return pa.table([pa.array(keys[lonely].view(np.int64))], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lonely].view(np.int64))], names=["key"])
 
     dealt = docs.mapInArrow(deal, "part int, keys binary, sizes binary, counts binary, grams binary")
-    counted = dealt.groupBy("part").applyInArrow(count, "home int, keys binary, sizes binary, singles binary")
-    return counted.groupBy("home").applyInArrow(judge, "key long")
+    counted = dealt.repartitionById(n, F.col("part")).mapInArrow(count, "home int, keys binary, sizes binary, singles binary")
+    return counted.repartitionById(homes, F.col("home")).mapInArrow(judge, "key long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -319,7 +331,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = save(signatures(src, width))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = save(filled.groupBy("sid").agg(F.min("doc_id").alias("node"), F.min("key").alias("key")))
-    lonely = lonely_sets(src.where("doc_id is not null"), width, percent)
+    lonely = lonely_sets(src.where("doc_id is not null"), signed.agg(F.sum("n_shingles")).first()[0] or 0, width, percent)
     heads = save(classes.join(lonely, "key", "left_anti").select(F.col("node").alias("doc_id")).distinct())
     # ids alone are sent to all tasks if they are few; texts are shuffled otherwise
     heads = F.broadcast(heads) if heads.count() <= SENT else heads
