@@ -1,15 +1,17 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser turns a page into lines, a line for each block, in an element tree. Each
-line has its text-to-tag ratio; the ratios are smoothed by a Gaussian and split into two clusters by a
-threshold. Elements that can't be content by their tag, role or name give no lines: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-
-The lines of the upper cluster choose the regions. Article elements (or main elements) that hold most
-of the cluster's text are regions, as deep as the one with most of it, and with their siblings of that
-kind. Without them the region is the smallest element around the whole cluster; where that is the whole
-page, its sections without a line of the cluster go if they are mostly links, or lie before the first or
-behind the last line of the cluster and have no heading. All lines of the regions are the result.
+line has its text-to-tag ratio; the ratios of all lines, menus and notices included, are smoothed by a
+Gaussian and split into two clusters by a threshold. The lines of the upper cluster choose the regions:
+article elements (or main elements) that hold most of the cluster's text, as deep as the one with most of
+it, and with their siblings of that kind. Without them the region is the smallest element around the whole
+cluster; where that is the whole page, its sections without a line of the cluster go if they are mostly
+links, or lie before the first or behind the last line of the cluster and have neither a heading nor a sentence.
+
+Lists only take out of the regions what ratios can't tell from the article: elements that by their tag,
+role or whole name are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. A name
+counts if all its parts name page parts or their places, so "left-sidebar" does and "market-share" doesn't.
+Lines that lists take out count in the clusters, but choose no region. All other lines of the regions are the result.
 
 Time and memory grow with the page's length, whatever its nesting. Edge cases: null, empty and text-free
 pages give an empty string; rows keep their multiplicity; only the named columns are read, so other
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var".split())
+FORMULA = frozenset("annotation maction math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas audio video button select textarea dialog menu".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas audio video button select textarea dialog menu".split())
+#: Of these, elements that show no text of their own: they give no lines at all.
+SILENT = frozenset("head script style noscript template iframe object svg canvas audio video select textarea".split())
 IN_HEAD = frozenset("title meta link style script base noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMES = frozenset(
@@ -41,12 +46,14 @@ NAMES = frozenset(
 #: A name with one of these before its last part tells the layout around an element ("has-sidebar"), not what it is.
 LAYOUT = frozenset("has have with without no".split())
 #: Ids that sections of an article have too; as classes they stay names of page parts.
-SECTION_IDS = frozenset("discussion reply replies social related notice notices".split())
+SECTION_IDS = frozenset("discussion reply replies social related notice notices consent promotion recommended subscription notification registration navigation".split())
 #: What may follow a page part's name in a longer one: "ad-box" is an advert, "related-work" is a section.
 SUFFIXES = frozenset(
     "area author avatar bar block body bottom box btn button buttons center col column container content date desktop end feed footer form grid group head header heading holder icon icons image images inner item items"
     " label layer left link links list main message meta mobile module name outer overlay page panel post posts right row section sections site slot sticky text thread title top unit wrap wrapper zone articles stories sign up in".split()
 )
+#: What may stand before a page part's name: where it is, or whose.
+PREFIXES = frozenset("left right top bottom upper lower main site page global primary secondary inner outer sticky fixed mobile desktop header footer article post story entry blog user reader my the first last js wp uk mw".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table article section div main body html td th aside nav header footer blockquote form".split())
@@ -73,14 +80,16 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
                     return True
                 if LAYOUT.intersection(parts[:-1]) or (key == "id" and len(parts) == 1 and parts[0] in SECTION_IDS):
                     continue
-                named = parts and parts[0] in NAMES and all(p in NAMES or p in SUFFIXES or p.isdigit() or re.fullmatch(r"\d+x\d+", p) for p in parts[1:])
-                if named or (parts and (parts[-1] in NAMES or "".join(parts) in NAMES)):
+                while len(parts) > 1 and parts[0] in PREFIXES and parts[0] not in NAMES:
+                    parts = parts[1:]
+                placed = all(p in NAMES or p in SUFFIXES or p.isdigit() or re.fullmatch(r"\d+x\d+", p) for p in parts[1:])
+                if parts and (parts[0] in NAMES and placed or "".join(parts) in NAMES):
                     return True
     return False
 
 
 class LineParser(HTMLParser):
-    """Collects lines: (text, tags in it, characters of links, element); dropped elements give none.
+    """Collects lines: (text, tags in it, characters of links, element, whether lists take it out); silent elements give none.
 
     Elements are numbered as they open; ``kind`` and ``parent`` hold the tree, with 0 for the page. Inline elements are
     in it only within a dropped one of theirs.
@@ -88,21 +97,23 @@ class LineParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, bool]] = []
         self.kind, self.parent = [""], [0]
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, dropped
         self.places: dict[str, list[int]] = {}  # where each tag is in the stack
         self.dropped: list[int] = []  # where dropped elements are in the stack
         self.parts: list[str] = []
-        self.tags = self.articles = self.linked = self.hard = 0
+        self.beside: list[str] = []  # text of dropped elements
+        self.tags = self.articles = self.linked = self.hard = self.silent = 0
         self.in_link = False
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.stack[-1][1] if self.stack else 0))
-            self.tags = 0
-        self.parts, self.linked = [], 0
+        for parts, listed in ((self.parts, False), (self.beside, True)):
+            text = " ".join("".join(parts).split())
+            if text:
+                self.lines.append((text, self.tags, 0 if listed else self.linked, self.stack[-1][1] if self.stack else 0, listed))
+                self.tags = 0
+        self.parts, self.beside, self.linked = [], [], 0
 
     def pop_to(self, index: int) -> None:
         while len(self.stack) > index:
@@ -111,6 +122,7 @@ class LineParser(HTMLParser):
             if drop:
                 self.dropped.pop()
                 self.hard -= tag in ("aside", "dialog", "template")
+                self.silent -= tag in SILENT
 
     def last(self, tags) -> int:
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
@@ -123,11 +135,13 @@ class LineParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in ("br", "wbr", "img"):
-            if tag == "br" and not self.dropped:
-                self.parts.append(" ")
+            if tag == "br":
+                (self.beside if self.dropped else self.parts).append(" ")
             return
         if tag == "a":
             self.in_link = True
+        if tag in FORMULA and self.places.get("math") or self.places.get("svg") and tag not in BLOCKS and tag not in DROPPED:
+            return  # all of a formula is text of its line, and nothing in a drawing begins one
         if tag not in INLINE:
             self.flush()
             self.in_link = False
@@ -144,7 +158,7 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         drop = unwanted(tag, attrs, bool(self.places.get("article") or self.places.get("main")))
-        if tag in INLINE and not drop and not (self.stack and self.stack[-1][0] in INLINE):
+        if tag in INLINE and tag != "math" and not drop and not (self.stack and self.stack[-1][0] in INLINE):
             return
         self.articles += tag == "article" and not drop
         self.kind.append(tag)
@@ -152,6 +166,7 @@ class LineParser(HTMLParser):
         if drop:
             self.dropped.append(len(self.stack))
             self.hard += tag in ("aside", "dialog", "template")
+            self.silent += tag in SILENT
         self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, len(self.kind) - 1, drop))
 
@@ -161,7 +176,9 @@ class LineParser(HTMLParser):
             return
         if tag == "a":
             self.in_link = False
-        inline = tag in INLINE
+        if self.places.get("svg") and tag not in BLOCKS and tag not in DROPPED:
+            return
+        inline = tag in INLINE or tag in FORMULA and bool(self.places.get("math"))
         if not inline:
             self.flush()
         scope = BLOCKS if inline else OPENERS if tag not in ("article", "body", "html") else frozenset()
@@ -174,10 +191,11 @@ class LineParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.dropped:
-            self.parts.append(data)
-            if self.in_link:
-                self.linked += len(data)
+        if self.silent:
+            return
+        (self.beside if self.dropped else self.parts).append(data)
+        if self.in_link and not self.dropped:
+            self.linked += len(data)
 
     def close(self):
         super().close()
@@ -216,29 +234,45 @@ def main_text(html: str | None) -> str:
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
-    if not lines:
-        return ""
-    even = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    return "\n".join(line[0] for line, kept in zip(parser.lines, chosen(parser), strict=True) if kept)
+
+
+def upper_cluster(lines: list[tuple]) -> list[bool]:
+    """Which lines have a smoothed ratio of text to tags in the upper of two clusters."""
+    even = smoothed([len(line[0]) / max(1, line[1]) for line in lines])
     cut = threshold(even)
-    keep = content_lines(parser, [value >= cut for value in even])
-    return "\n".join(line[0] for line, kept in zip(lines, keep, strict=True) if kept)
+    return [value >= cut for value in even]
+
+
+def chosen(parser: LineParser) -> list[bool]:
+    """Which lines are the article: those of the regions that the upper cluster chooses, without those that lists take out."""
+    lines = parser.lines
+    if all(line[4] for line in lines):
+        return [False] * len(lines)
+    upper = upper_cluster(lines)
+    if not any(high and not line[4] for high, line in zip(upper, lines, strict=True)):
+        # what lists take out has the whole upper cluster: the rest is clustered alone
+        rest = iter(upper_cluster([line for line in lines if not line[4]]))
+        upper = [not line[4] and next(rest) for line in lines]
+    keep = content_lines(parser, upper)
+    return [kept and not line[4] for kept, line in zip(keep, lines, strict=True)]
 
 
 def content_lines(parser: LineParser, upper: list[bool]) -> list[bool]:
     """Which lines are in the regions that the lines of the upper cluster choose."""
     lines, kind, parent = parser.lines, parser.kind, parser.parent
-    sizes = [len(text) * high for (text, *_), high in zip(lines, upper, strict=True)]
+    upper = [high and not line[4] for high, line in zip(upper, lines, strict=True)]
+    sizes = [len(line[0]) * high for line, high in zip(lines, upper, strict=True)]
     for tag in ("article", "main"):
         regions, share = outermost(parser, sizes, tag)
         if 2 * share >= sum(sizes):
             inside = [False] * len(kind)
             for n in range(len(kind)):  # parents come before their elements
                 inside[n] = n in regions or (n > 0 and inside[parent[n]])
-            return [inside[at] for *_, at in lines]
+            return [inside[at] for *_, at, _ in lines]
     # the innermost element around the cluster
     whole, high = [0] * len(kind), [0] * len(kind)
-    for (text, _, _, at), size in zip(lines, sizes, strict=True):
+    for (text, _, _, at, _), size in zip(lines, sizes, strict=True):
         whole[at] += len(text)
         high[at] += size
     for n in range(len(kind) - 1, 0, -1):
@@ -250,12 +284,14 @@ def content_lines(parser: LineParser, upper: list[bool]) -> list[bool]:
     for n in range(1, len(kind)):
         inside[n] = inside[n] or inside[parent[n]]
         section[n] = section[n] or section[parent[n]]
-    keep = [inside[at] for *_, at in lines]
+    keep = [inside[at] for *_, at, _ in lines]
     if whole[around] < whole[0]:
         return keep
     # sections of a whole page
     links, headed, first, last = {}, set(), {}, {}
-    for i, (_, _, linked, at) in enumerate(lines):
+    for i, (text, _, linked, at, listed) in enumerate(lines):
+        if listed:
+            continue
         part = section[at]
         links[part] = links.get(part, 0) + linked
         first.setdefault(part, i)
@@ -263,11 +299,11 @@ def content_lines(parser: LineParser, upper: list[bool]) -> list[bool]:
         n = at
         while n and kind[n] in INLINE:
             n = parent[n]
-        if kind[n] in HEADINGS:
+        if kind[n] in HEADINGS or text.endswith((".", "!", "?", "…", ":", "。", "！", "？")) and 2 * linked < len(text):
             headed.add(part)
     begin, end = upper.index(True), len(upper) - 1 - upper[::-1].index(True)
     gone = {n for n in first if n and not high[n] and (2 * links[n] >= whole[n] or (kind[n] in ("div", "section", "center", "table") and n not in headed and (last[n] < begin or first[n] > end)))}
-    return [kept and section[at] not in gone for kept, (*_, at) in zip(keep, lines, strict=True)]
+    return [kept and section[at] not in gone for kept, (*_, at, _) in zip(keep, lines, strict=True)]
 
 
 def outermost(parser: LineParser, sizes: list[int], tag: str) -> tuple[set[int], int]:
@@ -278,7 +314,7 @@ def outermost(parser: LineParser, sizes: list[int], tag: str) -> tuple[set[int],
         depth[n] = depth[parent[n]] + 1
         top[n] = top[parent[n]] or (n if kind[n] == tag else 0)
     held: dict[int, int] = {}
-    for (*_, at), size in zip(parser.lines, sizes, strict=True):
+    for (*_, at, _), size in zip(parser.lines, sizes, strict=True):
         if top[at] and size:
             held[top[at]] = held.get(top[at], 0) + size
     if not held:

@@ -495,6 +495,39 @@ def test_html_sections_and_nesting():
         assert time.monotonic() - began < 30
 
 
+def test_html_names_formulas_and_short_lines():
+    """Names that only end like page parts, formulas, buttons in a sentence and short sentences around the text stay."""
+    p = "<p>" + "A paragraph of the text, with quite some words in it. " * 3 + "</p>"
+    line = p[3:-4].strip()
+    for attr in ("class=market-share", "class=product-widget", "id=consent", "class=stock-market-share", "class='press-promotion'", "id=notification", "class=speaker-popup-history"):
+        assert html.main_text(f"<article>{p}<div {attr}><p>Own text here.</p></div>{p}</article>") == "\n".join([line, "Own text here.", line]), attr
+    for attr in ("class=left-sidebar", "class=site-footer", "class=post-share", "class=main-nav", "id=cookie-consent", "class=article-comments", "class=js-modal", "class=wp-widget", "id=ad-1"):
+        assert html.main_text(f"<article>{p}<div {attr}><p>Not this one.</p></div>{p}</article>") == "\n".join([line, line]), attr
+    assert html.main_text("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as shown.</p></article>") == "Energy is E=mc2 as shown."
+    assert html.main_text("<article><p>Energy <svg><title>icon</title><text>x</text></svg>is <button>Copy</button>shown.</p></article>") == "Energy is shown."
+    many = p * 4
+    want = "\n".join([line] * 4)
+    assert html.main_text(f"<body><div>Short intro line.</div><div>{many}</div></body>") == f"Short intro line.\n{want}"
+    assert html.main_text(f"<body><div>{many}</div><div>A last word!</div><div><a href=x>Terms.</a></div></body>") == f"{want}\nA last word!"
+    assert html.main_text(f"<body><div>Site name</div><div>{many}</div><div>Example Ltd</div></body>") == want
+
+
+def test_html_lists_only_take_out_what_regions_hold():
+    """Menus in listed elements lie outside the regions by ratios alone; reader comments are taken out by name, however long."""
+    p = "<p>" + "A paragraph of the text, with quite some words in it. " * 3 + "</p>"
+    menu = "<ul>" + "<li><a href=x>Menu</a></li>" * 8 + "</ul>"
+    comments = "<p>" + "I read it all and have very much to say about each of its points. " * 4 + "</p>"
+    page = f"<body><nav>{menu}</nav><article>{p * 3}</article><div class=comments>{comments * 9}</div><footer>{menu}</footer></body>"
+    parser = html.LineParser()
+    parser.feed(page)
+    parser.close()
+    kept = html.content_lines(parser, html.upper_cluster(parser.lines))
+    assert [k for k, line in zip(kept, parser.lines, strict=True) if not line[4]] == [True] * 3
+    assert not any(k for k, line in zip(kept, parser.lines, strict=True) if line[0] == "Menu")
+    assert html.main_text(page) == "\n".join([p[3:-4].strip()] * 3)
+    assert html.main_text(f"<body><div class=comments>{comments * 9}</div><div>Short text.</div></body>") == "Short text."
+
+
 def test_html_pages(spark):
     import html as entities
 
