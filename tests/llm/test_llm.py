@@ -507,9 +507,11 @@ def test_html_names_formulas_and_short_lines():
     assert html.main_text("<article><p>Energy <svg><title>icon</title><text>x</text></svg>is <button>Copy</button>shown.</p></article>") == "Energy is shown."
     many = p * 4
     want = "\n".join([line] * 4)
-    assert html.main_text(f"<body><div>Short intro line.</div><div>{many}</div></body>") == f"Short intro line.\n{want}"
-    assert html.main_text(f"<body><div>{many}</div><div>A last word!</div><div><a href=x>Terms.</a></div></body>") == f"{want}\nA last word!"
-    assert html.main_text(f"<body><div>Site name</div><div>{many}</div><div>Example Ltd</div></body>") == want
+    # beside the sections or paragraphs of the text
+    for body in (many, f"<div>{p * 2}</div><div>{p * 2}</div>"):
+        assert html.main_text(f"<body><div>Short intro line.</div>{body}</body>") == f"Short intro line.\n{want}"
+        assert html.main_text(f"<body>{body}<div>A last word!</div><div><a href=x>Terms.</a></div></body>") == f"{want}\nA last word!"
+        assert html.main_text(f"<body><div>Site name</div>{body}<div>Example Ltd</div></body>") == want
 
 
 def test_html_lists_only_take_out_what_regions_hold():
