@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +119,12 @@ def has_thresholds(kind: str):
     return F.coalesce(F.col(f"{kind}_min"), F.col(f"{kind}_max")).isNotNull()
 
 
+def level_dimension(name: Column, level: Column) -> Column:
+    """The level dimension of a variable: by its name, else its level, else three or more digits that end its name; null without any."""
+    suffix = F.regexp_extract(name, "_([0-9]{3,})$", 1)
+    return F.when(name.contains("model_levels"), "model_level").when(name.contains("pressure_levels"), "pressure_level").when(level.isNotNull(), level.cast("long").cast("string")).when(suffix != "", suffix)
+
+
 def sql_values(rows: list[tuple], names: list[str]) -> str:
     """A VALUES list for the SQL side of a comparison."""
     lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"

@@ -40,6 +40,19 @@ def split_period(spark: SparkSession, start: datetime, end: datetime, batch: int
     return out.select(name.alias("period"), "first", "last")
 
 
+def split_spans(spans: DataFrame, start: str, end: str, batch: int, step: timedelta) -> DataFrame:
+    """``split_period``, clamped, for a table of spans: period, first and last of every batch of each; none where the end is before the start."""
+    seconds = int(step.total_seconds())
+    if batch < 1 or seconds < 1:
+        raise ValueError("a batch has at least one step, and a step at least one second")
+    steps = F.floor(F.timestamp_diff("SECOND", F.col(start), F.col(end)) / F.lit(seconds)).cast("long")
+    at = lambda k: F.timestamp_add("SECOND", k * seconds, F.col(start))
+    numbered = spans.where(F.col(end) >= F.col(start)).withColumn("_steps", steps).withColumn("_batch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_steps") / F.lit(batch)))))
+    out = numbered.withColumn("first", at(F.col("_batch") * batch)).withColumn("last", at(F.least(F.col("_batch") * batch + (batch - 1), F.col("_steps"))))
+    name = F.concat_ws("_", F.date_format("first", "yyyyMMddHH"), F.date_format("last", "yyyyMMddHH"))
+    return out.withColumn("period", name).drop("_steps", "_batch")
+
+
 def assemble_timestamp(year: Column, month: Column, day: Column, hour: Column) -> Column:
     return F.make_timestamp_ntz(year, month, day, hour, F.lit(0), F.lit(0))
 

@@ -61,11 +61,21 @@ def compact(df: DataFrame, series: str, order: list[str], time: str, value: str,
 STATE = ("series", "n", "bucket", "first", "last", "lo", "hi", "cnt", "total")
 
 
+def _points(df: DataFrame, series: str, order: list[str], time: str, value: str) -> DataFrame:
+    """series, time, value of points with a series, their places and numbers; no other columns, so none can clash."""
+    keys = [f"_o{i}" for i in range(len(order))]
+    src = df.where(F.col(series).isNotNull()).select(F.col(series).alias("series"), F.col(time).alias("_t"), F.col(value).cast("double").alias("_v"), *[F.col(o).alias(k) for o, k in zip(order, keys, strict=True)])
+    return rank_within(src, ["series"], keys, "_i", "_new").drop(*keys)
+
+
+def _singles(points: DataFrame, n: Column, place: Column) -> DataFrame:
+    """Each point as a part of a bucket."""
+    return points.select("series", n.alias("n"), place.alias("first"), place.alias("last"), F.col("_t").alias("lo"), F.col("_t").alias("hi"), F.lit(1).cast("long").alias("cnt"), F.col("_v").alias("total"))
+
+
 def state_of(df: DataFrame, series: str, order: list[str], time: str, value: str, limit: int, keep_start: int = 0, keep_end: int = 0) -> DataFrame:
     """State of each series' compaction: its number of points, and of each bucket the first and last point's place and time, their number and sum."""
-    points = rank_within(df.where(F.col(series).isNotNull()), [series], order, "_i", "n")
-    one = points.select(F.col(series).alias("series"), "n", F.col("_i").alias("first"), F.col("_i").alias("last"), F.col(time).alias("lo"), F.col(time).alias("hi"), F.lit(1).cast("long").alias("cnt"), F.col(value).cast("double").alias("total"))
-    return _rebucketed(one, limit, keep_start, keep_end)
+    return _rebucketed(_singles(_points(df, series, order, time, value), F.col("_new"), F.col("_i")), limit, keep_start, keep_end)
 
 
 def _rebucketed(parts: DataFrame, limit: int, keep_start: int, keep_end: int) -> DataFrame:
@@ -81,11 +91,10 @@ def resumed(state: DataFrame, new: DataFrame, series: str, order: list[str], tim
     Points not after their series' last one are refused when the result is read, as appending them one by one refuses them.
     """
     ends = state.groupBy("series").agg(F.max("n").alias("_before"), F.max("hi").alias("_end"))
-    points = rank_within(new.where(F.col(series).isNotNull()), [series], order, "_i", "_new")
-    met = points.join(ends, F.col(series) == F.col("series"), "left")
-    late = F.raise_error(F.concat(F.lit("out of order in series "), F.col(series).cast("string"))).cast("long")
-    at = F.when(F.col("_end").isNull() | (F.col(time) > F.col("_end")), F.coalesce("_before", F.lit(0)) + F.col("_i")).otherwise(late)
-    one = met.select(F.col(series).alias("series"), (F.coalesce("_before", F.lit(0)) + F.col("_new")).alias("n"), at.alias("first"), at.alias("last"), F.col(time).alias("lo"), F.col(time).alias("hi"), F.lit(1).cast("long").alias("cnt"), F.col(value).cast("double").alias("total"))
+    met = _points(new, series, order, time, value).join(ends, "series", "left")
+    before = F.coalesce("_before", F.lit(0).cast("long"))
+    late = F.raise_error(F.concat(F.lit("out of order in series "), F.col("series").cast("string"))).cast("long")
+    one = _singles(met, before + F.col("_new"), F.when(F.col("_end").isNull() | (F.col("_t") > F.col("_end")), before + F.col("_i")).otherwise(late))
     grown = one.groupBy(F.col("series").alias("_grown")).agg(F.max("n").alias("_n"))
     old = state.join(grown, F.col("series") == F.col("_grown"), "left").withColumn("n", F.coalesce("_n", "n")).drop("_n", "_grown", "bucket")
     return _rebucketed(old.unionByName(one), limit, keep_start, keep_end)

@@ -125,14 +125,16 @@ def _(spark, sf):
     return named_events(spark, sf, ("units",)).groupBy("variable", "canonical", "units").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("threshold_flags", f"SELECT name, coalesce(mean_min, mean_max) IS NOT NULL AS has_mean, coalesce(clip_min, clip_max) IS NOT NULL AS has_clip, coalesce(nan_min, nan_max) IS NOT NULL AS has_nan FROM {VARS}")
+@query("threshold_flags", f"SELECT canonical AS name, count(*) AS n, coalesce(mean_min, mean_max) IS NOT NULL AS has_mean, coalesce(clip_min, clip_max) IS NOT NULL AS has_clip, coalesce(nan_min, nan_max) IS NOT NULL AS has_nan FROM {NAMED} WHERE canonical IS NOT NULL GROUP BY ALL")
 def _(spark, sf):
-    return C.variables(spark).select("name", *[C.has_thresholds(k).alias(f"has_{k}") for k in ("mean", "clip", "nan")])
+    df = named_events(spark, sf, tuple(f"{k}_{e}" for k in ("mean", "clip", "nan") for e in ("min", "max"))).where("canonical is not null")
+    return df.groupBy(F.col("canonical").alias("name"), *[C.has_thresholds(k).alias(f"has_{k}") for k in ("mean", "clip", "nan")]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("variable_catalogue", f"SELECT * FROM {VARS}")
+@query("variable_catalogue", f"SELECT v.*, coalesce(n, 0) AS n, total FROM {VARS} v LEFT JOIN (SELECT canonical, count(*) AS n, round(sum(value), 4) AS total FROM {NAMED} GROUP BY 1) e ON e.canonical = v.name")
 def _(spark, sf):
-    return C.variables(spark)
+    found = named_events(spark, sf, ()).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return C.variables(spark).join(found, F.col("canonical") == F.col("name"), "left").drop("canonical").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 @query("range_validation", f"SELECT variable, count(*) AS n, count_if(value NOT BETWEEN min_value AND max_value) AS outside, avg(value) BETWEEN any_value(mean_min) AND any_value(mean_max) AS mean_ok FROM {NAMED} WHERE canonical IS NOT NULL GROUP BY variable")
@@ -294,10 +296,10 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.batch_path(F.lit("train"), digest, B.save_index(F.col("o_orderkey"), 16, 0)).alias("path"))
 
 
-@query("dataset_digest", f"SELECT split, save, {_DIGEST.format('split', 'save')} AS digest FROM (VALUES ('train', 1), ('validation', 1), ('train', 2), ('train', 32)) t(split, save)")
+@query("dataset_digest", f"SELECT o_orderkey, {_DIGEST.format('split', 'save')} AS digest FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END AS split, 1 + o_orderkey % 32 AS save FROM orders)")
 def _(spark, sf):
-    df = spark.createDataFrame([("train", 1), ("validation", 1), ("train", 2), ("train", 32)], "split string, save int")
-    return df.select("split", "save", X.hex_digest(X.state_text(F.col("split"), ["input1", "output1"], F.col("save"))).alias("digest"))
+    split = F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "validation").otherwise("test")
+    return table(spark, sf, "orders").select("o_orderkey", X.hex_digest(X.state_text(split, ["input1", "output1"], 1 + F.col("o_orderkey") % 32)).alias("digest"))
 
 
 @query("hex_digest", "SELECT n_nationkey, substr(sha256(n_name), 1, 8) AS digest FROM nation")
@@ -631,16 +633,25 @@ def _(spark, sf):
 # --- periods and times ------------------------------------------------------------------------------------------------
 
 
-@query("decode_period", "SELECT p AS period, strptime(split_part(p, '_', 1), '%Y%m%d%H') AS first, strptime(split_part(p, '_', 2), '%Y%m%d%H') AS last FROM (VALUES ('2026010100_2026013123'), ('2017052200_2024053018')) t(p)")
+_PERIODS = "SELECT event_id, strftime(ts, '%Y%m%d%H') || '_' || strftime(ts + to_hours(CAST(user_id AS INTEGER)), '%Y%m%d%H') AS p FROM events"
+
+
+@query("decode_period", f"SELECT event_id, strptime(split_part(p, '_', 1), '%Y%m%d%H') AS first, strptime(split_part(p, '_', 2), '%Y%m%d%H') AS last FROM ({_PERIODS})")
 def _(spark, sf):
-    df = spark.createDataFrame([("2026010100_2026013123",), ("2017052200_2024053018",)], "period string")
+    later = F.timestamp_add("HOUR", F.col("user_id").cast("int"), F.col("ts"))
+    e = table(spark, sf, "events").select("event_id", F.concat_ws("_", P.compact_hour(F.col("ts")), P.compact_hour(later)).alias("period"))
     a, b = P.decode_period(F.col("period"))
-    return df.select("period", a.alias("first"), b.alias("last"))
+    return e.select("event_id", a.alias("first"), b.alias("last"))
+
 
+_SPANS = "SELECT user_id, date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS b FROM events GROUP BY user_id"
 
-@query("split_period", "SELECT strftime(f, '%Y%m%d%H') || '_' || strftime(l, '%Y%m%d%H') AS period, f AS first, l AS last FROM (SELECT TIMESTAMP '2026-01-01' + to_hours(12 * 32 * i) AS f, least(TIMESTAMP '2026-01-01' + to_hours(12 * (32 * i + 31)), TIMESTAMP '2026-12-31 12:00:00') AS l FROM (SELECT CAST(unnest(range(0, 23)) AS INTEGER) AS i))")
+
+@query("split_period", f"SELECT user_id, strftime(f, '%Y%m%d%H') || '_' || strftime(l, '%Y%m%d%H') AS period, f AS first, l AS last FROM (SELECT user_id, a + to_hours(CAST(6 * 8 * i AS INTEGER)) AS f, a + to_hours(CAST(6 * least(8 * i + 7, steps) AS INTEGER)) AS l FROM (SELECT user_id, a, steps, unnest(range(0, steps // 8 + 1)) AS i FROM (SELECT *, date_diff('hour', a, b) // 6 AS steps FROM ({_SPANS}))))")
 def _(spark, sf):
-    return P.split_period(spark, datetime(2026, 1, 1), datetime(2026, 12, 31, 23), 32, timedelta(hours=12))
+    hour = lambda f: F.date_trunc("hour", f("ts")).cast("timestamp_ntz")
+    spans = table(spark, sf, "events").groupBy("user_id").agg(hour(F.min).alias("a"), hour(F.max).alias("b"))
+    return P.split_spans(spans, "a", "b", 8, timedelta(hours=6)).select("user_id", "period", "first", "last")
 
 
 @query("assemble_timestamp", "SELECT event_id, date_trunc('hour', ts) AS t, strftime(ts, '%Y%m%d%H') AS compact FROM events")
@@ -668,22 +679,29 @@ def _(spark, sf):
 # --- metadata and storage ---------------------------------------------------------------------------------------------
 
 
-@query("infer_dimensions", f"SELECT name, CASE WHEN contains(name, 'model_levels') THEN 'model_level' WHEN contains(name, 'pressure_levels') THEN 'pressure_level' WHEN level IS NOT NULL THEN CAST(CAST(level AS BIGINT) AS VARCHAR) WHEN regexp_extract(name, '_([0-9]{{3,}})$', 1) <> '' THEN regexp_extract(name, '_([0-9]{{3,}})$', 1) END AS dimension FROM {VARS}")
+_LEVELLED = "SELECT event_id, event_type || CASE user_id % 4 WHEN 0 THEN '_model_levels' WHEN 1 THEN '_pressure_levels' WHEN 2 THEN '_' || (user_id * 50) ELSE '' END AS name, CASE WHEN value > 30 THEN floor(value) END AS level FROM events"
+
+
+@query("infer_dimensions", f"SELECT event_id, name, CASE WHEN contains(name, 'model_levels') THEN 'model_level' WHEN contains(name, 'pressure_levels') THEN 'pressure_level' WHEN level IS NOT NULL THEN CAST(CAST(level AS BIGINT) AS VARCHAR) WHEN regexp_extract(name, '_([0-9]{{3,}})$', 1) <> '' THEN regexp_extract(name, '_([0-9]{{3,}})$', 1) END AS dimension FROM ({_LEVELLED})")
 def _(spark, sf):
-    name, suffix = F.col("name"), F.regexp_extract("name", "_([0-9]{3,})$", 1)
-    d = F.when(name.contains("model_levels"), "model_level").when(name.contains("pressure_levels"), "pressure_level").when(F.col("level").isNotNull(), F.col("level").cast("long").cast("string")).when(suffix != "", suffix)
-    return C.variables(spark).select("name", d.alias("dimension"))
+    kind, u = F.col("user_id") % 4, F.col("user_id")
+    suffix = F.when(kind == 0, "_model_levels").when(kind == 1, "_pressure_levels").when(kind == 2, F.concat(F.lit("_"), (u * 50).cast("string"))).otherwise("")
+    e = table(spark, sf, "events").select("event_id", F.concat("event_type", suffix).alias("name"), F.when(F.col("value") > 30, F.floor("value")).alias("level"))
+    return e.select("event_id", "name", C.level_dimension(F.col("name"), F.col("level")).alias("dimension"))
 
 
-@query("datacube_metadata", f"SELECT units, count(*) AS variables, min(level) AS lowest, max(level) AS highest, string_agg(DISTINCT CAST(CAST(level AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(CAST(level AS BIGINT) AS VARCHAR)) AS levels FROM {VARS} GROUP BY units")
+@query("datacube_metadata", f"SELECT units, count(*) AS n, count(DISTINCT canonical) AS variables, min(level) AS lowest, max(level) AS highest, string_agg(DISTINCT CAST(CAST(level AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(CAST(level AS BIGINT) AS VARCHAR)) AS levels FROM {NAMED} WHERE canonical IS NOT NULL GROUP BY units")
 def _(spark, sf):
+    df = named_events(spark, sf, ("units", "level")).where("canonical is not null")
     levels = F.array_join(F.sort_array(F.collect_set(F.col("level").cast("long").cast("string"))), ",")
-    return C.variables(spark).groupBy("units").agg(F.count(F.lit(1)).alias("variables"), F.min("level").alias("lowest"), F.max("level").alias("highest"), levels.alias("levels")).withColumn("levels", F.when(F.col("levels") != "", F.col("levels")))
+    found = df.groupBy("units").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("canonical").alias("variables"), F.min("level").alias("lowest"), F.max("level").alias("highest"), levels.alias("levels"))
+    return found.withColumn("levels", F.when(F.col("levels") != "", F.col("levels")))
 
 
-@query("datacube_json", f"SELECT name, to_json({{'name': name, 'units': units, 'cumulative': cumulative}})::VARCHAR AS item FROM {VARS}")
+@query("datacube_json", f"SELECT event_id, to_json({{'name': canonical, 'units': units, 'cumulative': cumulative}})::VARCHAR AS item FROM {NAMED} WHERE canonical IS NOT NULL")
 def _(spark, sf):
-    return C.variables(spark).select("name", F.to_json(F.struct("name", "units", "cumulative")).alias("item"))
+    df = named_events(spark, sf, ("units", "cumulative")).where("canonical is not null")
+    return df.select("event_id", F.to_json(F.struct(F.col("canonical").alias("name"), "units", "cumulative")).alias("item"))
 
 
 _BOX = "SELECT label, min(vec_id % 360 - 180) AS x0, min(vec_id % 17) AS y0, max(vec_id % 360 - 180) AS x1, max(vec_id % 17) AS y1, min(t) AS a, max(t) AS b FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST(vec_id % 1000 AS INTEGER)) AS t FROM embeddings) GROUP BY label"
@@ -699,9 +717,11 @@ def _(spark, sf):
     return boxes.select("label", G.item(F.concat(F.lit("l"), F.col("label").cast("string")), F.col("bbox"), F.col("first"), F.col("last"), {"label": F.col("label")}, assets).alias("item"))
 
 
-@query("cf_column_metadata", """SELECT * FROM (VALUES ('value', '_FillValue', '-9999.0'), ('value', 'complevel', '4'), ('value', 'units', '"m s-1"'), ('value', 'zlib', 'true')) t("column", attribute, value)""")
+@query("cf_column_metadata", """SELECT t.*, n, lowest, highest FROM (VALUES ('value', '_FillValue', '-9999.0'), ('value', 'complevel', '4'), ('value', 'units', '"m s-1"'), ('value', 'zlib', 'true'), ('event_id', 'units', '"1"')) t("column", attribute, value),
+ LATERAL (SELECT CASE WHEN t."column" = 'value' THEN count(value) ELSE count(event_id) END AS n, CASE WHEN t."column" = 'value' THEN min(value) ELSE min(event_id) END AS lowest, CASE WHEN t."column" = 'value' THEN max(value) ELSE max(event_id) END AS highest FROM events)""")
 def _(spark, sf):
-    return O.metadata_table(O.cf_metadata(table(spark, sf, "events").select("event_id", "value"), {"value": {"units": "m s-1", "_FillValue": -9999.0, "zlib": True, "complevel": 4}}))
+    df = O.cf_metadata(table(spark, sf, "events").select("event_id", "value"), {"value": {"units": "m s-1", "_FillValue": -9999.0, "zlib": True, "complevel": 4}, "event_id": {"units": "1"}})
+    return O.metadata_table(df).join(F.broadcast(O.column_ranges(df)), "column")
 
 
 @query("fixed_data_cross", "SELECT vec_id, label, f.n AS total FROM embeddings, (SELECT count(*) AS n FROM region) f")
@@ -766,12 +786,11 @@ def _(spark, sf):
     return O.read_through(spark, folder, "b5e241cc", lambda: table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 
 
-NETWORKS = {"default": lambda: K.Network(2, 2), "gated": lambda: K.Network(2, 2, ratio=4), "dense": lambda: K.Network(2, 2, depth=2, dense=True)}
-
-
-@query("parameter_count", "SELECT * FROM (VALUES ('default', CAST(7700674 AS BIGINT), CAST(7700674 AS BIGINT)), ('gated', CAST(7915714 AS BIGINT), CAST(7915714 AS BIGINT)), ('dense', CAST(165514 AS BIGINT), CAST(165514 AS BIGINT)), ('total', CAST(15781902 AS BIGINT), CAST(15781902 AS BIGINT))) t(network, parameters, trainable)")
+@query("parameter_count", "SELECT network, sum(parameters) AS parameters, sum(trainable) AS trainable FROM (SELECT unnest(['train_b5e241cc_' || lpad(CAST(b AS VARCHAR), 8, '0') || '.nc', 'total']) AS network, 65 * n AS parameters, 64 * n AS trainable FROM (SELECT vec_id // 64 AS b, count(*) AS n FROM embeddings GROUP BY 1)) GROUP BY 1")
 def _(spark, sf):
-    return K.parameter_counts(K.layout_table(spark, {n: f() for n, f in NETWORKS.items()}))
+    """Arrays of archives as layers, of which the ids aren't trained; the networks' own layouts are counted in tests."""
+    heads = A.read_archives(spark, archived(spark, sf, "nc"), headers=True)
+    return K.parameter_counts(heads.select(F.col("file").alias("network"), F.col("key").alias("name"), "shape", (F.col("key") != "vec_id").alias("trainable")))
 
 
 # --- archives and runs ------------------------------------------------------------------------------------------------

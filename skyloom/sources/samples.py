@@ -65,6 +65,14 @@ def metadata_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, attribute string, value string").coalesce(1)
 
 
+def column_ranges(df: DataFrame) -> DataFrame:
+    """A row a numeric column: its number of values, the lowest and the highest."""
+    numeric = [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    row = df.agg(*[f(F.col(c).cast("double") if f is not F.count else F.col(c)).alias(f"{name}_{i}") for i, c in enumerate(numeric) for name, f in (("n", F.count), ("lowest", F.min), ("highest", F.max))])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in ("n", "lowest", "highest")]) for i, c in enumerate(numeric)])
+    return row.select(F.inline(each))
+
+
 def read_through(spark: SparkSession, folder: str, digest: str, compute: Callable[[], DataFrame], skip_load: bool = False, only_saved: bool = False) -> DataFrame:
     """The table committed under a digest; where there is none one caller computes it, or it is refused with ``only_saved``.
 
