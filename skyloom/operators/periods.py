@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.splits import dealt_by_key
+
 
 def decode_period(text: Column) -> tuple[Column, Column]:
     """Start and end of ``YYYYMMDDHH_YYYYMMDDHH``; other lengths raise when the result is read, null stays null."""
@@ -74,17 +76,18 @@ def forecast_hours(df: DataFrame, ts: str, hours: list[int], start: datetime | N
 def pair_as_of(fine: DataFrame, coarse: DataFrame, fine_time: str, coarse_time: str, order: str, within: int) -> DataFrame:
     """Every fine row with the ``order`` and time of the latest coarse row not after it and at most ``within`` seconds before; nulls without one.
 
-    Of coarse rows at one time the greatest ``order`` counts. Times are dealt into spans of ``within`` seconds: what a row
-    may meet is in its span or is the last of the span before, so no window holds more than a span.
+    Of coarse rows at one time the greatest ``order`` counts. Both tables are dealt together into even ranges of time, whatever
+    the times are; within a range the last coarse row is carried along, and a table of one row a range carries it on.
     """
     micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
-    width = within * 1_000_000
-    span = lambda c: F.floor(micros(c) / F.lit(width)).cast("long")
-    marks = coarse.groupBy(F.col(coarse_time).alias("_t")).agg(F.max(order).alias("_o")).withColumn("_span", span("_t"))
-    last = marks.groupBy((F.col("_span") + 1).alias("_span")).agg(F.max(F.struct("_t", "_o")).alias("_before"))
-    rows = fine.select(F.struct("*").alias("_row"), F.col(fine_time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).alias("_mark"), span(fine_time).alias("_span"))
-    both = rows.unionByName(marks.select(F.lit(None).alias("_row"), "_t", F.lit(0).alias("_kind"), F.struct("_t", "_o").alias("_mark"), "_span"))
-    seen = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_span").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumn("_seen", seen).where("_kind = 1").join(last, "_span", "left").withColumn("_found", F.coalesce("_seen", "_before"))
-    near = micros("_t") - micros("_found._t") <= width
+    marks = coarse.where(F.col(coarse_time).isNotNull()).groupBy(F.col(coarse_time).alias("_t")).agg(F.max(order).alias("_o"))
+    rows = fine.select(F.struct("*").alias("_row"), F.col(fine_time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).alias("_mark"))
+    both = rows.unionByName(marks.select(F.lit(None).alias("_row"), "_t", F.lit(0).alias("_kind"), F.struct("_t", "_o").alias("_mark")))
+    dealt = dealt_by_key(both, ["_t", "_kind"])
+    # one row a range
+    ends = dealt.groupBy("_slot").agg(F.max("_mark").alias("_end"))
+    carried = ends.select(F.col("_slot"), F.max("_end").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    seen = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    met = dealt.withColumn("_seen", seen).where("_kind = 1").join(F.broadcast(carried), "_slot").withColumn("_found", F.coalesce("_seen", "_before"))
+    near = micros("_t") - micros("_found._t") <= within * 1_000_000
     return met.select("_row.*", F.when(near, F.col("_found._o")).alias(order), F.when(near, F.col("_found._t")).alias(f"paired_{coarse_time}"))

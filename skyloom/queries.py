@@ -12,7 +12,9 @@ from skyloom import catalog as C
 from skyloom.functions import permutation as E
 from skyloom.functions import scaling as S
 from skyloom.functions import text as X
+from skyloom.operators import climatology as D
 from skyloom.operators import files as L
+from skyloom.operators import grids as Z
 from skyloom.operators import metrics as M
 from skyloom.operators import network as K
 from skyloom.operators import passes as W
@@ -883,3 +885,37 @@ def _(spark, sf):
         run = W.Pass(spark, folder, orders, "o_orderkey", lambda items: items, chunks=4)
         run.run(most)
     return run.results().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderkey").alias("last"))
+
+
+# --- windows of grids and of the year ---------------------------------------------------------------------------------
+
+_SAMPLES = "SELECT o_orderkey, o_orderkey % 8 AS grid, o_custkey % 70 - 3 AS y, o_orderkey * 7 % 66 AS x, 1 + o_orderkey % 15 AS h, 1 + o_custkey % 19 AS w FROM orders"
+_CELLS = "SELECT vec_id // 64 AS grid, vec_id % 64 // 8 * 8 + i // 8 AS cy, vec_id % 8 * 8 + i % 8 AS cx, CASE WHEN embedding[i + 1] > 0 THEN 1.0 ELSE 0.0 END AS v FROM embeddings, range(0, 64) t(i)"
+
+
+@query("window_unmasked", f"SELECT o_orderkey, coalesce(sum(v), 0.0)::DOUBLE AS unmasked, round(coalesce(sum(v), 0.0) / any_value(h * w), 6)::DOUBLE AS share FROM ({_SAMPLES}) s LEFT JOIN ({_CELLS}) c ON c.grid = s.grid AND cy >= y AND cy < y + h AND cx >= x AND cx < x + w GROUP BY o_orderkey")
+def _(spark, sf):
+    v, o = F.col("vec_id"), F.col("o_orderkey")
+    cells = F.transform("embedding", lambda c: F.when(c > 0, 1.0).otherwise(0.0))
+    tiles = table(spark, sf, "embeddings").select(F.floor(v / 64).alias("grid"), F.floor(v % 64 / 8).alias("ty"), (v % 8).alias("tx"), cells.alias("cells"))
+    samples = table(spark, sf, "orders").select("o_orderkey", (o % 8).alias("grid"), (F.col("o_custkey") % 70 - 3).alias("y"), (o * 7 % 66).alias("x"), (1 + o % 15).alias("h"), (1 + F.col("o_custkey") % 19).alias("w"))
+    found = Z.window_sums(samples, Z.summed(tiles, 8, 8), 8, 8, "o_orderkey")
+    return found.join(samples, "o_orderkey").select("o_orderkey", F.col("total").alias("unmasked"), r6(F.col("total") / (F.col("h") * F.col("w"))).alias("share"))
+
+
+_DAY = "dayofyear(make_date(2024, month({0}), day({0})))"
+_DAILY = f"SELECT o_orderpriority AS p, {_DAY.format('o_orderdate')} AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(28,2))) AS DOUBLE) AS s, count(*) AS n FROM orders GROUP BY ALL"
+_MEANS = f"SELECT a.p, a.day, CAST(sum(CAST(b.s AS DECIMAL(30,2))) AS DOUBLE) / sum(b.n) AS mean, CAST(sum(b.n) AS BIGINT) AS n FROM (SELECT DISTINCT p, d.day FROM ({_DAILY}), range(1, 367) d(day)) a LEFT JOIN ({_DAILY}) b ON a.p = b.p AND least(abs(a.day - b.day), 366 - abs(a.day - b.day)) <= 15 GROUP BY ALL"
+
+
+@query("circular_climatology", f"SELECT p AS o_orderpriority, day, mean, coalesce(n, 0) AS n FROM ({_MEANS})")
+def _(spark, sf):
+    means = D.climatology(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", 15, 2)
+    return means.select("o_orderpriority", F.col("day").cast("long").alias("day"), "mean", F.col("count").alias("n"))
+
+
+@query("climatology_anomaly", f"SELECT o_orderkey, o_totalprice - mean AS anomaly FROM orders JOIN ({_MEANS}) m ON m.p = o_orderpriority AND m.day = {_DAY.format('o_orderdate')}")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    means = D.climatology(o, ["o_orderpriority"], "o_orderdate", "o_totalprice", 15, 2)
+    return D.anomalies(o, means, ["o_orderpriority"], "o_orderdate", "o_totalprice").select("o_orderkey", "anomaly")

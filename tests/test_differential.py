@@ -8,8 +8,8 @@ from differential import connect, difference
 from skyloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: A fold over sorted messages, which no built-in expression does in bounded memory, and archives, which tasks parse.
-PYTHON = {"rate_limit_events", "archive_netcdf", "archive_numpy", "archive_slice", "archive_headers", "model_outputs_written", "parameter_count"}
+#: A fold over sorted messages, which no built-in expression does in bounded memory, archives, which tasks parse, and prefix sums of tiles.
+PYTHON = {"rate_limit_events", "archive_netcdf", "archive_numpy", "archive_slice", "archive_headers", "model_outputs_written", "parameter_count", "window_unmasked"}
 
 
 @pytest.fixture(scope="module")
