@@ -58,25 +58,39 @@ def eta_suffix(eta: Column) -> Column:
     return F.concat(F.lit(" (ETA: "), shown, F.lit(")"))
 
 
-def rate_limited(df: DataFrame, key: str, order: str, seconds: str, delay: float, tolerance: int) -> DataFrame:
+#: State of an identifier without messages: how many passed, when the last one passed, when one was last seen.
+FRESH = (0, None, None)
+
+
+def admit(state: tuple, s: float | None, delay: float, tolerance: int, forget: float | None = None) -> tuple[bool, tuple]:
+    """Whether a message at ``s`` seconds passes, and the state after it; the rule of batches and streams.
+
+    A message without a time passes. After ``forget`` seconds without a message an identifier is as good as new.
+    """
+    n, last, seen = state
+    if forget is not None and None not in (s, seen) and s - seen >= forget:
+        n, last = 0, None
+    ok = n < tolerance or last is None or s is None or not s - last < delay
+    return ok, (n + ok, s if ok else last, seen if s is None else s)
+
+
+def rate_limited(df: DataFrame, key: str, order: str, seconds: str, delay: float, tolerance: int, forget: float | None = None) -> DataFrame:
     """Whether each message of an identifier passes: the first ``tolerance`` do, later ones only ``delay`` after the last that passed.
 
-    Each message depends on those before it, so an identifier's messages are read in order by one task; it keeps two
-    numbers for it, however many messages there are.
+    With ``forget`` an identifier starts anew after so many seconds without a message. Each message depends on those before
+    it, so an identifier's messages are read in order by one task; it keeps three numbers for it, however many messages there are.
     """
     src = df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(seconds).cast("double").alias("s"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
 
     def run(batches):
-        now, n, last = object(), 0, None
+        now, state = object(), FRESH
         for batch in batches:
             passed = []
             for own, s in zip(batch.column("key").to_pylist(), batch.column("s").to_pylist(), strict=True):
                 if own != now:
-                    now, n, last = own, 0, None
-                ok = n < tolerance or last is None or s is None or not s - last < delay
-                if ok:
-                    n, last = n + 1, s
+                    now, state = own, FRESH
+                ok, state = admit(state, s, delay, tolerance, forget)
                 passed.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("order"), pa.array(passed, pa.bool_())], names=["key", "order", "emitted"])
 

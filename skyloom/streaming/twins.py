@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from skyloom.operators import metrics
 
 
 def append_bounded(buckets: list, points: list[tuple[float, float]], limit: int, keep_start: int = 0, keep_end: int = 0) -> int:
@@ -53,25 +55,51 @@ def bounded_series(stream: DataFrame, series: str, time: str, value: str, limit:
     return src.groupBy("series").applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def rate_limited_stream(stream: DataFrame, key: str, order: str, seconds: str, delay: float, tolerance: int) -> DataFrame:
-    """Append-mode stream of messages with whether each passes; state is a count and a time an identifier."""
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("order", T.LongType()), T.StructField("emitted", T.BooleanType())])
-    kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.DoubleType())])
-
-    def update(key_, frames, state: GroupState):
-        n, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(frames)).sort_values("order", kind="stable")
-        passed = []
-        for s in rows["s"]:
-            ok = not (last is not None and s - last < delay and n >= tolerance)
-            if ok:
-                n, last = n + 1, float(s)
-            passed.append(ok)
-        state.update((n, last))
-        yield pd.DataFrame({"key": key_[0], "order": rows["order"].to_numpy(), "emitted": passed})
-
-    src = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(seconds).cast("double").alias("s"))
-    return src.groupBy("key").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.NoTimeout)
+class _Limiter(StatefulProcessor):
+    """An identifier's count, the time it last let through and the time it was last seen, until nothing was seen for ``forget`` seconds."""
+
+    def __init__(self, delay: float, tolerance: int, forget: float):
+        self.rule = (delay, tolerance, forget)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("limit", "n long, last double, seen double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = tuple(self.held.get()) if self.held.exists() else metrics.FRESH
+        for r in sorted(rows, key=lambda r: r["order"]):
+            if r["s"] is not None and state[2] is not None and r["s"] < state[2]:
+                # behind what was decided already: told apart, never judged
+                yield Row(key=key[0], order=r["order"], emitted=None, late=True)
+                continue
+            ok, state = metrics.admit(state, r["s"], *self.rule)
+            yield Row(key=key[0], order=r["order"], emitted=ok, late=False)
+        self.held.update(state)
+        if state[2] is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int((state[2] + self.rule[2]) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_stream(stream: DataFrame, key: str, order: str, time: str, delay: float, tolerance: int, forget: float, watermark: str = "0 seconds") -> DataFrame:
+    """Append-mode stream of messages: whether each passes, by the rule of ``metrics.rate_limited`` with the same ``forget``.
+
+    ``time`` is a timestamp, and messages come in its order but for ``watermark``. State is three numbers an identifier and
+    goes ``forget`` seconds after its last message, by an event-time timer, so it grows with the identifiers of that time, not
+    with all. Messages behind their identifier's last one come out with ``late`` and without a decision; those behind the watermark are
+    left out by Spark. Needs the RocksDB state store.
+    """
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("order", T.LongType()), T.StructField("emitted", T.BooleanType()), T.StructField("late", T.BooleanType())])
+    seconds = F.unix_micros(F.col(time).cast("timestamp")).cast("double") / F.lit(1e6)
+    src = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(time).cast("timestamp").alias("at"), seconds.alias("s")).withWatermark("at", watermark)
+    return src.groupBy("key").transformWithState(statefulProcessor=_Limiter(delay, tolerance, forget), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def running_minimum_stream(stream: DataFrame, metric: str, value: str) -> DataFrame:

@@ -279,7 +279,12 @@ def test_streams_equal_batches(spark, tmp_path):
     twins.run_available(twins.bounded_series(stream, "user_id", "t", "value", 15), "update", f"{tmp_path}/c1", f"{tmp_path}/o1")
     key = lambda rows: sorted((str(r[0]), r.bucket, r.time, r.cnt, round(r.value, 6)) for r in rows)
     assert key(spark.read.parquet(f"{tmp_path}/o1").collect()) == key(series.compact(counted, "user_id", ["t"], "t", "value", 15).select("user_id", "bucket", "time", "cnt", "value").collect())
-    twins.run_available(twins.rate_limited_stream(stream, "user_id", "event_id", "s", 25.0, 2), "append", f"{tmp_path}/c2", f"{tmp_path}/o2")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        timed = stream.withColumn("at", F.timestamp_micros(((F.col("s") + 1e9) * 1e6).cast("long")))  # after the first watermark, 1970
+        twins.run_available(twins.rate_limited_stream(timed, "user_id", "event_id", "at", 25.0, 2, 1e6), "append", f"{tmp_path}/c2", f"{tmp_path}/o2")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {r["order"]: r.emitted for r in spark.read.parquet(f"{tmp_path}/o2").collect()}
     assert got == {r.event_id: r.emitted for r in metrics.rate_limited(counted, "user_id", "event_id", "s", 25.0, 2).collect()}
     twins.run_available(twins.running_minimum_stream(stream, "user_id", "value"), "update", f"{tmp_path}/c3", f"{tmp_path}/o3")

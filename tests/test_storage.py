@@ -283,3 +283,34 @@ def test_ranks_read_their_input_once(spark, tmp_path):
     for df in (splits.global_rank(spark.read.parquet(path), ["o"]), splits.rank_within(spark.read.parquet(path), ["k"], ["o"]), splits.split_by_rank(spark.read.parquet(path), ["o"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert path not in plan and plan.count("FileScan") <= 2
+
+
+def test_purge(spark, tmp_path):
+    """Protected and changed files stay, a file that can't be deleted is told, a rerun changes nothing, a run that died is finished."""
+    from skyloom.operators import files as plans
+    from skyloom.operators import purge
+
+    for i in range(12):
+        (tmp_path / f"f{i:02d}.pth").write_text("x")
+        os.utime(tmp_path / f"f{i:02d}.pth", (1_700_000_000 + i, 1_700_000_000 + i))
+    listed = samples.file_listing(spark, str(tmp_path), "*.pth")
+    plan = plans.retention_plan(listed, "path", "mtime", F.current_timestamp(), keep=4).cache()
+    assert plan.count() == 8
+    guarded = plan.where(F.col("path").endswith("f03.pth"))
+    os.utime(tmp_path / "f05.pth", (1_800_000_000, 1_800_000_000))  # written again since it was listed
+    os.remove(tmp_path / "f06.pth")
+    told, folder = purge.purge(plan, protected=guarded, within=(str(tmp_path), "*.pth"))
+    outcome = {r.path[-7:-4]: r.outcome for r in told.collect()}
+    assert outcome == {"f00": "deleted", "f01": "deleted", "f02": "deleted", "f04": "deleted", "f05": "changed", "f06": "gone", "f07": "deleted"}
+    left = sorted(n for n in os.listdir(tmp_path) if n.endswith(".pth"))
+    assert left == [f"f{i:02d}.pth" for i in (3, 5, 8, 9, 10, 11)]
+    assert {r.path[-7:-4]: r.outcome for r in purge.finish(spark, folder).collect()} == outcome
+    assert sorted(n for n in os.listdir(tmp_path) if n.endswith(".pth")) == left
+    os.makedirs(tmp_path / "d.pth")
+    bad = spark.createDataFrame([(str(tmp_path / "d.pth"), None), (str(tmp_path / "none" / "x.pth"), None)], "path string, mtime timestamp")
+    assert sorted(r.outcome for r in purge.purge(bad)[0].collect()) == ["gone", "no file"]
+    with pytest.raises(Exception, match="not in the folder"):
+        purge.purge(spark.createDataFrame([("/etc/hostname", None)], "path string, mtime timestamp"), within=(str(tmp_path), "*.pth"))
+    with pytest.raises(ValueError):
+        purge.purge(bad, within=("relative", "*"))
+    assert os.path.exists("/etc/hostname")
