@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from skyloom import catalog as C
 from skyloom.functions import permutation as E
 from skyloom.functions import scaling as S
+from skyloom.functions import sql as J
 from skyloom.functions import text as X
 from skyloom.operators import climatology as D
 from skyloom.operators import files as L
@@ -919,3 +921,31 @@ def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     means = D.climatology(o, ["o_orderpriority"], "o_orderdate", "o_totalprice", 15, 2)
     return D.anomalies(o, means, ["o_orderpriority"], "o_orderdate", "o_totalprice").select("o_orderkey", "anomaly")
+
+
+# --- the same rules called from SQL -----------------------------------------------------------------------------------
+
+
+def sql_query(name: str, text: str, oracle: str) -> None:
+    """A query written in SQL over the library's functions; ``{table}`` stands for a table's Parquet."""
+
+    def run(spark, sf):
+        J.register(spark)
+        return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf}/{m[1]}.parquet`", text))
+
+    query(name, oracle)(run)
+
+
+sql_query("sql_normalize", "SELECT event_id, round(sky_normalize(value, 0D, 500D), 6) AS y, round(sky_denormalize(sky_normalize(value, 0D, 500D), 0D, 500D), 6) AS x FROM {events}", "SELECT event_id, round(-1 + value * 2 / 500, 6) AS y, round(value, 6) AS x FROM events")
+sql_query("sql_normalize_log", "SELECT event_id, round(sky_normalize_log(value, 0D, 1000D, 1D), 6) AS y, round(sky_denormalize_log(sky_normalize_log(value, 0D, 1000D, 1D), 0D, 1000D, 1D), 6) AS x FROM {events}", "SELECT event_id, round(-1 + 2 * ln(value + 1) / ln(1001), 6) AS y, round(value, 6) AS x FROM events")
+sql_query("sql_readable_value", "SELECT event_id, sky_readable_value(value) AS shown FROM {events}", f"SELECT event_id, {_VALUE.format(hi='1e38')} AS shown FROM (SELECT event_id, value AS v FROM events)")
+sql_query("sql_readable_duration", "SELECT event_id, sky_readable_duration(value * value * 7 + 0.003D) AS shown FROM {events}", ORACLE_SQL["readable_delta_t"])
+sql_query("sql_readable_bytes", "SELECT o_orderkey, sky_readable_bytes(o_orderkey * o_orderkey * 1000) AS shown FROM {orders}", ORACLE_SQL["readable_memory"])
+sql_query("sql_digest", "SELECT n_nationkey, sky_hex_digest(n_name) AS digest FROM {nation}", ORACLE_SQL["hex_digest"])
+sql_query("sql_batch_path", "SELECT o_orderkey, sky_batch_path('train', sky_hex_digest(\"('train', 'input1', 'output1', 16)\"), sky_batch_of(o_orderkey, 16)) AS path FROM {orders}", ORACLE_SQL["batch_path"])
+sql_query("sql_compact", "SELECT user_id, bucket, (min(i) + max(i)) / 2D AS time, CASE WHEN count(*) > 1 THEN min(i) END AS lo, CASE WHEN count(*) > 1 THEN max(i) END AS hi, count(*) AS cnt, round(avg(value), 9) AS value FROM (SELECT *, sky_bucket_of(i, n) AS bucket FROM (SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {events})) GROUP BY user_id, bucket", ORACLE_SQL["compact_bounded"])
+sql_query("sql_calendar", "SELECT sky_calendar_day(o_orderdate) AS day, count(*) AS n FROM {orders} GROUP BY 1", f"SELECT {_DAY.format('o_orderdate')} AS day, count(*) AS n FROM orders GROUP BY 1")
+sql_query("sql_periods", "SELECT event_id, sky_period_start(p) AS first, sky_period_end(p) AS last FROM (SELECT event_id, concat(sky_compact_hour(ts), '_', sky_compact_hour(timestampadd(HOUR, user_id, ts))) AS p FROM {events})", ORACLE_SQL["decode_period"])
+sql_query("sql_levels", "SELECT event_id, name, sky_level_dimension(name, level) AS dimension FROM (SELECT event_id, concat(event_type, CASE user_id % 4 WHEN 0 THEN '_model_levels' WHEN 1 THEN '_pressure_levels' WHEN 2 THEN concat('_', user_id * 50) ELSE '' END) AS name, CASE WHEN value > 30 THEN floor(value) END AS level FROM {events})", ORACLE_SQL["infer_dimensions"])
+sql_query("sql_split_period", "SELECT user_id, p.period, p.first_at AS first, p.last_at AS last FROM (SELECT user_id, CAST(date_trunc('hour', min(ts)) AS TIMESTAMP_NTZ) AS a, CAST(date_trunc('hour', max(ts)) AS TIMESTAMP_NTZ) AS b FROM {events} GROUP BY user_id) s, LATERAL sky_split_period(s.a, s.b, 8, 6) p", ORACLE_SQL["split_period"])
+sql_query("sql_batches", "SELECT b.batch, b.first_idx, b.end_idx FROM (SELECT count(*) AS n FROM {orders}) s, LATERAL sky_batches(s.n, 128) b", "SELECT k AS batch, k * 128 AS first_idx, least(n, k * 128 + 128) AS end_idx FROM (SELECT n, unnest(range(0, (n + 127) // 128)) AS k FROM (SELECT count(*) AS n FROM orders))")

@@ -25,14 +25,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def save_batches(df: DataFrame, path: str, mode: str = "ignore") -> None:
-    """Write samples by split and batch; with mode "ignore" what is there stays."""
-    df.repartition("split", "batch_id").write.mode(mode).partitionBy("split", "batch_id").parquet(path)
+def save_batches(df: DataFrame, path: str) -> None:
+    """Write samples in files of many batches each, sorted by split, batch and position; what was committed before stays.
+
+    Readers find a batch by the statistics of row groups and pages, so there is no folder or file for each. A write that
+    crashed is done again, as there is a marker (``cache``).
+    """
+    kept(df.sparkSession, path, lambda: df.repartitionByRange("split", "batch_id").sortWithinPartitions("split", "batch_id", "pos"))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    df = committed(spark, path)
+    if df is None:
+        raise FileNotFoundError(path)
+    return df
 
 
 def load_batch(spark: SparkSession, path: str, split: str, batch_id: int, first: int, last: int, keys: list[str] | None = None) -> DataFrame:
-    """Positions first to last - 1 of a stored batch: partitions are pruned by split and batch, columns by keys."""
-    df = spark.read.parquet(path).where((F.col("split") == split) & (F.col("batch_id") == batch_id) & (F.col("pos") >= first) & (F.col("pos") < last))
+    """Positions first to last - 1 of a stored batch: row groups are pruned by split and batch, columns by keys."""
+    df = _stored(spark, path).where((F.col("split") == split) & (F.col("batch_id") == batch_id) & (F.col("pos") >= first) & (F.col("pos") < last))
     return df.select("pos", *keys) if keys else df
 
 
@@ -45,7 +56,7 @@ def load_item(spark: SparkSession, path: str, split: str, idx: int, save: int, b
 
 def scan_batch(spark: SparkSession, path: str, split: str, batch_id: int, keys: list[str] | None = None) -> DataFrame:
     """A whole stored batch."""
-    df = spark.read.parquet(path).where((F.col("split") == split) & (F.col("batch_id") == batch_id))
+    df = _stored(spark, path).where((F.col("split") == split) & (F.col("batch_id") == batch_id))
     return df.select("pos", *keys) if keys else df
 
 
