@@ -252,6 +252,11 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mcus: np.n
     def peek(p: np.ndarray) -> np.ndarray:
         return (wide[p >> 3] << (p & 7).astype(np.uint32)) >> 16
 
+    def met(entry: np.ndarray) -> None:
+        """Lanes that meet a code of no symbol aren't sound."""
+        if entry.min() <= 0:
+            sound[lanes[entry <= 0]] = False
+
     lanes = np.arange(len(starts))
     for m in range(steps):
         if not even:
@@ -259,7 +264,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mcus: np.n
         p = at if even else at[lanes]
         for b, (c, dc, ac) in enumerate(blocks):
             entry = found[dc][peek(p)]
-            sound[lanes] &= entry > 0
+            met(entry)
             size = entry & 0xFF
             p = np.minimum(p + (entry >> 8), limit)
             extra = (peek(p) >> (16 - size).astype(np.uint32)).astype(np.int32)
@@ -275,7 +280,7 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mcus: np.n
             # pass over the AC coefficients
             table, seen, busy = found[16 | ac], None, None
             entry = table[peek(p)]
-            sound[lanes] &= entry > 0
+            met(entry)
             p = np.minimum(p + (entry >> 8), limit)
             symbol = entry & 0xFF
             busy = np.flatnonzero(symbol)
@@ -287,7 +292,8 @@ def decode_dc(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mcus: np.n
                     seen[busy] += (s >> 4) + 1
                     busy = busy[seen[busy] < 63]
                     entry = table[peek(p[busy])]
-                    sound[lanes[busy]] &= entry > 0
+                    if len(busy) and entry.min() <= 0:
+                        sound[lanes[busy[entry <= 0]]] = False
                     p[busy] = np.minimum(p[busy] + np.maximum(entry >> 8, 1), limit)
                     symbol[busy] = entry & 0xFF
                     busy = busy[symbol[busy] > 0]
