@@ -128,10 +128,11 @@ def last_values_text(last: DataFrame, series: str, text: Column, exclude: list[s
     return kept.agg(F.array_join(pairs, ", ").alias("summary"))
 
 
-def common_length(df: DataFrame, series: str) -> DataFrame:
-    """One row: the series' common length (0 without series) and whether all have it."""
+def common_length(df: DataFrame, series: str, refuse: bool = False) -> DataFrame:
+    """One row: the series' common length (0 without series) and whether all have it; with ``refuse`` unequal ones raise when it is read."""
     n = df.groupBy(series).count()
-    return n.agg(F.coalesce(F.max("count"), F.lit(0)).alias("length"), F.coalesce(F.min("count") == F.max("count"), F.lit(True)).alias("is_common"))
+    found = n.agg(F.coalesce(F.max("count"), F.lit(0)).alias("length"), F.coalesce(F.min("count") == F.max("count"), F.lit(True)).alias("is_common"))
+    return found.withColumn("length", F.when(F.col("is_common"), F.col("length")).otherwise(F.raise_error(F.lit("series of unequal lengths")).cast("long"))) if refuse else found
 
 
 def concurrent_times(df: DataFrame, series: str, time: str) -> DataFrame:

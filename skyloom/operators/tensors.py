@@ -18,9 +18,10 @@ def channel(array: Column, index: Column, size: int) -> Column:
     return F.slice(array, index * size + 1, F.lit(size))
 
 
-def window(array: Column, width: int, y0: int, x0: int, height: int, across: int) -> Column:
-    """A window of a grid, row-major, without exploding it."""
-    rows = F.transform(F.sequence(F.lit(y0), F.lit(y0 + height - 1)), lambda y: F.slice(array, y * width + x0 + 1, F.lit(across)))
+def window(array: Column, width: int, y0: Column | int, x0: Column | int, height: int, across: int) -> Column:
+    """A window of a grid, row-major, without exploding it; its corner is fixed or comes with the sample."""
+    top, left = (c if isinstance(c, Column) else F.lit(c) for c in (y0, x0))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.slice(array, ((top + y) * width + left + 1).cast("int"), F.lit(across)))
     return F.flatten(rows)
 
 

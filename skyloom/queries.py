@@ -207,6 +207,13 @@ def _(spark, sf):
     return w.select("vec_id", F.size("w").cast("long").alias("n"), r6(F.aggregate("w", F.lit(0.0), lambda a, v: a + v.cast("double"))).alias("total"))
 
 
+@query("window_by_sample", f"SELECT vec_id, count(*) AS n, round(sum(value), 6) AS total FROM {LONG} WHERE y BETWEEN vec_id % 5 AND vec_id % 5 + 2 AND x BETWEEN vec_id % 3 AND vec_id % 3 + 4 GROUP BY vec_id")
+def _(spark, sf):
+    v = F.col("vec_id")
+    w = table(spark, sf, "embeddings").select("vec_id", N.window(F.col("embedding"), 8, v % 5, v % 3, 3, 5).alias("w"))
+    return w.select("vec_id", F.size("w").cast("long").alias("n"), r6(F.aggregate("w", F.lit(0.0), lambda a, v: a + v.cast("double"))).alias("total"))
+
+
 @query("channel_select", f"SELECT vec_id, round(sum(value), 6) AS total FROM {LONG} WHERE y BETWEEN 4 AND 5 GROUP BY vec_id")
 def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", r6(F.aggregate(N.channel(F.col("embedding"), F.lit(2), 16), F.lit(0.0), lambda a, v: a + v.cast("double"))).alias("total"))

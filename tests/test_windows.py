@@ -67,3 +67,14 @@ def test_pairs_with_all_rows_in_one_hour(spark):
         assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_unequal_lengths_are_refused(spark):
+    from skyloom.operators import series
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "s string, t int")
+    assert tuple(series.common_length(df, "s").first()) == (2, False)
+    with pytest.raises(Exception, match="unequal"):
+        series.common_length(df, "s", refuse=True).collect()
+    assert tuple(series.common_length(df.where("t = 1"), "s", refuse=True).first()) == (1, True)
+    assert tuple(series.common_length(df.limit(0), "s", refuse=True).first()) == (0, True)
