@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.text import readable_duration
-from skyloom.operators.splits import rank_within
+from skyloom.operators.splits import dealt_by_key, rank_within, with_earlier
 
 
 def minima(df: DataFrame, metric: str, value: str, iteration: str, tracked: DataFrame | None = None) -> DataFrame:
@@ -31,8 +31,16 @@ def improved(before: DataFrame, now: DataFrame, metric: str, value: str, listed:
     return asked.join(least, metric, "left").agg(F.coalesce(F.max(better), F.lit(False)).alias("any_improved"))
 
 
-def running_minimum(df: DataFrame, metric: str, order: list[str], value: str) -> DataFrame:
-    """Least value before each row and whether the row is strictly below it (the first row is)."""
+def running_minimum(df: DataFrame, metric: str, order: list[str], value: str, spread: bool = False) -> DataFrame:
+    """Least value before each row and whether the row is strictly below it (the first row is).
+
+    Each metric is read by one task; with ``spread`` long ones are dealt to many, at the cost of writing the rows once.
+    """
+    if spread:
+        met = with_earlier(dealt_by_key(df, [metric, *order]), [metric], {"_least": F.min(value)}, {"_before": lambda own: F.min("_least").over(own.rowsBetween(Window.unboundedPreceding, -1))})
+        inside = F.min(value).over(Window.partitionBy("_slot", metric).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+        least = met.withColumn("previous_min", F.least("_before", inside)).drop("_slot", "_at", "_before")
+        return least.withColumn("improved", F.coalesce(F.col(value) < F.col("previous_min"), F.lit(True)))
     w = Window.partitionBy(metric).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("previous_min", F.min(value).over(w)).withColumn("improved", F.coalesce(F.col(value) < F.col("previous_min"), F.lit(True)))
 
@@ -44,8 +52,18 @@ def iteration_counts(df: DataFrame, order: list[str], session: str) -> DataFrame
     return counted.withColumns({c: F.col(c) + 1 for c in ("lifetime", "since_restart")})
 
 
-def remaining_time(df: DataFrame, key: str, order: list[str], seconds: str, expected: int) -> DataFrame:
-    """``eta``: elapsed/(n - 1) times the calls left; null at the first call, 0 when done."""
+def remaining_time(df: DataFrame, key: str, order: list[str], seconds: str, expected: int, spread: bool = False) -> DataFrame:
+    """``eta``: elapsed/(n - 1) times the calls left; null at the first call, 0 when done.
+
+    Each key is read by one task; with ``spread`` long ones are dealt to many, at the cost of writing the rows once.
+    """
+    if spread:
+        ends = {"_rows": F.count(F.lit(1)), "_low": F.min("_at"), "_first": F.min_by(seconds, "_at")}
+        earlier = {"_before": lambda own: F.sum("_rows").over(own) - F.col("_rows"), "_low": lambda own: F.col("_low"), "_began": lambda own: F.first("_first").over(own)}
+        met = with_earlier(dealt_by_key(df, [key, *order]), [key], ends, earlier)
+        n = F.col("_before") + F.col("_at") - F.col("_low") + 1
+        eta = F.when(n == 1, None).when(n >= expected, F.lit(0.0)).otherwise(F.try_divide(F.col(seconds) - F.col("_began"), (n - 1).cast("double")) * (F.lit(expected) - n))
+        return met.withColumn("call", n).withColumn("eta", eta).drop("_slot", "_at", "_before", "_low", "_began")
     w = Window.partitionBy(key).orderBy(*order)
     n = F.row_number().over(w)
     elapsed = F.col(seconds) - F.first(seconds).over(w)

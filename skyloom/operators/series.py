@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.operators.splits import rank_within
+from skyloom.operators.splits import dealt_by_key, rank_within, with_earlier
 
 
-def order_violations(df: DataFrame, series: str, order: list[str], time: str) -> DataFrame:
-    """Rows whose time isn't above that of the row before in their series, with ``previous_time``."""
+def order_violations(df: DataFrame, series: str, order: list[str], time: str, spread: bool = False) -> DataFrame:
+    """Rows whose time isn't above that of the row before in their series, with ``previous_time``.
+
+    Each series is read by one task; with ``spread`` long ones are dealt to many, at the cost of writing the rows once.
+    """
+    if spread:
+        met = with_earlier(dealt_by_key(df, [series, *order]), [series], {"_last": F.max_by(time, "_at")}, {"_before": lambda own: F.lag("_last").over(own)})
+        w = Window.partitionBy("_slot", series).orderBy("_at")
+        previous = F.when(F.row_number().over(w) == 1, F.col("_before")).otherwise(F.lag(time).over(w))
+        return met.withColumn("previous_time", previous).where(F.col(time) <= F.col("previous_time")).drop("_slot", "_at", "_before")
     w = Window.partitionBy(series).orderBy(*order)
     return df.withColumn("previous_time", F.lag(time).over(w)).where(F.col(time) <= F.col("previous_time"))
 

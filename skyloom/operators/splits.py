@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyloom.sources.shared import save
@@ -58,6 +60,22 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], name:
     return met.drop("_slot", "_at", "_range", "_rows", "_first", "_before", *[f"_by_{k}" for k in keys])
 
 
+def with_earlier(dealt: DataFrame, keys: list[str], ends: dict[str, Column], earlier: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Dealt rows with what the earlier ranges of their key hold, so that a fold over a key needs no task with all its rows.
+
+    ``ends`` aggregates a key's rows of one range (over the columns and ``_at``), ``earlier`` gets the window of a key's ranges and
+    makes columns of these aggregates; the table of both has a row a key and range, and is joined by both.
+    """
+    by = [F.col(k).alias(f"_by_{k}") for k in keys]
+    table = dealt.groupBy(*by, F.col("_slot").alias("_range")).agg(*[c.alias(n) for n, c in ends.items()])
+    own = Window.partitionBy(*[f"_by_{k}" for k in keys]).orderBy("_range")
+    table = table.select(*[f"_by_{k}" for k in keys], "_range", *[f(own).alias(n) for n, f in earlier.items()])
+    same = F.col("_slot") == F.col("_range")
+    for k in keys:
+        same = same & dealt[k].eqNullSafe(table[f"_by_{k}"])
+    return dealt.join(table, same).drop("_range", *[f"_by_{k}" for k in keys])
+
+
 def split_sizes(n: int, train: float = 0.8, test_of_rest: float = 0.5) -> tuple[int, int, int]:
     """train = floor(f n); of the rest, test = ceil(g rest) and validation what is left."""
     first = int(train * n + 1e-9)

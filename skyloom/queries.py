@@ -476,6 +476,23 @@ def _(spark, sf):
     return M.running_minimum(table(spark, sf, "events").select("event_id", "user_id", "value"), "user_id", ["event_id"], "value").select("event_id", "previous_min", "improved")
 
 
+@query("running_minimum_spread", "SELECT event_id, p AS previous_min, coalesce(value < p, TRUE) AS improved FROM (SELECT *, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events)")
+def _(spark, sf):
+    return M.running_minimum(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", ["event_id"], "value", spread=True).select("event_id", "previous_min", "improved")
+
+
+@query("monotonic_spread", "SELECT o_orderkey, o_orderstatus, p AS previous_time FROM (SELECT *, lag(o_orderdate) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS p FROM orders) WHERE o_orderdate <= p")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return R.order_violations(df, "o_orderstatus", ["o_orderkey"], "o_orderdate", spread=True).select("o_orderkey", "o_orderstatus", "previous_time")
+
+
+@query("eta_spread", f"SELECT event_id, n AS call, round(CASE WHEN n = 1 THEN NULL WHEN n >= 900 THEN 0.0 ELSE (s - s0) / (n - 1) * (900 - n) END, 3) AS eta FROM (SELECT event_id, row_number() OVER w AS n, {SECONDS} AS s, first({SECONDS}) OVER w AS s0 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))")
+def _(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "event_type", "ts", seconds().alias("s"))
+    return M.remaining_time(df, "event_type", ["ts", "event_id"], "s", 900, spread=True).select("event_id", "call", F.round("eta", 3).alias("eta"))
+
+
 @query("iteration_counts", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS lifetime, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY event_id) AS since_restart FROM events")
 def _(spark, sf):
     df = table(spark, sf, "events").select("event_id", F.col("user_id").alias("loop"), F.dayofmonth("ts").alias("d"))

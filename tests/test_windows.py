@@ -78,3 +78,31 @@ def test_unequal_lengths_are_refused(spark):
         series.common_length(df, "s", refuse=True).collect()
     assert tuple(series.common_length(df.where("t = 1"), "s", refuse=True).first()) == (1, True)
     assert tuple(series.common_length(df.limit(0), "s", refuse=True).first()) == (0, True)
+
+
+def test_spread_folds_equal_plain_ones(spark):
+    """A hot key, ties, null keys and values: folds over ranges with carries give what one task a key gives, and in several tasks."""
+    from skyloom.operators import metrics, series
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, float(rng.randint(0, 50))]), float(rng.randint(0, 900))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, s double")
+    folds = {
+        "minimum": lambda spread: metrics.running_minimum(df, "k", ["i"], "v", spread=spread),
+        "order": lambda spread: series.order_violations(df, "k", ["i"], "v", spread=spread),
+        "eta": lambda spread: metrics.remaining_time(df, "k", ["i"], "s", 700, spread=spread),
+    }
+    for name, fold in folds.items():
+        plain, spread = fold(False), fold(True)
+        assert sorted(plain.columns) == sorted(spread.columns), name
+        key = lambda d: sorted((tuple(r) for r in d.select(sorted(plain.columns)).collect()), key=repr)
+        assert key(plain) == key(spread), name
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert metrics.running_minimum(df.where("k = 'hot'"), "k", ["i"], "v", spread=True).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
