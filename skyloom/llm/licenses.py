@@ -150,6 +150,10 @@ def findings(hits: list[int], at: list[int], words: list[int], has: np.ndarray,
         begin, end = move, max(move, end)
 
 
+#: Bytes of all templates that are read from a folder.
+TEMPLATE_BYTES = 8 << 20
+
+
 class Scanner:
     """Templates in hashed form; one for each worker."""
 
@@ -189,6 +193,18 @@ class Scanner:
         return [x for own in by_text.values() for x in own if not any(y[2] > x[2] and y[3] >= x[3] and y[4] < x[5] and x[4] < y[5] for y in own)]
 
 
+def read_templates(spark, folder: str, pattern: str = "*") -> dict[str, str]:
+    """Templates from a folder of texts, a file each under its name: whole licences, as long as they like.
+
+    They go to every task, so texts of over ``TEMPLATE_BYTES`` in all are refused.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+    total = files.agg(F.sum("length")).first()[0] or 0
+    if total > TEMPLATE_BYTES:
+        raise ValueError(f"templates of {total} bytes: at most {TEMPLATE_BYTES} go to every task")
+    return {r.path.rsplit("/", 1)[-1]: bytes(r.content).decode("utf-8", "replace") for r in files.orderBy("path").collect()}
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, coverage, n_words (aligned), start_char and end_char (code points) of every finding; one pass, no shuffle."""
     chosen = TEMPLATES if templates is None else templates

@@ -410,6 +410,61 @@ def test_licenses_recall(spark):
     assert not got[len(cases)] and len(got[len(cases) + 1]) == 300
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the table of all pairs."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+    return row[-1]
+
+
+def test_patience_against_all_alignments():
+    """Never more words than the best alignment, all of them equal and increasing, and nearly as many on edited texts."""
+    rng = random.Random(4)
+    got = best = 0
+    for _ in range(60):
+        a = [rng.randint(0, 60) for _ in range(rng.randint(0, 120))]
+        b = [w if rng.random() > 0.1 else rng.randint(0, 60) for w in a if rng.random() > 0.05]
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= longest_common(a, b)
+        got, best = got + len(pairs), best + longest_common(a, b)
+    assert got > 0.9 * best
+
+
+def test_whole_licences_from_a_folder(spark, tmp_path):
+    """Full texts of thousands of words as templates: found verbatim and edited, with coverage and place against the best alignment; halves aren't."""
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in ("grant", "licens", "work", "notic", "patent", "warrant", "distribut", "the", "of", "and") for b in ("", "e", "or", "ed", "ing", "s")]
+    vocabulary += [f"{rng.choice(vocabulary)}{chr(97 + i % 26)}{i}" for i in range(700)]
+    often = [min(1.0, 40 / (i + 1)) for i in range(len(vocabulary))]
+    texts_ = {f"Licence-{k}.txt": " ".join(rng.choices(vocabulary, often)[0] + rng.choice(["", "", ".", ",", ";\n"]) for _ in range(1500 + 700 * k)) for k in range(2)}
+    folder = tmp_path / "licences"
+    folder.mkdir()
+    for name, text in texts_.items():
+        (folder / name).write_text(text)
+    templates = licenses.read_templates(spark, str(folder))
+    assert templates == texts_
+    edit = lambda t: " ".join(rng.choice(["changed", w + " added", ""]) if rng.random() < 0.06 else w for w in t.split(" "))
+    docs, want = [], {}
+    for i, (name, text) in enumerate(list(texts_.items()) * 2):
+        body = text if i < 2 else edit(text)
+        docs.append((i, "before it " * 20 + body + " behind it" * 20))
+        want[i] = (name, longest_common([w.strip(".,;") for w in body.split()], [w.strip(".,;") for w in text.split()]) / len(text.split()))
+    docs.append((9, " ".join(texts_["Licence-0.txt"].split()[:800])))
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    assert set(found) == set(want)
+    for i, (name, best) in want.items():
+        r = found[i]
+        assert r.license == name and 0.97 * best <= r.coverage <= best + 1e-9
+        assert abs(r.start_char - 200) < 40 and abs(len(docs[i][1]) - 200 - r.end_char) < 40
+    with pytest.raises(ValueError, match="go to every task"):
+        (folder / "large").write_bytes(b"x " * (5 << 20))
+        licenses.read_templates(spark, str(folder))
+
+
 def test_words_without_marks():
     for n in (1, 16, 17, 40):
         low, starts, ends, bounds = langid.trimmed_words([f"{'-' * n}foo{'.' * n} {'*' * n} a-b".encode()])
