@@ -24,7 +24,7 @@ ROWS = "1000"
 
 
 def small_batches(stage):
-    """A stage whose rows go to Python in small batches, whoever writes its result: the setting is the session's from here on."""
+    """A stage whose rows go to Python in small batches, whoever writes its result: the setting is the session's from here on, until ``run`` ends."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; the session's own setting for Python's batches is back when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, stage in STAGES:
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     return docs
