@@ -7,7 +7,9 @@ text. A text's language is the one with most expected words.
 
 Learning takes about ``SAMPLE`` texts of each language (a hash of the id chooses them), each language
 within its own share of ``WORDS``, cuts them into passages and joins passages of different texts, so that languages switch within a
-sequence.
+sequence. Of a text that is longer than an eighth of its language's share (``LEAST_TEXTS``; 94,000 characters with four
+languages) only the start is learned from, so that one text isn't a language's whole sample. Predictions
+read whole texts, always.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; words without letters
 have no features and follow their neighbours; null languages aren't learned from; with nothing to
