@@ -7,8 +7,9 @@ ANDed with the bitmaps of all words that have a unit there; what isn't zero are
 phrases, and their popcounts are their counts in the shard. Phrases grow depth-first from groups of first
 words; a gap behind each piece keeps them within it.
 
-Counts of all shards are summed by length (``_shards``). Only phrases whose shorter heads and tails reach
-the threshold are grown, as no phrase is more frequent than its parts, so all that reach it are found.
+Counts of all shards are summed (``_shards``): of words, of pairs, then of two lengths at a time. Phrases grow only
+from words and heads that reach the threshold, as no phrase is more frequent than its parts, so all that reach
+it are found.
 A phrase is named by the least shard that has it, which knows the counts of all its parts too.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; equal rows count as often as
@@ -130,10 +131,10 @@ class _Shard:
         return np.add.reduceat(np.bitwise_count(self.bits).astype(np.int64), np.cumsum(self.units) - self.units)
 
 
-def grow(shard: _Shard, known: Known, longest: int, counted: bool):
-    """Yield (words by phrase, keys, sides, counts) of phrases of 2 to ``longest`` words, depth-first by groups of first words.
+def grow(shard: _Shard, known: Known, first_length: int, longest: int, judged: int):
+    """Yield (words by phrase, keys, sides, counts) of phrases of ``first_length`` to ``longest`` words, depth-first by groups of first words.
 
-    Words and all heads are known; of the longest phrases those that aren't are left out too if ``counted``.
+    Phrases of up to ``judged`` words that aren't known are left out, with all that begins with them.
     """
     _, frequent = known.find(shard.keys)
     ids = np.flatnonzero(frequent)
@@ -167,13 +168,14 @@ def grow(shard: _Shard, known: Known, longest: int, counted: bool):
             head, last = longer // v, longer % v
             words, keys, sides = np.hstack([words[head], last[:, None]]), _then(keys[head], hashes[last], _HEAD), _then(sides[head], hashes[last], _SIDE)
             counts = np.bincount(which, np.bitwise_count(here), len(longer)).astype(np.int64)
-            if length < longest or counted:
+            phrase = which
+            if length <= judged:
                 _, keep = known.find(keys)
                 place_of = np.cumsum(keep) - 1
                 stays = keep[which]
                 phrase, spot, here = place_of[which[stays]], spot[stays], here[stays]
                 words, keys, sides, counts = words[keep], keys[keep], sides[keep], counts[keep]
-            if (length == longest or counted) and len(keys):
+            if length >= first_length and len(keys):
                 yield ids[words], keys, sides, counts
             if not len(phrase):
                 break
@@ -205,10 +207,10 @@ def frequent_keys(shards: DataFrame, least: int, longest: int) -> DataFrame:
         for row, shard in _read(batches):
             yield packets(row["shard"], shard.keys, shard.sides, shard.counts().astype(np.int32), parts)
 
-    def phrases(length):
+    def phrases(length, longest):
         def run(batches):
             for row, shard in _read(batches):
-                found = list(grow(shard, Known(row["back"]), length, counted=False))
+                found = list(grow(shard, Known(row["back"]), length, longest, length - 1))
                 if found:
                     _, keys, sides, counts = (list(c) for c in zip(*found, strict=True))
                     yield packets(row["shard"], np.concatenate(keys), np.concatenate(sides), np.concatenate(counts).astype(np.int32), parts)
@@ -216,9 +218,13 @@ def frequent_keys(shards: DataFrame, least: int, longest: int) -> DataFrame:
         return run
 
     back = [save(recurring(shards.mapInArrow(words, PACKETS), parts, least), rows=_ROWS)]
-    for length in range(2, longest + 1):
-        sent = given_back(shards, reduce(DataFrame.union, back)).mapInArrow(phrases(length), PACKETS)
+    # pairs alone, as they rule most out; then two lengths at a time, which moves the shards half as often for few more keys
+    length = 2
+    while length <= longest:
+        upto = min(longest, length + (length > 2))
+        sent = given_back(shards, reduce(DataFrame.union, back)).mapInArrow(phrases(length, upto), PACKETS)
         back.append(save(recurring(sent, parts, least), rows=_ROWS))
+        length = upto + 1
     return reduce(DataFrame.union, back)
 
 
@@ -230,7 +236,7 @@ def phrase_counts(shards: DataFrame, back: DataFrame, longest: int, percent: int
             known = Known(row["back"])
             out = []
             total = lambda keys: known.totals[known.find(keys)[0]]
-            for words, keys, _, _ in grow(shard, known, longest, counted=True):
+            for words, keys, _, _ in grow(shard, known, 2, longest, longest):
                 at, _ = known.find(keys)
                 mine = known.own[at] == 1
                 words, a = words[mine], known.totals[at[mine]]
