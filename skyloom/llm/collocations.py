@@ -281,3 +281,20 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
 def op12_collocations(spark, sf_dir: str) -> DataFrame:
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle(least: int = LEAST, longest: int = LONGEST, percent: int = PERCENT, top: int = TOP) -> str:
+    """DuckDB SQL of the same rows: all phrases of each piece, counted as text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH pieces AS (SELECT lang, unnest(list_transform(regexp_split_to_array(t, '[.,;:!?\\n\\x0B\\f\\r]'), lambda p: list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda w: w <> ''))) AS ws
+ FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, '{upper}', '{upper.lower()}') AS t FROM documents WHERE text <> '')),
+ n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM pieces, range(1, {longest + 1}) r(k) WHERE len(ws) >= k) GROUP BY ALL),
+ c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {least}),
+ cuts AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * c.a) // (l.a + r.a) AS BIGINT) AS score, cut
+ FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1 : c.k], ' ')),
+ inner_ AS (SELECT lang, a, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+ gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= {percent} * c.a),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM cuts) WHERE o = 1),
+ ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM best b LEFT JOIN gone g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.phrase IS NULL)
+ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""

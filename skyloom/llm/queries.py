@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
 import corpus_pipeline
-from skyloom.llm import mixing
+from skyloom.llm import collocations, mixing
 from skyloom.llm.bpe import op3_bpe
 from skyloom.llm.collocations import op12_collocations
 from skyloom.llm.fingerprints import op1_fingerprints
@@ -33,4 +33,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.oracle(), "op12_collocations": collocations.oracle()}

@@ -162,6 +162,12 @@ def test_collocations_odd(spark):
     assert [t for t in collocations.collocations(df).dtypes] == [(c, "string" if c in ("lang", "phrase") else "bigint") for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")]
 
 
+def test_collocations_sql(spark):
+    from differential import connect, difference
+
+    assert difference(collocations.op12_collocations(spark, SF), connect(SF), collocations.oracle()) is None
+
+
 def test_scores_beyond_64_bits(spark):
     """The floor of the score is exact where products pass 64 bits."""
     cut = spark.sql("select (2000000 * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0))) as s from values (9000000000000000000L, 9000000000000000001L, 9000000000000000003L) t(a, l, r)")
